@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ def frozen_batch_sample(
     arrival; a key without any arrival has no batch and is selected when its hash lies below ``rate`` (also append-only);
     an empty table gives no rows. Returns (key, batch), batch null for keys without arrival.
     """
+    share = Fraction(rate).limit_denominator(1_000_000)  # so that ceil is exact
     first = (
         df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
         .groupBy(F.col(key).alias("_k"))
@@ -40,7 +43,7 @@ def frozen_batch_sample(
     cells = (
         cells.withColumn("_size", F.sum("_n").over(by_batch))
         .withColumn("_upto", F.sum("_n").over(by_batch.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_want", F.ceil(F.lit(rate) * F.col("_size")))
+        .withColumn("_want", F.expr(f"(_size * {share.numerator} + {share.denominator - 1}) div {share.denominator}"))
         .withColumn("_before", F.col("_upto") - F.col("_n"))
         .filter("_before < _want")
     )
