@@ -206,7 +206,7 @@ both("union_tables", "SELECT 'mail' AS src, count(*) AS n FROM {emails} UNION AL
 
 # ---- scalar text, hashes, dates, arrays (P, T)
 
-_CLIP = "SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE concat(rtrim(substr(t, 1, 79)), '…') END AS clipped FROM (SELECT doc_id, trim(text) AS t FROM {documents}) x"
+_CLIP = "SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(substr(t, 1, 79)) || '…' END AS clipped FROM (SELECT doc_id, trim(text) AS t FROM {documents}) x"
 both("clip_text", _CLIP, _CLIP.replace("trim(text)", "trim(text, ' ')").replace("rtrim(substr(t, 1, 79))", "rtrim(substr(t, 1, 79), ' ')"))
 _IDS = "SELECT DISTINCT item_id, HASH AS public_id FROM {items}"
 both("namespaced_ids", *(_IDS.replace("HASH", _hash(e, "guide", "item_id")) for e in "sd"))
