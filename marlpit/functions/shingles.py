@@ -29,10 +29,10 @@ class WordHash:
         return np.array(out, dtype=np.uint64)
 
 
-def line_ngrams(word_hashes: np.ndarray, lengths: list[int], n: int) -> np.ndarray:
-    """Hashes of the n-grams inside the consecutive lines of the given lengths; a shorter line is one n-gram.
+def line_ngrams(word_hashes: np.ndarray, lengths: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, word positions) of the n-grams inside consecutive lines of the given lengths; a shorter line is one n-gram.
 
-    Equal to the n-grams of every line taken alone, in one pass over all lines.
+    The hashes equal those of the n-grams of every line taken alone; all lines are done in one pass.
     """
     size = np.asarray(lengths, dtype=np.int64)
     ends = np.repeat(np.cumsum(size), size)
@@ -45,7 +45,8 @@ def line_ngrams(word_hashes: np.ndarray, lengths: list[int], n: int) -> np.ndarr
             step ^= step >> np.uint64(29)
             h = np.where(at + k < ends, step, h)
         first = ends - np.repeat(size, size) == at
-        return mix(h[(at + n <= ends) | (first & (np.repeat(size, size) < n))])
+        keep = (at + n <= ends) | (first & (np.repeat(size, size) < n))
+        return mix(h[keep]), at[keep]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
