@@ -57,7 +57,7 @@ def _places(seed: int, n: int) -> list[tuple[str, float, float]]:
     out = []
     for i in range(n):
         y, x = r.choice(hubs)
-        y = max(-90, min(90, y + r.gauss(0, 0.001)))
+        y = max(-90.0, min(90.0, y + r.gauss(0, 0.001)))
         x = x + r.gauss(0, 0.002) * (1 if abs(y) < 80 else 1000)
         x = (x + 180) % 360 - 180
         out.append((f"k{i:04d}", y, x))
@@ -87,7 +87,7 @@ def test_near_pairs_empty(spark):
 
 def test_points_in_regions(spark):
     corner = "struct<latitude:double,longitude:double>"
-    box = lambda s, w, n, e: [(s, w), (s, e), (n, e), (n, w)]
+    box = lambda *c: [(float(c[i]), float(c[j])) for i, j in ((0, 1), (0, 3), (2, 3), (2, 1))]
     regions = spark.createDataFrame(
         [("donut", box(0, 0, 10, 10), box(4, 4, 6, 6)), ("core", box(4, 4, 6, 6), None), ("date", box(-5, 178, 5, -178), None), ("flat", [(1.0, 1.0), (2.0, 2.0)], None), ("none", None, None)],
         f"area string, ring array<{corner}>, hole array<{corner}>",
