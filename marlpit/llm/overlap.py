@@ -1,4 +1,4 @@
-"""Same or near-same records across splits: partitioned n-gram hashes, hits in the other side, containment of each pair."""
+"""Same or near-same records across splits: a prefix filter over word phrases that misses no pair, containment of each pair."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.functions.fold import words
@@ -15,10 +15,11 @@ from marlpit.functions.ids import canonical_user
 from marlpit.functions.shingles import WordHash, line_ngrams
 from marlpit.session import cut, spread
 
-GRAM = 8  # words of the n-grams that find pairs: runs of four successive five-word shingles
 PHRASE = 3  # words of the shortest phrase that counts as returned when a pair is measured
 SHARE = 0.9  # share of the words of one record that returns in the other
-PROBES = 8  # rarest n-grams of a record, of those that both sides have, that are looked up in the other side
+NEED = 16  # words, besides those that a match may lack, that a record asks for; more give fewer candidates and lose none
+CELLS = 1 << 20  # cells of the phrase counts, whatever the size of the input; they only steer which words are asked for
+BLOCK = 1 << 16  # classes whose questions are broadcast together
 
 
 def lines_of(text: str | None) -> list[list[str]]:
@@ -31,18 +32,89 @@ def _canonical(lines: list[str]) -> int:
 
 
 def _prepared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashed = WordHash()
     for b in batches:
         out = []
         for k, side, t in zip(b["k"], b["side"], b["t"]):
-            lines = lines_of(t)
-            if not lines:
-                continue
-            flat = hashed([w for line in lines for w in line])
-            grams = np.unique(line_ngrams(flat, [len(w) for w in lines], GRAM)[0]).view(np.int64)
-            joined = [" ".join(w) for w in lines]
-            out.append((k, side, _canonical(joined), "\n".join(joined), grams))
-        yield pd.DataFrame(out, columns=["k", "side", "form", "body", "grams"])
+            joined = [" ".join(w) for w in lines_of(t)]
+            if joined:
+                out.append((k, side, _canonical(joined), "\n".join(joined)))
+        yield pd.DataFrame(out, columns=["k", "side", "form", "body"])
+
+
+def _hashed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Phrases of each body in order, words of its lines, and its shorter n-grams, which short lines of others may be."""
+    hashed = WordHash()
+    for b in batches:
+        out = []
+        for form, side, body in zip(b["form"], b["side"], b["body"]):
+            lines = [x.split(" ") for x in body.split("\n")]
+            flat, lens = hashed([w for line in lines for w in line]), [len(w) for w in lines]
+            small = np.unique(np.concatenate([line_ngrams(flat, lens, n)[0] for n in range(1, PHRASE)]))
+            out.append((form, side, lens, line_ngrams(flat, lens, PHRASE)[0].view(np.int64), small.view(np.int64)))
+        yield pd.DataFrame(out, columns=["form", "side", "lens", "phrases", "small"])
+
+
+def spare_words(n: int, share: float) -> int:
+    """Words out of ``n`` that may be missing in a match."""
+    u = int(n * (1 - share)) + 1
+    while (n - u) / n < share:
+        u -= 1
+    return u
+
+
+def questions(lens: np.ndarray, phrases: np.ndarray, df: np.ndarray, share: float) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """(need, phrases, weights): a text that has ``share`` of these words has phrases of a total weight of ``need`` or more.
+
+    Asked for are the words with the rarest phrases around them, ``NEED`` more than a match may lack, so that many of
+    them return in each match. A phrase weighs as many asked words as it covers. None: too many words are in no phrase
+    of the other side, nothing can match. ``df`` is how often the other side has each phrase; 0 must be certain, all
+    else is only a preference.
+    """
+    n = int(lens.sum())
+    line, ends = np.repeat(lens, lens), np.repeat(np.cumsum(lens), lens)
+    at = np.arange(n)
+    at = at[(at + PHRASE <= ends) | ((at == ends - line) & (line < PHRASE))]
+    size = np.minimum(line[at], PHRASE)
+    cost = np.zeros(n, dtype=np.int64)
+    for q in range(PHRASE):
+        long = size > q
+        cost[at[long] + q] += df[long]
+    spare = spare_words(n, share)
+    if np.count_nonzero(cost == 0) > spare:
+        return None
+    asked = np.argsort(cost, kind="stable")[: spare + NEED]
+    before = np.zeros(n + 1, dtype=np.int64)
+    before[asked + 1] = 1
+    before = np.cumsum(before)
+    weight = before[at + size] - before[at]
+    keep = (weight > 0) & (df > 0)
+    g, code = np.unique(phrases[keep], return_inverse=True)
+    return len(asked) - spare, g, np.bincount(code, weights=weight[keep], minlength=len(g)).astype(np.int64)
+
+
+class Questions:
+    """Questions of a block of classes by phrase; ``answer`` gives the classes whose need a text meets."""
+
+    def __init__(self, form: np.ndarray, side: np.ndarray, need: np.ndarray, sizes: np.ndarray, g: np.ndarray, w: np.ndarray) -> None:
+        self.form, self.sides, entry = form, {}, np.repeat(np.arange(len(form)), sizes)
+        for s in (1, 2, 3):
+            mine = ((side | s) == 3)[entry]
+            order = np.argsort(g[mine], kind="stable")
+            known, first = np.unique(g[mine][order], return_index=True)
+            self.sides[s] = known, np.append(first, len(order)), entry[mine][order], w[mine][order].astype(np.float64)
+        self.need = need
+
+    def answer(self, side: int, grams: np.ndarray) -> np.ndarray:
+        known, first, entry, w = self.sides[side]
+        if not len(known):
+            return self.form[:0]
+        i = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        i = i[known[i] == grams]
+        if not len(i):
+            return self.form[:0]
+        parts = [slice(a, b) for a, b in zip(first[i].tolist(), first[i + 1].tolist())]
+        hits = np.bincount(np.concatenate([entry[p] for p in parts]), np.concatenate([w[p] for p in parts]), len(self.need))
+        return self.form[hits >= self.need]
 
 
 def containment(a: str, b: str) -> float:
@@ -80,15 +152,17 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, train: str
     """(key_a, key_b), key_a < key_b by bytes: a train record and a record of another split with (nearly) the same text.
 
     1. Records with the same lines, in any order and layout, form one class; only one body per class goes on, so a
-       text with a million copies is compared once. 2. Bodies become hashes of word n-grams. Each class is probed with
-       its rarest n-grams (by frequency over all records, counted map-side first): evaluation probes meet the training
-       n-grams and training probes the evaluation n-grams, as a join partitioned by hash, because either may be the one
-       contained. N-grams over a five-hundredth of the class count are a bounded list, which is broadcast, so counting
-       them does not skew a task. 3. Classes that share two probes (one, when the record has few) are measured by
-       :func:`containment`. 4. Class pairs expand to the record pairs asked for.
-
-    Only n-grams that occur on both sides can link; those a change of words has made are left out before the rarest
-    are taken, so of an altered record the probes are mostly what it kept.
+       text with a million copies is compared once. 2. Bodies become hashes of the phrases that :func:`containment`
+       counts. Of a record that returns in another at most a tenth of the words are missing, so of any set of more words
+       some return: each class, of train and evaluation alike because either may be the one contained, asks for the
+       words with the rarest phrases around them, ``NEED`` more than may be missing, and every class of the other side
+       with at least ``NEED`` of them is a candidate. No pair that reaches the share can be missed, however common its
+       phrases are. 3. Questions are broadcast in blocks of ``BLOCK`` classes and the classes scanned without a shuffle,
+       so a common phrase skews no task. 4. Candidates are measured by :func:`containment`, and class pairs expand to the
+       record pairs asked for.
+
+    How common a phrase is comes from counts of fixed size; they decide how many candidates there are, never which pairs
+    are found. The scans grow with the square of the classes over ``BLOCK``.
 
     Defined results: null, empty and wordless texts never match; a null split is no split; repeated rows of an id count
     once; pairs within train or within evaluation splits are not asked for; empty tables give no rows.
@@ -96,10 +170,9 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, train: str
     rows = df.select(
         F.col(key).cast("string").alias("k"), F.when(F.col(split) == train, 1).when(F.col(split).isNotNull(), 2).alias("side"), F.col(text).alias("t")
     ).filter("k is not null and side is not null and t is not null")
-    ready = cut(spread(rows, "k").mapInPandas(_prepared, "k string, side int, form bigint, body string, grams array<bigint>"), "overlap")
+    ready = cut(spread(rows, "k").mapInPandas(_prepared, "k string, side int, form bigint, body string"), "overlap")
     members = ready.select("k", "side", "form").distinct()
-    sides = ready.groupBy("form").agg(F.bit_or("side").alias("side"), F.min_by(F.struct("body", "grams"), "k").alias("x"))
-    classes = cut(sides.select("form", "side", "x.body", "x.grams"), "overlap")
+    classes = cut(ready.groupBy("form").agg(F.bit_or("side").alias("side"), F.min_by("body", "k").alias("body")), "overlap")
     pairs = _class_pairs(classes, share)
     same = classes.filter("side = 3").select(F.col("form").alias("f1"), F.col("form").alias("f2"))
     linked = pairs.unionByName(same).unionByName(pairs.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"))).distinct()
@@ -111,28 +184,35 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, train: str
 
 def _class_pairs(classes: DataFrame, share: float) -> DataFrame:
     """(f1, f2) of different classes, one with a train record and one with an evaluation record, that match."""
-    grams = classes.select("form", "side", F.explode("grams").alias("g"))
-    many = classes.count() / 500 + 100
-    counts = grams.groupBy("g").agg(F.count("*").alias("df"), F.bit_or("side").alias("sides")).filter("df > 1 and sides = 3").drop("sides")
-    hot = F.broadcast(counts.filter(F.col("df") > many))  # at most 500 n-grams per n-gram of a record
-    seldom = grams.join(hot.select("g"), "g", "left_anti").join(counts.filter(F.col("df") <= many), "g")
-    rare = seldom.unionByName(grams.join(hot, "g"))
-    rank = Window.partitionBy("form").orderBy("df", "g")
-    probes = cut(rare.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= PROBES).select("form", "side", "g"), "overlap")
-    index = grams.select("g", F.col("form").alias("other"), F.col("side").alias("side2"))
-    few = probes.groupBy("form").agg(F.count("*").alias("asked")).filter("asked < 4")
-    hits = (
-        probes.join(index, "g")
-        .filter("form <> other and (side | side2) = 3")
-        .groupBy("form", "other")
-        .agg(F.count("*").alias("hits"))
-    )
-    hits = (
-        hits.filter("hits >= 2")
-        .unionByName(hits.filter("hits < 2").join(few.select("form"), "form", "left_semi"))
-        .select(F.least("form", "other").alias("f1"), F.greatest("form", "other").alias("f2"))
-        .distinct()
-    )
+    spark = classes.sparkSession
+    hashed = cut(spread(classes, "form").mapInPandas(_hashed, "form bigint, side int, lens array<int>, phrases array<bigint>, small array<bigint>"), "overlap")
+    cells = hashed.select("side", F.explode(F.array_distinct(F.concat("phrases", "small"))).alias("g")).groupBy(F.pmod("g", F.lit(CELLS)).alias("cell"))
+    seen = cells.agg(F.count_if(F.col("side") != 2).alias("n1"), F.count_if(F.col("side") != 1).alias("n2")).toArrow()  # at most CELLS rows
+    table = np.zeros((2, CELLS), dtype=np.int64)
+    for k in (0, 1):
+        table[k, seen["cell"].to_numpy()] = seen[f"n{k + 1}"].to_numpy()
+    counts = spark.sparkContext.broadcast(table)
+
+    def ask(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n1, n2 = counts.value
+        other = {1: n2, 2: n1, 3: n1 + n2}
+        for b in batches:
+            out = []
+            for form, side, lens, phrases in zip(b["form"], b["side"], b["lens"], b["phrases"]):
+                asked = questions(lens, phrases, other[side][phrases % CELLS], share)
+                if asked:
+                    out.append((form, side, *asked))
+            yield pd.DataFrame(out, columns=["form", "side", "need", "g", "w"])
+
+    asked = cut(spread(hashed, "form").mapInPandas(ask, "form bigint, side int, need int, g array<bigint>, w array<int>"), "overlap")
+    blocks = -(-asked.count() // BLOCK)
+    hits = None
+    for block in range(blocks):
+        found = cut(_answers(hashed, asked.filter(F.pmod(F.xxhash64("form"), F.lit(blocks)) == block)), "overlap")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return classes.select(F.col("form").alias("f1"), F.col("form").alias("f2")).limit(0)
+    hits = hits.distinct()
     body = classes.select("form", "body")
     both = hits.join(body.select(F.col("form").alias("f1"), F.col("body").alias("b1")), "f1").join(
         body.select(F.col("form").alias("f2"), F.col("body").alias("b2")), "f2"
@@ -146,6 +226,27 @@ def _class_pairs(classes: DataFrame, share: float) -> DataFrame:
     return cut(both.mapInPandas(measure, "f1 bigint, f2 bigint"), "overlap")
 
 
+def _answers(hashed: DataFrame, asked: DataFrame) -> DataFrame:
+    """(f1, f2): classes that ask and classes of the other side that have as much as they need."""
+    t = asked.toArrow()
+    g, w = (t[c].combine_chunks().flatten().to_numpy() for c in ("g", "w"))
+    sizes = np.array([len(x) for x in t["g"]], dtype=np.int64)
+    block = hashed.sparkSession.sparkContext.broadcast((*(t[c].to_numpy() for c in ("form", "side", "need")), sizes, g, w))
+
+    def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Questions(*block.value)
+        for b in batches:
+            f1, f2 = [], []
+            for form, side, phrases, small in zip(b["form"], b["side"], b["phrases"], b["small"]):
+                other = known.answer(side, np.unique(np.concatenate([phrases, small])))
+                other = other[other != form]
+                f1.append(np.minimum(other, form))
+                f2.append(np.maximum(other, form))
+            yield pd.DataFrame({"f1": np.concatenate(f1) if f1 else [], "f2": np.concatenate(f2) if f2 else []}, dtype=np.int64)
+
+    return spread(hashed, "form").select("form", "side", "phrases", "small").mapInPandas(scan, "f1 bigint, f2 bigint")
+
+
 def cross_split_users(draft: DataFrame, key: str = "state_id", user: str = "user_id", split: str = "shard", train: str = "train") -> DataFrame:
     """(key_a, key_b), key_a < key_b: two drafts of one user, one in train, the other in another split.
 

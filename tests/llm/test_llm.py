@@ -222,6 +222,27 @@ def test_cross_split_pairs_against_brute_force(spark):
     assert cross_split_pairs(df.limit(0), "id", "state", "shard").count() == 0
 
 
+def test_cross_split_pairs_with_common_phrases(spark):
+    """Records whose rarest phrases stand in unrelated records too: none of the pairs may be lost to those."""
+    r = random.Random(16)
+    frames = [_sentence(random.Random(100 + i), 45) for i in range(3)]  # many records have these
+    rows = []
+    for i in range(12):
+        base = frames[i % 3] + "\n" + _sentence(random.Random(200 + i), 75)
+        for j in range(4):
+            own = _sentence(r, 12)
+            rows.append((f"{'e' if j == 0 else 't'}{i:02d}{j}", base + "\n" + own, "dev" if j == 0 else "train"))
+            rows.append((f"u{i:02d}{j}", own + "\n" + _sentence(r, 90), "train" if j == 0 else "dev"))
+    for i in range(20):  # two of twenty words changed: no eight that stand together are kept
+        words = _sentence(r, 20).split()
+        rows += [(f"p{i:02d}", " ".join(words), "train"), (f"q{i:02d}", " ".join(f"x{i}y{k}" if k in (6, 13) else w for k, w in enumerate(words)), "test")]
+    body = {k: "\n".join(" ".join(w) for w in lines_of(t)) for k, t, _ in rows}
+    side = {k: s for k, _, s in rows}
+    want = {(min(a, b), max(a, b)) for a in body for b in body if side[a] == "train" and side[b] != "train" and containment(body[a], body[b]) >= 0.9}
+    got = {tuple(x) for x in cross_split_pairs(spark.createDataFrame(rows, "id string, state string, shard string"), "id", "state", "shard").collect()}
+    assert len(want) >= 56 and got == want
+
+
 def test_cross_split_users(spark):
     rows = [("a", "U-1", "train"), ("b", "u1 ", "dev"), ("c", "u1", "dev"), ("d", None, "dev"), ("e", "u2", "train"), ("b", "u1", "dev"), ("f", "u1", None)]
     got = {tuple(x) for x in cross_split_users(spark.createDataFrame(rows, "state_id string, user_id string, shard string")).collect()}
