@@ -245,13 +245,39 @@ def _jaccard(a: str, b: str) -> tuple[float, bool]:
     x, y = _plain(a), _plain(b)
     sx, sy = set(zip(*(x[i:] for i in range(GRAM)))) or {tuple(x)}, set(zip(*(y[i:] for i in range(GRAM)))) or {tuple(y)}
     same = len(sx & sy) / len(sx | sy)
-    if len(x) < 3 or len(y) < len(x) or same < SIMILAR:
+    if len(x) < 3 or len(y) < len(x) - (len(x) - 1) // 10 or same < SIMILAR:
         return same, False
-    n = len(x)
-    body = sum(p == q for p, q in zip(x[: n - 1], y))
-    early = body >= 0.9 * (n - 1) and y[n - 1].startswith(x[-1]) and (len(y) > n or len(y[n - 1]) > len(x[-1]))
-    inside = b.lower().split()[n - 1].rstrip("\"')]}”’»")[-1:] not in ".!?" if early else False
-    return same, bool(early and (inside or len(y[n - 1]) > len(x[-1])))
+    n, at = len(x), _aligned(x, y)
+    if at is None:
+        return same, False
+    longer = len(y[at]) > len(x[-1])
+    inside = b.lower().split()[at].rstrip("\"')]}”’»")[-1:] not in ".!?"
+    return same, bool(longer or inside and len(y) > at + 1)
+
+
+def _aligned(x: list[str], y: list[str]) -> int | None:
+    """Where in ``y`` the last word of ``x``, or the word it begins, stands, when all words before it align with those of ``x``.
+
+    A tenth of the words may be changed, left out or put in; a banded alignment from the start of both.
+    """
+    n, last = len(x) - 1, x[-1]
+    wide = n // 10
+    if sum(p != q for p, q in zip(x[:n], y)) <= wide and len(y) > n and y[n].startswith(last):
+        return n
+    far = wide + 1
+    row = {j: j for j in range(min(wide, len(y)) + 1)}
+    for i in range(1, n + 1):
+        word, new = x[i - 1], {}
+        for j in range(max(0, i - wide), min(len(y), i + wide) + 1):
+            best = row.get(j, far) + 1
+            if j:
+                best = min(best, new.get(j - 1, far) + 1, row.get(j - 1, far) + (word != y[j - 1]))
+            new[j] = best
+        row = new
+        if min(row.values(), default=far) > wide:
+            return None
+    ends = [(d, abs(j - n), j) for j, d in row.items() if d <= wide and j < len(y) and y[j].startswith(last)]
+    return min(ends)[2] if ends else None
 
 
 def _plain(text: str) -> list[str]:
@@ -270,9 +296,9 @@ def cut_rows(rows: DataFrame) -> DataFrame:
 
     1. One pass over all texts makes min-hash band keys of word shingles and a count sketch of fixed size: how often each
        suffix of up to three words ends a sentence, goes on, or ends a text bare, and which longer words follow a word.
-    2. Texts that do not end like a sentence meet the longest text of each of their band buckets (a star, no pairs
-       within a bucket); pairs of similarity 0.8 or more are aligned, and a text whose alignment ends inside a word or
-       a sentence of its longer copy is cut. 3. All other such texts are scored by the terminality of their closing
+    2. Texts that do not end like a sentence meet every longer text of each of their band buckets, where exact copies
+       are one; pairs of similarity 0.8 or more are aligned, and a text whose alignment ends inside a word or a
+       sentence of a longer copy is cut. 3. All other such texts are scored by the terminality of their closing
        words. Marks that exporters leave behind a cut (``[...]``, ``... (more)``, half an escape) count as cut.
 
     Defined results: null, empty and blank texts are no rows; a text that lacks a full stop, ends in dots, a sign-off or
@@ -280,34 +306,34 @@ def cut_rows(rows: DataFrame) -> DataFrame:
     read whole, whatever their length.
     """
     spark = rows.sparkSession
-    base = rows.select("tbl", "row_key", "source", "text").filter("text is not null and trim(text) <> ''")
+    base = rows.select("tbl", "row_key", "source", "text", F.xxhash64("text").alias("form")).filter("text is not null and trim(text) <> ''")
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = Scan()
         for b in batches:
             texts = b["text"].tolist()
             keys = one.add(texts)
-            ids, tbl, size = b["row_key"].to_numpy(), b["tbl"].to_numpy(), np.array([len(t) for t in texts], dtype=np.int32)
+            form, size = b["form"].to_numpy(), np.array([len(t) for t in texts], dtype=np.int32)
             odd = np.array([suspicious(t) for t in texts])
             yield pd.DataFrame({
                 "cell": np.int32(-1), "stop": np.int32(0), "cont": np.int32(0), "bare": np.repeat(odd.astype(np.int32), BANDS), "key": keys.ravel(),
-                "tbl": np.repeat(tbl, BANDS), "row_key": np.repeat(ids, BANDS), "size": np.repeat(size, BANDS),
+                "form": np.repeat(form, BANDS), "size": np.repeat(size, BANDS),
             })
         cells = one.cells()
-        yield cells.assign(key=np.int64(0), tbl=None, row_key=None, size=np.int32(0))
+        yield cells.assign(key=np.int64(0), form=np.int64(0), size=np.int32(0))
 
-    seen = cut(spread(base, "row_key").select("tbl", "row_key", "text").mapInPandas(scan, "cell int, stop int, cont int, bare int, key bigint, tbl string, row_key string, size int"), "cutoff")
+    seen = cut(spread(base, "row_key").select("form", "text").mapInPandas(scan, "cell int, stop int, cont int, bare int, key bigint, form bigint, size int"), "cutoff")
     shared = spark.sparkContext.broadcast(_packed_sketch(seen.filter("cell >= 0")))  # fixed size
 
-    early = _cut_copies(seen.filter("cell = -1").select("key", "tbl", "row_key", "size", (F.col("bare") == 1).alias("odd")), base)
+    early = _cut_copies(seen.filter("cell = -1 and key <> 0").select("key", "form", "size", (F.col("bare") == 1).alias("odd")), base)
 
     def judge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         closing = Closing(_unpacked(shared.value))
         for b in batches:
-            yield b[["tbl", "row_key", "source"]].assign(open=[suspicious(t) and closing.is_cut(t) for t in b["text"]])
+            yield b[["tbl", "row_key", "source", "form"]].assign(open=[suspicious(t) and closing.is_cut(t) for t in b["text"]])
 
-    judged = base.mapInPandas(judge, "tbl string, row_key string, source string, open boolean")
-    return judged.join(early, ["tbl", "row_key"], "left").select("tbl", "row_key", "source", F.coalesce("early", "open").alias("cut"))
+    judged = base.mapInPandas(judge, "tbl string, row_key string, source string, form bigint, open boolean")
+    return judged.join(early, "form", "left").select("tbl", "row_key", "source", F.coalesce("early", "open").alias("cut"))
 
 
 BLOCK = 1 << 12  # cells that travel together
@@ -335,19 +361,25 @@ def _unpacked(blocks: list[tuple[int, bytes]]) -> np.ndarray:
 
 
 def _cut_copies(bands: DataFrame, base: DataFrame) -> DataFrame:
-    """(tbl, row_key, early) of texts that have a longer near-copy: whether the alignment ends early."""
-    longest = bands.groupBy("key").agg(F.max(F.struct("size", F.col("tbl").alias("t2"), F.col("row_key").alias("k2"))).alias("x"))
-    pairs = bands.filter("odd").join(longest, "key").filter(F.col("x.size") > F.col("size")).select("tbl", "row_key", "x.t2", "x.k2").distinct()
-    text = base.select("tbl", "row_key", "text")
-    both = pairs.join(text, ["tbl", "row_key"]).join(text.select(F.col("tbl").alias("t2"), F.col("row_key").alias("k2"), F.col("text").alias("other")), ["t2", "k2"])
+    """(form, early) of texts that have a longer near-copy: whether the alignment with any of them ends early.
+
+    A bucket gives all pairs of its different texts, a text that does not end like a sentence with a longer one; a hot
+    bucket is a skewed key, which the adaptive join splits.
+    """
+    bands = bands.distinct()
+    longer = bands.select("key", F.col("form").alias("f2"), F.col("size").alias("s2"))
+    pairs = cut(bands.filter("odd").join(longer, "key").filter(F.col("s2") > F.col("size")).select("form", "f2").distinct(), "cutoff")
+    asked = pairs.select("form").unionByName(pairs.select(F.col("f2").alias("form"))).distinct()
+    text = cut(base.select("form", "text").join(asked, "form", "left_semi").dropDuplicates(["form"]), "cutoff")
+    both = pairs.join(text, "form").join(text.select(F.col("form").alias("f2"), F.col("text").alias("other")), "f2")
 
     def align(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [_jaccard(x, y) for x, y in zip(b["text"], b["other"])]
             keep = np.array([s >= SIMILAR and e for s, e in got], dtype=bool)
-            yield b.loc[keep, ["tbl", "row_key"]].assign(early=True)
+            yield b.loc[keep, ["form"]].assign(early=True)
 
-    return both.mapInPandas(align, "tbl string, row_key string, early boolean").distinct()
+    return both.mapInPandas(align, "form bigint, early boolean").distinct()
 
 
 def cut_found(judged: DataFrame) -> DataFrame:

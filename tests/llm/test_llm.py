@@ -271,6 +271,26 @@ def test_cut_rows(spark):
     assert cutoff.cut_rows(df.limit(0)).count() == 0
 
 
+def test_cut_copy_behind_a_longer_text(spark):
+    """The full copy of a cut text is not the longest of its bucket, or has a word more: the cut text is found by it."""
+    r = random.Random(17)
+    rows, cut = [], set()
+    for i in range(8):
+        words, more = _sentence(r, 44)[:-1].split(), _sentence(r, 70)[:-1].split()
+        rows += [(f"full{i}", " ".join(words) + " " + _sentence(r, 5)), (f"cut{i}", " ".join(words[:-2])), (f"long{i}", " ".join(words[:-2]) + ". " + _sentence(r, 14))]
+        rows += [(f"more{i}", " ".join([*more[:3], "really", *more[3:]]) + "."), (f"less{i}", " ".join(more[:-2]))]
+        cut |= {f"cut{i}", f"less{i}"}
+        rows += [(f"end{i}{j}{k}", _sentence(r, 4)[:-1] + " " + " ".join(w[-4:-2]) + ".") for j in range(6) for k, w in enumerate((words, more))]
+    df = spark.createDataFrame([("t", k, "s", t) for k, t in rows], "tbl string, row_key string, source string, text string")
+    assert {x["row_key"] for x in cutoff.cut_found(cutoff.cut_rows(df)).collect()} == cut
+
+
+def test_aligned():
+    assert cutoff._aligned("a b c d e f g h i j k l m".split(), "a b c x d e f g h i j k l m n".split()) == 13
+    assert cutoff._aligned("a b c d".split(), "a x c d".split()) is None
+    assert cutoff._aligned("a b".split(), "a bc".split()) == 1
+
+
 # ---- personal information
 
 
