@@ -114,7 +114,7 @@ NOT_PERSONAL = frozenset(
 
 
 class Roles(dict):
-    """One letter per whitespace token, remembered: what the token could be part of. Emptied when full.
+    """One letter per whitespace token (one per word of glued names and number words), remembered: what it could be part of. Emptied when full.
 
     p a proper word, t a title, i an initial, n a number word, s a street word, @ part of an address for mail, digits:
     1 up to two, 3 three to six, 7 more; a capital S is a street word that is also a proper word; dot: nothing.
@@ -140,6 +140,12 @@ class Roles(dict):
         m = _WORD.search(low)
         if not m:
             return "."
+        parts = _WORD.findall(token)
+        if len(parts) > 1 and _NAME_HINT.search(inside := "".join(map(self._role, parts))):
+            return inside  # J.Smith, Dr.Smith
+        numbers = re.split(r"[,\-]+", low.strip(",-.;:!?()\"'"))
+        if len(numbers) > 1 and all(re.fullmatch(_DIGIT_WORD, x) for x in numbers):
+            return "n" * len(numbers)
         word = m.group()
         if re.fullmatch(_DIGIT_WORD, word):
             return "n"
@@ -154,8 +160,9 @@ class Roles(dict):
 
 
 _NAME_HINT = re.compile(r"[ptiS][piS]")
-_PHONE_HINT = re.compile(r"7|[13.]*3[13]|1[13]{2}|n{6}")
-_STREET_HINT = re.compile(r"[13].{0,6}[sS]|[sS].{0,5}[13]")
+_PHONE_HINT = re.compile(r"[37]|1[13]{2}|n{6}")  # no phone or id number has under six digits
+_STREET_HINT = re.compile(r"[13].{0,8}[sS]|[sS].{0,7}[13]")
+_AT_SIGN = re.compile(r"[\[(]\s?(?:at|@)\s?[\])]", re.I)
 
 
 def proper_cell(word: str) -> int:
@@ -176,7 +183,7 @@ class Field:
         out = []
         hint = "".join(map(self.roles.__getitem__, text.split()))
         kinds = []
-        if "@" in hint:
+        if "@" in hint or _AT_SIGN.search(text):
             kinds.append("email")
         if _PHONE_HINT.search(hint):
             kinds += ["phone", "id_number"]

@@ -308,6 +308,17 @@ def test_field_finds_held_out_values():
     assert right / gold > 0.9 and found / total > 0.9
 
 
+def test_candidates_of_rare_spellings():
+    field = pii.Field({}, lambda w: w in ("smith", "john"))
+    for kind, value in [
+        ("id_number", "QQ123456C"), ("id_number", "QQ-12-34-56-C"), ("id_number", "AB123456"), ("person_name", "J.Smith"), ("person_name", "Dr.Smith"),
+        ("email", "jo [ at ] mail.example"), ("email", "jo ( at ) mail.example"), ("phone", "five-five-five-one-two-three-four"),
+    ]:
+        text = f"well it was {value} then"
+        assert (kind, value) in {(k, text[a:b]) for a, b, k, _ in field.candidates(text)}, value
+    assert not field.candidates("we came at 10:30 on 2024-01-02 and had 12 of them")
+
+
 def test_find_personal(spark):
     names = [(f"n{i}", f"We met Alda Fontayne and {w} there.") for i, w in enumerate(["Corwin Drummock", "Petra Ironmoor"] * 6)]
     rows = names + [
