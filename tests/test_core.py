@@ -112,3 +112,13 @@ def test_registry():
     names = e.queries()
     assert {"stratified_hash_sample", "p3_found"} <= set(names)
     assert set(e.oracle_sql()) <= set(names)
+
+
+def test_key_bits(spark):
+    from marlpit.functions.bitmap import KeyBits, key_bits
+
+    keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
+    bits = KeyBits(key_bits(spark.createDataFrame([(int(k),) for k in keys], "key bigint")))
+    assert bits.has(keys.astype(np.int64).view(np.uint64)).all()
+    assert bits.has(np.random.default_rng(2).integers(0, 1 << 62, 5000, dtype=np.uint64)).mean() < 0.1
+    assert not KeyBits(key_bits(spark.createDataFrame([], "key bigint"))).has(np.arange(9, dtype=np.uint64)).any()
