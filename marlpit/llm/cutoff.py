@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.functions.shingles import MinHasher, mix, ngrams
+from marlpit.functions.bitmap import KeyBits, key_bits
+from marlpit.functions.shingles import MinHasher, mix
 from marlpit.session import cut, spread
 
 GRAM, BANDS, ROWS = 5, 5, 3  # five-word shingles; 3 rows in 5 bands find a pair of similarity 0.8 with probability 0.97
 SIMILAR = 0.8
-CELLS = 1 << 22  # cells of the count sketch, whatever the size of the corpus
+FIRST_WINDOW, WIDER = 8, 1.5  # words of the shortest opening that is banded, and the ratio of one opening to the next
 STOP, CONT, BARE = 0, 1, 2
 TERMINAL = 0.12  # closings that end a sentence less often than this are cut
 MIN_SEEN = 3
@@ -28,6 +28,7 @@ LEFTOVER = re.compile(r"(?:�+|&(?:#?\w{0,6})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-
 _DOTS = re.compile(r"(?:\.{2,}|…)\s*$")
 _ENDED = re.compile(r"[.!?。！？।؟:;)\]}>\"'”’»*~^_|/]$")
 _STRIP = ".,;:!?\"'()[]{}<>*_~`“”‘’«»¡¿…-–—"
+_NOTHING = np.empty(0, dtype=np.uint64)
 
 
 class Tokens(dict):
@@ -51,208 +52,273 @@ class Tokens(dict):
             self.hashes, self.stops = [], []
 
 
-def _cell(h: np.ndarray | int, order: int) -> np.ndarray:
+EDGE = np.uint64(0x5851F42D4C957F2D)  # stands for the start of a sentence
+
+
+def _keyed(h: np.ndarray, order: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix(np.asarray(h, dtype=np.uint64) ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(CELLS)).astype(np.int64)
+        return mix(np.asarray(h, dtype=np.uint64) ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
 def contexts(w: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Cells of the suffixes of one, two and three words that end at each word; ``first`` marks sentence starts.
+    """Keys of the suffixes of one, two and three words that end at each word; ``first`` marks sentence starts.
 
     A suffix does not reach over a sentence start; what is missing there is the start itself.
     """
-    edge = EDGE
+    if not len(w):
+        return [w, w, w]
     with np.errstate(over="ignore"):
-        p1 = np.where(first, edge, np.concatenate([[edge], w[:-1]])) if len(w) else w
-        second = first | np.concatenate([[True], first[:-1]]) if len(w) else first
-        p2 = np.where(second, edge, np.concatenate([[edge, edge], w[:-2]])[: len(w)]) if len(w) else w
+        p1 = np.where(first, EDGE, np.concatenate([[EDGE], w[:-1]]))
+        second = first | np.concatenate([[True], first[:-1]])
+        p2 = np.where(second, EDGE, np.concatenate([[EDGE, EDGE], w[:-2]])[: len(w)])
         two = mix(w * np.uint64(3) + mix(p1))
         three = mix(two + mix(p2 * np.uint64(5)))
-    return [_cell(w, 1), _cell(two, 2), _cell(three, 3)]
+    return [_keyed(w, 1), _keyed(two, 2), _keyed(three, 3)]
 
 
-def prefix_cells(before: np.ndarray | int, prefix: np.ndarray | int) -> np.ndarray:
-    """Cell of "a longer word with this prefix follows that word"; ``before`` is 0 for any word."""
+def prefix_keys(before: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """Keys of "a longer word with this prefix follows that word"; ``before`` is 0 for any word."""
     with np.errstate(over="ignore"):
-        return _cell(mix(np.asarray(before, dtype=np.uint64)) ^ np.asarray(prefix, dtype=np.uint64), 9)
+        return _keyed(mix(np.asarray(before, dtype=np.uint64)) ^ np.asarray(prefix, dtype=np.uint64), 9)
 
 
-EDGE = np.uint64(0x5851F42D4C957F2D)  # stands for the start of a sentence
+def prefix_hashes(word: str) -> np.ndarray:
+    """Hashes of all proper prefixes of a word, in one pass over it."""
+    h, out = xxhash.xxh64(), []
+    for c in word[:-1]:
+        h.update(c)
+        out.append(h.intdigest())
+    return np.array(out, dtype=np.uint64)
 
 
-_ALL = (1 << 64) - 1
+def windows(n: int) -> list[int]:
+    """Sizes of the openings of a text of ``n`` words that are banded."""
+    out, w = [], FIRST_WINDOW
+    while w <= n:
+        out.append(w)
+        w = int(w * WIDER)
+    return out
 
 
-def _mix1(h: int) -> int:
-    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
-    return h ^ (h >> 31)
+class Openings:
+    """Min-hash band keys of the openings of texts, by size of the opening."""
 
+    def __init__(self) -> None:
+        self.hasher = MinHasher(BANDS * ROWS, seed=11)
 
-def _cell1(h: int, order: int) -> int:
-    return _mix1(h ^ (order * 0x9E3779B97F4A7C15 & _ALL)) % CELLS
+    def keys(self, w: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """openings x bands keys for the word hashes ``w`` of one text; ``sizes`` ascend, none over ``len(w)``.
 
+        The shingles of an opening are those of the shorter ones and some more, so its minima are running minima.
+        """
+        return self.many([(w, sizes)])
 
-def last_contexts(tail: list[int]) -> tuple[int, int, int]:
-    """:func:`contexts` of the last word, given the hashes of up to three closing words of its sentence."""
-    edge = int(EDGE)
-    w, p1, p2 = tail[-1], tail[-2] if len(tail) > 1 else edge, tail[-3] if len(tail) > 2 else edge
-    two = _mix1((w * 3 + _mix1(p1)) & _ALL)
-    return _cell1(w, 1), _cell1(two, 2), _cell1(_mix1((two + _mix1(p2 * 5 & _ALL)) & _ALL), 3)
+    def many(self, texts: list[tuple[np.ndarray, list[int]]]) -> np.ndarray:
+        """The same for several texts at once, their openings one after the other."""
+        if not texts:
+            return np.empty((0, BANDS), dtype=np.uint64)
+        grams, starts, fresh, size, at = [], [], [], [], 0
+        with np.errstate(over="ignore"):
+            for w, sizes in texts:
+                w = w[: sizes[-1]]
+                h = np.zeros(len(w) - GRAM + 1, dtype=np.uint64)
+                for k in range(GRAM):
+                    h = mix(h * np.uint64(7) + w[k : k + len(h)])
+                grams.append(h)
+                starts += [at + (s - GRAM + 1 if i else 0) for i, s in enumerate([0, *sizes[:-1]])]
+                fresh += [True] + [False] * (len(sizes) - 1)
+                size += sizes
+                at += len(h)
+            minima = self.hasher.minima(np.concatenate(grams), np.array(starts))
+            level = np.array(fresh)
+            while not level.all():  # running minima over the openings of a text, one step of size a time
+                todo = np.flatnonzero(~level & np.concatenate([[False], level[:-1]]))
+                minima[:, todo] = np.minimum(minima[:, todo], minima[:, todo - 1])
+                level[todo] = True
+            out = np.empty((len(size), BANDS), dtype=np.uint64)
+            tag = np.array(size, dtype=np.uint64) * np.uint64(1_000_003)
+            for b in range(BANDS):
+                h = mix(tag + np.uint64(b + 1))
+                for r in range(ROWS):
+                    h = mix(h * np.uint64(31) + minima[b * ROWS + r])
+                out[:, b] = h
+        return out
 
 
-class Scan:
-    """One pass over texts: sketch counts of every suffix context, and min-hash band keys of every text."""
+def suspicious(text: str) -> bool:
+    """Whether a text does not end like a sentence: the only ones that can be cut copies or unterminated."""
+    body = text.rstrip()
+    return bool(body) and (not _ENDED.search(body) or bool(MARKS.search(body[-48:])) or bool(LEFTOVER.search(body[-12:])) or bool(_DOTS.search(body[-12:])))
+
+
+def _maybe_suspicious(text: Column) -> Column:
+    """A superset of :func:`suspicious` inside the engine, so that most texts are not judged in Python."""
+    end = F.regexp_replace(F.right(text, F.lit(200)), r"(?U)\s+$", "")
+    return ~end.rlike(r"[.!?。！？।؟:;)\]}>\"'”’»*~^_|/]$") | end.rlike(r"(?i)(?:\.\.|…|\[truncated\]|\(truncated\)|\(more\)|\]|[\\%<�]|&)[^.]{0,24}\.{0,4}$")
+
+
+class Asked:
+    """What must be known about a suspicious text: keys of its closing contexts and the bands of its opening."""
 
     def __init__(self) -> None:
-        self.tokens, self.hasher = Tokens(), MinHasher(BANDS * ROWS, seed=11)
-        self.counts = np.zeros((3, CELLS), dtype=np.int32)
-        self.pairs: dict[tuple[int, str], int] = {}
+        self.tokens, self.openings = Tokens(), Openings()
 
-    def add(self, texts: list[str]) -> np.ndarray:
-        """Counts the texts; returns texts x bands keys (0 in rows of texts without words)."""
-        keys = np.zeros((len(texts), BANDS), dtype=np.int64)
-        flat: list[int] = []
-        lengths = np.zeros(len(texts), dtype=np.int64)
+    def __call__(self, text: str) -> tuple[bool | None, bool, bool, list[int], list[int], int] | None:
+        """(verdict if known, alphabetic last word, short capital word, context keys, band keys, words); None: complete."""
+        body = text.rstrip()
+        left = LEFTOVER.search(body[-12:])
+        marked = bool(MARKS.search(body[-48:])) or bool(left and left.group() not in ("&", "%", "<"))
+        core = _DOTS.sub("", body).rstrip()
+        open_end = bool(core) and not _ENDED.search(core) and core[-1].isalnum()
+        if marked:
+            return True, False, False, [], [], 0
+        if not open_end:
+            return None
+        toks = core.split()
+        lower = [t.lower() for t in toks[-12:]]
         self.tokens.trim()
+        info = [self.tokens[t] for t in lower]
+        begin = max((i + 1 for i, n in enumerate(info[:-1]) if self.tokens.stops[n]), default=0)
+        w = np.array([self.tokens.hashes[n] for n in info[max(begin, len(info) - 3) :]], dtype=np.uint64)
+        first = np.zeros(len(w), dtype=bool)
+        first[0] = len(info) - len(w) <= begin
+        keys = [c[-1] for c in contexts(w, first)]
+        part = xxhash.xxh64_intdigest(lower[-1].strip(_STRIP))
+        before = np.array([w[-2] if len(w) > 1 else EDGE], dtype=np.uint64)
+        keys += [prefix_keys(np.zeros(1, dtype=np.uint64), np.array([part], dtype=np.uint64))[0], prefix_keys(before, np.array([part], dtype=np.uint64))[0]]
+        bands: list[int] = []
+        sizes = windows(len(toks) - 1)
+        if sizes:
+            hashes = np.array([xxhash.xxh64_intdigest(t.strip(_STRIP)) for t in core.lower().split()[: sizes[-1]]], dtype=np.uint64)
+            bands = self.openings.keys(hashes, sizes)[-1].view(np.int64).tolist()
+        return False, toks[-1].lower().isalpha(), toks[-1].isupper() and len(toks[-1]) < 4, np.array(keys, dtype=np.uint64).view(np.int64).tolist(), bands, len(toks)
+
+
+class Scan:
+    """One pass over texts: counts of the asked contexts, and band keys of openings that some suspicious text asks for.
+
+    The bits of the asked keys only save work: a key that no text asked for may be counted in vain, none is left out.
+    """
+
+    def __init__(self, bits: KeyBits) -> None:
+        self.bits, self.tokens, self.openings = bits, Tokens(), Openings()
+        self.prefixes: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.load = 0
+
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts the texts; returns (text, key, words) of the asked band keys."""
+        if len(self.tokens) > self.tokens.room:
+            self.tokens.trim()
+            self.prefixes = []
         get = self.tokens.__getitem__
+        flat: list[int] = []
+        lengths = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
             toks = t.lower().split()
             lengths[i] = len(toks)
             flat.extend(map(get, toks))
         if not flat:
-            return keys
+            return np.empty(0, dtype=np.int64), _NOTHING, np.empty(0, dtype=np.int64)
         ids = np.array(flat)
         w, stop = np.array(self.tokens.hashes, dtype=np.uint64)[ids], np.array(self.tokens.stops, dtype=bool)[ids]
         ends = np.cumsum(lengths)
-        full = np.flatnonzero(lengths > 0)
         last = np.zeros(len(w), dtype=bool)
-        last[ends[full] - 1] = True
+        last[ends[lengths > 0] - 1] = True
         first = np.concatenate([[True], (stop | last)[:-1]])
-        before = np.where(first, EDGE, np.concatenate([[EDGE], w[:-1]]))
-        self._count_pairs(before, ids, last & ~stop)
         kind = np.where(stop, STOP, np.where(last, BARE, CONT))
-        for cells in contexts(w, first):
-            for k in (STOP, CONT, BARE):
-                np.add.at(self.counts[k], cells[kind == k], 1)
-        starts = ends - lengths
-        grams, short = self._shingles(w, starts[full], lengths[full])
-        minima = self.hasher.minima(grams, short)
-        with np.errstate(over="ignore"):
-            for b in range(BANDS):
-                h = np.full(len(full), np.uint64(b + 1))
-                for r in range(ROWS):
-                    h = mix(h * np.uint64(31) + minima[b * ROWS + r])
-                keys[full, b] = h.view(np.int64)
-        return keys
-
-    def _count_pairs(self, before: np.ndarray, ids: np.ndarray, bare: np.ndarray) -> None:
-        """Counts (previous word, word); a bare last word may be a cut one and is no word to learn."""
+        seen = contexts(w, first)
+        keys, kinds = [*seen], [kind] * 3
+        inner = ~(last & ~stop)  # a bare last word may be a cut one and is no word to learn
+        before = np.where(first, EDGE, np.concatenate([[EDGE], w[:-1]]))
+        of = self._prefixes()
+        size = np.array([len(p) for p in of], dtype=np.int64)
+        take = np.flatnonzero(inner & (size[ids] > 0))
+        if len(take):
+            n = size[ids[take]]
+            p = np.concatenate(of)
+            start = np.concatenate([[0], np.cumsum(size)[:-1]])[ids[take]]
+            at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = [prefix_keys(np.zeros(1, dtype=np.uint64), p)[at], prefix_keys(np.repeat(before[take], n), p[at])]
+            keys += both
+            kinds += [np.full(len(at), CONT)] * 2
+        self._count(np.concatenate(keys), np.concatenate(kinds))
+        return self._bands(w, ends - lengths, lengths)
+
+    def _prefixes(self) -> list[np.ndarray]:
+        """Of each known token the hashes of those proper prefixes that some text asks for."""
         names = list(self.tokens)
-        prev, code = np.unique(before[~bare], return_inverse=True)
-        both, n = np.unique(code.astype(np.int64) * len(names) + ids[~bare], return_counts=True)
-        for b, i, c in zip(prev[both // len(names)].tolist(), (both % len(names)).tolist(), n.tolist()):
-            key = (b, names[i])
-            self.pairs[key] = self.pairs.get(key, 0) + c
-        if len(self.pairs) > 1_000_000:
-            self._spill_pairs()
-
-    def _spill_pairs(self) -> None:
-        """Adds the proper prefixes of the counted words to the sketch, once per different pair."""
-        known: dict[str, list[int]] = {}
-        before: list[int] = []
-        prefix: list[int] = []
-        count: list[int] = []
-        for (b, t), n in self.pairs.items():
-            hashes = known.get(t)
-            if hashes is None:
-                word = t.strip(_STRIP)
-                hashes = known[t] = [xxhash.xxh64_intdigest(word[:k]) for k in range(1, min(len(word), 24))]
-            prefix += hashes
-            before += [b] * len(hashes)
-            count += [n] * len(hashes)
-        self.pairs = {}
-        if prefix:
-            p, n = np.array(prefix, dtype=np.uint64), np.array(count, dtype=np.int32)
-            np.add.at(self.counts[CONT], prefix_cells(np.array(before, dtype=np.uint64), p), n)
-            np.add.at(self.counts[CONT], prefix_cells(np.zeros(len(p), dtype=np.uint64), p), n)
-
-    @staticmethod
-    def _shingles(w: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Five-word shingles of consecutive texts and where each text's begin; a shorter text is one shingle."""
-        padded = np.concatenate([w, np.zeros(GRAM, dtype=np.uint64)])
-        end = np.repeat(starts + lengths, lengths)
-        at = np.arange(len(w))
-        h = np.zeros(len(w), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(GRAM):
-                h = np.where(at + k < end, mix(h * np.uint64(7) + padded[k : k + len(w)]), h)
-        n = np.maximum(lengths - GRAM + 1, 1)
-        keep = at < np.repeat(starts + n, lengths)
-        return h[keep], np.concatenate([[0], np.cumsum(n)[:-1]])
+        for t in names[len(self.prefixes) :]:
+            h = prefix_hashes(t.strip(_STRIP))
+            self.prefixes.append(h[self.bits.has(prefix_keys(np.zeros(1, dtype=np.uint64), h))] if len(h) else _NOTHING)
+        return self.prefixes
+
+    def _count(self, keys: np.ndarray, kinds: np.ndarray) -> None:
+        asked = self.bits.has(keys)
+        k, code = np.unique(keys[asked], return_inverse=True)
+        n = np.bincount(code * 3 + kinds[asked], minlength=3 * len(k)).reshape(-1, 3)
+        self.keys.append(k)
+        self.counts.append(n)
+        self.load += len(k)
+
+    def full(self) -> bool:
+        return self.load > 2_000_000
+
+    def counted(self) -> pd.DataFrame:
+        """(key, s, c, b) so far; the counts begin anew."""
+        k, code = np.unique(np.concatenate(self.keys or [_NOTHING]), return_inverse=True)
+        n = np.concatenate(self.counts) if self.counts else np.empty((0, 3), dtype=np.int64)
+        total = np.stack([np.bincount(code, weights=n[:, i], minlength=len(k)) for i in range(3)], axis=1).astype(np.int64) if len(k) else n
+        self.keys, self.counts, self.load = [], [], 0
+        return pd.DataFrame({"key": k.view(np.int64), "form": np.int64(0), "s": total[:, 0], "c": total[:, 1], "b": total[:, 2]})
+
+    def _bands(self, w: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known: dict[int, list[int]] = {}
+        wide = np.flatnonzero(lengths >= FIRST_WINDOW).tolist()
+        if not wide:
+            return np.empty(0, dtype=np.int64), _NOTHING, np.empty(0, dtype=np.int64)
+        sizes = []
+        for i in wide:
+            n = int(lengths[i])
+            s = known.get(n)
+            if s is None:
+                s = known[n] = windows(n)
+            sizes.append(s)
+        keys = self.openings.many([(w[starts[i] : starts[i] + lengths[i]], s) for i, s in zip(wide, sizes)])
+        owner = np.repeat(np.array(wide), [len(s) for s in sizes])
+        hit = self.bits.has(keys.ravel())
+        owner = np.repeat(owner, BANDS)[hit]
+        return owner, keys.ravel()[hit], lengths[owner]
 
-    def cells(self) -> pd.DataFrame:
-        """Non-empty cells."""
-        self._spill_pairs()
-        at = np.flatnonzero(self.counts.any(axis=0))
-        return pd.DataFrame({"cell": at.astype(np.int32), "stop": self.counts[STOP][at], "cont": self.counts[CONT][at], "bare": self.counts[BARE][at]})
 
+def _plain(text: str) -> list[str]:
+    body = _DOTS.sub("", LEFTOVER.sub("", MARKS.sub("", text.rstrip()).rstrip()).rstrip()).rstrip()
+    return [t.strip(_STRIP) for t in body.lower().split()]
 
-class Closing:
-    """Terminality of a text's closing words, from the sketch of the whole corpus."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts
-        self.tokens = Tokens()
+def _grams(x: list[str]) -> set[tuple[str, ...]]:
+    return set(zip(*(x[i:] for i in range(GRAM)))) or {tuple(x)}
 
-    def is_cut(self, text: str) -> bool:
-        body = text.rstrip()
-        if MARKS.search(body[-48:]):
-            return True
-        left = LEFTOVER.search(body[-12:])
-        if left and left.group() not in ("&", "%", "<"):
-            return True
-        dots = bool(_DOTS.search(body[-12:]))
-        core = _DOTS.sub("", body).rstrip() if dots else body
-        if not core or _ENDED.search(core) or not core[-1].isalnum():
-            return False
-        toks = core.split()[-12:]
-        lower = [t.lower() for t in toks]
-        self.tokens.trim()
-        info = [self.tokens[t] for t in lower]
-        begin = max((i + 1 for i, n in enumerate(info[:-1]) if self.tokens.stops[n]), default=0)
-        tail = [self.tokens.hashes[n] for n in info[max(begin, len(info) - 3) :]]
-        one, two, three = last_contexts(tail)
-        before = tail[-2] if len(tail) > 1 else int(EDGE)
-        part = xxhash.xxh64_intdigest(lower[-1].strip(_STRIP))
-        s1, c1, b1 = self.counts[:, one].tolist()
-        s2, c2, b2 = self.counts[:, two].tolist()
-        s3, c3, b3 = self.counts[:, three].tolist()
-        longer, here = int(self.counts[CONT, _cell1(part, 9)]), int(self.counts[CONT, _cell1(_mix1(before) ^ part, 9)])
-        if here >= MIN_SEEN and s2 + c2 <= here / 50:  # only ever the beginning of the word that stands here
-            return bool(b2 <= here / 50)
-        for s, c, b in ((s3, c3, b3), (s2, c2, b2)):
-            if s + c > 1 or b >= MIN_SEEN:
-                return bool((s + b * (s + b > c / 50)) / (s + c + b) < TERMINAL)
-        if longer >= MIN_SEEN and s1 + c1 <= longer / 200 and lower[-1].isalpha():
-            return not (toks[-1].isupper() and len(toks[-1]) < 4)
-        if s1 + c1 > 1:
-            return bool((s1 + b1 * (s1 + b1 > c1 / 50)) / (s1 + c1 + b1) < TERMINAL)
-        return False
-
-
-def _jaccard(a: str, b: str) -> tuple[float, bool]:
-    """(similarity of the word shingles, whether ``a`` aligns with ``b`` and ends early, inside a sentence of ``b``)."""
-    x, y = _plain(a), _plain(b)
-    sx, sy = set(zip(*(x[i:] for i in range(GRAM)))) or {tuple(x)}, set(zip(*(y[i:] for i in range(GRAM)))) or {tuple(y)}
-    same = len(sx & sy) / len(sx | sy)
-    if len(x) < 3 or len(y) < len(x) - (len(x) - 1) // 10 or same < SIMILAR:
-        return same, False
-    n, at = len(x), _aligned(x, y)
+
+def copy_verdict(x: list[str], y: list[str], raw: list[str]) -> int:
+    """1: the words ``x`` align with the opening of the longer ``y`` and end early, inside a word or a sentence of it; 0: they
+    end where a sentence of ``y`` ends; -1: no copy of similarity ``SIMILAR``. ``raw`` are the words of y as they stand."""
+    n = len(x)
+    if n < 2 or len(y) < n - (n - 1) // 10:
+        return -1
+    at = _aligned(x, y)
     if at is None:
-        return same, False
-    longer = len(y[at]) > len(x[-1])
-    inside = b.lower().split()[at].rstrip("\"')]}”’»")[-1:] not in ".!?"
-    return same, bool(longer or inside and len(y) > at + 1)
+        return -1
+    if x[:-1] != y[:at]:
+        sx, sy = _grams(x[:-1]), _grams(y[:at])
+        if len(sx & sy) < SIMILAR * len(sx | sy):
+            return -1
+    if len(y[at]) > len(x[-1]):
+        return 1
+    if raw[at].rstrip("\"')]}”’»")[-1:] in ".!?。！？।…" or (len(y) > at + 1 and not y[at + 1]):  # a mark or dots that stand alone
+        return 0
+    return 1 if len(y) > at + 1 else -1
 
 
 def _aligned(x: list[str], y: list[str]) -> int | None:
@@ -262,7 +328,7 @@ def _aligned(x: list[str], y: list[str]) -> int | None:
     """
     n, last = len(x) - 1, x[-1]
     wide = n // 10
-    if sum(p != q for p, q in zip(x[:n], y)) <= wide and len(y) > n and y[n].startswith(last):
+    if len(y) > n and y[n].startswith(last) and (x[:n] == y[:n] or sum(p != q for p, q in zip(x[:n], y)) <= wide):
         return n
     far = wide + 1
     row = {j: j for j in range(min(wide, len(y)) + 1)}
@@ -280,106 +346,105 @@ def _aligned(x: list[str], y: list[str]) -> int | None:
     return min(ends)[2] if ends else None
 
 
-def _plain(text: str) -> list[str]:
-    body = _DOTS.sub("", LEFTOVER.sub("", MARKS.sub("", text.rstrip()).rstrip()).rstrip()).rstrip()
-    return [t.strip(_STRIP) for t in body.lower().split()]
+def _terminal(s: str, c: str, b: str) -> Column:
+    """Whether a context ends sentences too rarely to be an end; bare ends count unless they are rare against going on."""
+    s_, c_, b_ = F.col(s), F.col(c), F.col(b)
+    return (s_ + F.when(s_ + b_ > c_ / 50, b_).otherwise(0)) / (s_ + c_ + b_) < TERMINAL
+
+
+def _unterminated() -> Column:
+    """Terminality of the closing words from the counts of their contexts (1, 2, 3 words) and of longer words (4, 5)."""
+    seen = lambda i: F.col(f"s{i}") + F.col(f"c{i}")
+    enough = lambda i: (seen(i) > 1) | (F.col(f"b{i}") >= MIN_SEEN)
+    here, longer = F.col("c5"), F.col("c4")
+    return (
+        F.when((here >= MIN_SEEN) & (seen(2) <= here / 50), F.col("b2") <= here / 50)  # only ever the beginning of the word that stands here
+        .when(enough(3), _terminal("s3", "c3", "b3"))
+        .when(enough(2), _terminal("s2", "c2", "b2"))
+        .when((longer >= MIN_SEEN) & (seen(1) <= longer / 200) & F.col("alpha"), ~F.col("short"))
+        .when(seen(1) > 1, _terminal("s1", "c1", "b1"))
+        .otherwise(False)
+    )
 
 
-def suspicious(text: str) -> bool:
-    """Whether a text does not end like a sentence: the only ones that can be cut copies or unterminated."""
-    body = text.rstrip()
-    return bool(body) and (not _ENDED.search(body) or bool(MARKS.search(body[-48:])) or bool(LEFTOVER.search(body[-12:])) or bool(_DOTS.search(body[-12:])))
+_ODD = "form bigint, marked boolean, alpha boolean, short boolean, ctx array<bigint>, bands array<bigint>, n int"
+
+
+def _asked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ask = Asked()
+    for b in batches:
+        out = [(form, *got) for form, t in zip(b["form"], b["text"]) if suspicious(t) and (got := ask(t)) is not None]
+        yield pd.DataFrame(out, columns=["form", "marked", "alpha", "short", "ctx", "bands", "n"])
 
 
 def cut_rows(rows: DataFrame) -> DataFrame:
     """(tbl, row_key, source, cut) of every row of (tbl, row_key, source, text) with a non-empty text.
 
-    1. One pass over all texts makes min-hash band keys of word shingles and a count sketch of fixed size: how often each
-       suffix of up to three words ends a sentence, goes on, or ends a text bare, and which longer words follow a word.
-    2. Texts that do not end like a sentence meet every longer text of each of their band buckets, where exact copies
-       are one; pairs of similarity 0.8 or more are aligned, and a text whose alignment ends inside a word or a
-       sentence of a longer copy is cut. 3. All other such texts are scored by the terminality of their closing
-       words. Marks that exporters leave behind a cut (``[...]``, ``... (more)``, half an escape) count as cut.
+    1. Texts that do not end like a sentence are taken aside: each asks for how often the corpus has its closing contexts
+       and for the min-hash bands of its longest opening (sizes grow by ``WIDER``). 2. One pass over all texts counts the
+       asked contexts, exactly: how often each ends a sentence, goes on, or ends a text bare, and which longer words
+       follow a word; and gives the asked bands of all their openings, so a short rest meets the whole text it was cut
+       from. 3. Every such text is aligned with each longer different text of its buckets. An alignment of similarity 0.8
+       or more that ends inside a word or sentence makes it cut, one that ends with a sentence makes it complete. 4. Texts
+       without a copy are scored by the terminality of their closing words. Marks that exporters leave behind a cut
+       (``[...]``, ``... (more)``, half an escape) count as cut.
+
+    What tasks share are the bits of the asked keys, of bounded size; they save work and decide nothing.
 
     Defined results: null, empty and blank texts are no rows; a text that lacks a full stop, ends in dots, a sign-off or
     an emoji after whole sentences is complete; repeated rows are judged alike; an empty table gives no rows; texts are
     read whole, whatever their length.
     """
-    spark = rows.sparkSession
-    base = rows.select("tbl", "row_key", "source", "text", F.xxhash64("text").alias("form")).filter("text is not null and trim(text) <> ''")
+    base = rows.select("tbl", "row_key", "source", "text", F.xxhash64("text").alias("form")).filter(r"text is not null and text rlike '(?U)\\S'")
+    odd = cut(base.filter(_maybe_suspicious(F.col("text"))).select("form", "text").mapInPandas(_asked, _ODD).dropDuplicates(["form"]), "cutoff")
+    bits = rows.sparkSession.sparkContext.broadcast(key_bits(odd.select(F.explode(F.concat("ctx", "bands")).alias("key"))))
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = Scan()
+        one = Scan(KeyBits(bits.value))
         for b in batches:
-            texts = b["text"].tolist()
-            keys = one.add(texts)
-            form, size = b["form"].to_numpy(), np.array([len(t) for t in texts], dtype=np.int32)
-            odd = np.array([suspicious(t) for t in texts])
-            yield pd.DataFrame({
-                "cell": np.int32(-1), "stop": np.int32(0), "cont": np.int32(0), "bare": np.repeat(odd.astype(np.int32), BANDS), "key": keys.ravel(),
-                "form": np.repeat(form, BANDS), "size": np.repeat(size, BANDS),
-            })
-        cells = one.cells()
-        yield cells.assign(key=np.int64(0), form=np.int64(0), size=np.int32(0))
-
-    seen = cut(spread(base, "row_key").select("form", "text").mapInPandas(scan, "cell int, stop int, cont int, bare int, key bigint, form bigint, size int"), "cutoff")
-    shared = spark.sparkContext.broadcast(_packed_sketch(seen.filter("cell >= 0")))  # fixed size
-
-    early = _cut_copies(seen.filter("cell = -1 and key <> 0").select("key", "form", "size", (F.col("bare") == 1).alias("odd")), base)
-
-    def judge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        closing = Closing(_unpacked(shared.value))
-        for b in batches:
-            yield b[["tbl", "row_key", "source", "form"]].assign(open=[suspicious(t) and closing.is_cut(t) for t in b["text"]])
-
-    judged = base.mapInPandas(judge, "tbl string, row_key string, source string, form bigint, open boolean")
-    return judged.join(early, "form", "left").select("tbl", "row_key", "source", F.coalesce("early", "open").alias("cut"))
-
-
-BLOCK = 1 << 12  # cells that travel together
-
-
-def _packed_sketch(cells: DataFrame) -> list[tuple[int, bytes]]:
-    """The summed sketch as compressed blocks, at most ``CELLS / BLOCK`` of them."""
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        block = np.zeros((3, BLOCK), dtype=np.int32)
-        for k, name in ((STOP, "s"), (CONT, "c"), (BARE, "b")):
-            block[k][group["cell"].to_numpy() % BLOCK] = np.minimum(group[name].to_numpy(), 2**31 - 1)
-        return pd.DataFrame({"at": [int(group["cell"].iloc[0]) // BLOCK], "data": [zlib.compress(block.tobytes(), 1)]})
-
-    summed = cells.groupBy("cell").agg(F.sum("stop").alias("s"), F.sum("cont").alias("c"), F.sum("bare").alias("b"))
-    blocks = summed.groupBy(F.floor(F.col("cell") / BLOCK)).applyInPandas(pack, "at int, data binary")
-    return [(r["at"], bytes(r["data"])) for r in blocks.collect()]
-
-
-def _unpacked(blocks: list[tuple[int, bytes]]) -> np.ndarray:
-    counts = np.zeros((3, CELLS), dtype=np.int32)
-    for at, data in blocks:
-        counts[:, at * BLOCK : (at + 1) * BLOCK] = np.frombuffer(zlib.decompress(data), dtype=np.int32).reshape(3, BLOCK)
-    return counts
-
-
-def _cut_copies(bands: DataFrame, base: DataFrame) -> DataFrame:
-    """(form, early) of texts that have a longer near-copy: whether the alignment with any of them ends early.
-
-    A bucket gives all pairs of its different texts, a text that does not end like a sentence with a longer one; a hot
-    bucket is a skewed key, which the adaptive join splits.
+            owner, keys, n = one.add(b["text"].tolist())
+            yield pd.DataFrame({"key": keys.view(np.int64), "form": b["form"].to_numpy()[owner], "s": n, "c": np.int64(-1), "b": np.int64(0)})
+            if one.full():
+                yield one.counted()
+        yield one.counted()
+
+    seen = cut(spread(base, "row_key").select("form", "text").mapInPandas(scan, "key bigint, form bigint, s bigint, c bigint, b bigint"), "cutoff")
+    counts = seen.filter("c >= 0").groupBy("key").agg(*[F.sum(x).alias(x) for x in "scb"])
+    each = odd.filter("not marked").select("form", "alpha", "short", F.posexplode("ctx").alias("i", "key")).join(counts, "key", "left")
+    wide = [F.coalesce(F.max(F.when(F.col("i") == i - 1, F.col(x))), F.lit(0)).alias(f"{x}{i}") for i in range(1, 6) for x in "scb"]
+    scored = each.groupBy("form").agg(F.first("alpha").alias("alpha"), F.first("short").alias("short"), *wide).select("form", _unterminated().alias("open"))
+    copies = _copies(odd, seen.filter("c = -1").select("key", F.col("form").alias("f2"), F.col("s").alias("n2")), base)
+    verdict = scored.join(copies, "form", "left").select("form", F.coalesce("early", "open").alias("cut")).unionByName(odd.filter("marked").select("form", F.lit(True).alias("cut")))
+    return base.drop("text").join(verdict, "form", "left").select("tbl", "row_key", "source", F.coalesce("cut", F.lit(False)).alias("cut"))
+
+
+def _copies(odd: DataFrame, partners: DataFrame, base: DataFrame) -> DataFrame:
+    """(form, early) of suspicious texts with a longer near-copy: whether the alignment with any of them ends early.
+
+    All pairs of a bucket are tried, a suspicious text with each different text at least as long; exact copies are one,
+    and a hot bucket is a skewed key, which the adaptive join splits.
     """
-    bands = bands.distinct()
-    longer = bands.select("key", F.col("form").alias("f2"), F.col("size").alias("s2"))
-    pairs = cut(bands.filter("odd").join(longer, "key").filter(F.col("s2") > F.col("size")).select("form", "f2").distinct(), "cutoff")
+    ask = odd.select("form", "n", F.explode("bands").alias("key"))
+    pairs = cut(ask.join(partners.distinct(), "key").filter("f2 <> form and n2 >= n - n div 10").select("form", "f2").distinct(), "cutoff")
     asked = pairs.select("form").unionByName(pairs.select(F.col("f2").alias("form"))).distinct()
     text = cut(base.select("form", "text").join(asked, "form", "left_semi").dropDuplicates(["form"]), "cutoff")
     both = pairs.join(text, "form").join(text.select(F.col("form").alias("f2"), F.col("text").alias("other")), "f2")
 
     def align(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [_jaccard(x, y) for x, y in zip(b["text"], b["other"])]
-            keep = np.array([s >= SIMILAR and e for s, e in got], dtype=bool)
-            yield b.loc[keep, ["form"]].assign(early=True)
-
-    return both.mapInPandas(align, "form bigint, early boolean").distinct()
+            plain: dict[str, list[str]] = {}
+            out = []
+            for form, t, o in zip(b["form"], b["text"], b["other"]):
+                x = plain.get(t)
+                if x is None:
+                    x = plain[t] = _plain(t)
+                raw = o.lower().split()
+                v = copy_verdict(x, [w.strip(_STRIP) for w in raw], raw)
+                if v >= 0:
+                    out.append((form, bool(v)))
+            yield pd.DataFrame(out, columns=["form", "early"])
+
+    return both.mapInPandas(align, "form bigint, early boolean").groupBy("form").agg(F.max("early").alias("early"))
 
 
 def cut_found(judged: DataFrame) -> DataFrame:

@@ -285,6 +285,30 @@ def test_cut_copy_behind_a_longer_text(spark):
     assert {x["row_key"] for x in cutoff.cut_found(cutoff.cut_rows(df)).collect()} == cut
 
 
+def test_cut_short_rest_of_a_long_text(spark):
+    """A rest of a fifth of its text is found by its opening; a copy that ends with a sentence of the longer text is complete."""
+    r = random.Random(23)
+    rows, cut = [], set()
+    for i in range(6):
+        words = [_sentence(r, 6)[:-1].split() for _ in range(12)]
+        full = " ".join(" ".join(w) + "." for w in words)
+        rows += [(f"full{i}", full), (f"cut{i}", " ".join(full.split()[:15])), (f"whole{i}", " ".join(full.split()[:24])[:-1])]
+        cut.add(f"cut{i}")
+    rows += [("token", "x" * 50_000 + " " + "y" * 30_000), ("blank", "\u00a0\n"), ("null", None)]
+    df = spark.createDataFrame([("t", k, None, t) for k, t in rows], "tbl string, row_key string, source string, text string")
+    judged = cutoff.cut_rows(df).collect()
+    assert {x["row_key"] for x in judged if x["cut"]} == cut and len(judged) == len(rows) - 2
+
+
+def test_running_minima_of_openings():
+    r = np.random.default_rng(3)
+    w = r.integers(1, 1 << 60, 90, dtype=np.uint64)
+    sizes = cutoff.windows(90)
+    together = cutoff.Openings().many([(w, sizes), (w[5:], cutoff.windows(30))])
+    alone = [cutoff.Openings().keys(w[:s], [s])[0] for s in sizes] + [cutoff.Openings().keys(w[5 : 5 + s], [s])[0] for s in cutoff.windows(30)]
+    assert (together == np.stack(alone)).all()
+
+
 def test_aligned():
     assert cutoff._aligned("a b c d e f g h i j k l m".split(), "a b c x d e f g h i j k l m n".split()) == 13
     assert cutoff._aligned("a b c d".split(), "a x c d".split()) is None
