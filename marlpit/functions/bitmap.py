@@ -30,10 +30,10 @@ class KeyBits:
         return out
 
 
-def key_bits(keys: DataFrame) -> np.ndarray:
+def key_bits(keys: DataFrame, sparse: int = SPARSE) -> np.ndarray:
     """The words of :class:`KeyBits` for the column ``key``: made inside the engine, at most ``2 ** MOST`` bits reach the driver."""
     total = keys.count()
-    power = min(MOST, max(LEAST, int(np.ceil(np.log2(max(1, SPARSE * total))))))
+    power = min(MOST, max(LEAST, int(np.ceil(np.log2(max(1, sparse * total))))))
     places = keys.select(F.explode(F.array(*[F.expr(f"shiftrightunsigned(key, {p}) & {(1 << power) - 1}L") for p in PARTS])).alias("low"))
     words = places.groupBy(F.expr("shiftright(low, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(low & 63L as int)))").alias("bits"))
     out = np.zeros(1 << (power - 6), dtype=np.uint64)

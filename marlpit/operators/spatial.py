@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.functions.rtree import RTree
-from marlpit.session import spread
+from marlpit.session import cut, spread
 
 #: Fixed value: radius of the sphere in metres.
 EARTH_M = 6_371_008.8
-DEPTH = 14  # cells of 0.011 degrees of latitude at least, wider than any search box away from the poles
+DEPTH = 14  # deepest cells, 0.011 degrees of latitude; fewer levels where the search distance asks for wider cells
 SAMPLE_ROWS = 40_000  # bound on the rows of the sample that shapes the quadtree
 
 
@@ -34,7 +34,7 @@ def usable(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
 
 @dataclass
 class Quadtree:
-    """Leaves as ranges of Morton codes at ``DEPTH``: leaf i spans codes starts[i] up to starts[i + 1].
+    """Leaves as ranges of Morton codes at ``depth``: leaf i spans codes starts[i] up to starts[i + 1].
 
     ``blocks[i]`` is above 1 for a leaf at full depth that holds more than a task should (a hot place): its points are
     hashed into that many blocks and each pair of blocks is a task.
@@ -42,61 +42,62 @@ class Quadtree:
 
     starts: np.ndarray
     blocks: np.ndarray
+    depth: int = DEPTH
 
     @staticmethod
-    def grow(lat: np.ndarray, lon: np.ndarray, weight: float, target: int) -> Quadtree:
-        codes = np.sort(morton(*grid(lat, lon)))
+    def grow(lat: np.ndarray, lon: np.ndarray, weight: float, target: int, deepest: int = DEPTH) -> Quadtree:
+        codes = np.sort(morton(*grid(lat, lon, deepest), deepest))
         starts, blocks, todo = [], [], [(0, 0)]
         while todo:
             code, depth = todo.pop()
-            span = 1 << (2 * (DEPTH - depth))
+            span = 1 << (2 * (deepest - depth))
             n = (np.searchsorted(codes, code + span) - np.searchsorted(codes, code)) * weight
-            if n > target and depth < DEPTH:
+            if n > target and depth < deepest:
                 todo += [(code + q * (span // 4), depth + 1) for q in range(4)]
             else:
                 starts.append(code)
                 blocks.append(max(1, math.ceil(n / (2 * target))))
         order = np.argsort(starts)
-        return Quadtree(np.array(starts, dtype=np.int64)[order], np.array(blocks, dtype=np.int64)[order])
+        return Quadtree(np.array(starts, dtype=np.int64)[order], np.array(blocks, dtype=np.int64)[order], deepest)
 
-    def leaf(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, morton(x, y), side="right") - 1
+    def leaf(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, morton(*grid(lat, lon, self.depth), self.depth), side="right") - 1
 
     def touched(self, box: tuple[float, float, float, float]) -> np.ndarray:
         """Leaves that a box (lon_min, lat_min, lon_max, lat_max) overlaps; longitudes may run over 180."""
-        (x0, x1), (y0, y1) = cells(np.array([box[0], box[2]]), 360.0), cells(np.clip([box[1], box[3]], -90, 90), 180.0)
-        side = 1 << DEPTH
-        y1, x1 = min(int(y1), side - 1), min(int(x1), int(x0) + side - 1)
+        (x0, x1), (y0, y1) = cells(np.array([box[0], box[2]]), 360.0, self.depth), cells(np.clip([box[1], box[3]], -90, 90), 180.0, self.depth)
+        side = 1 << self.depth
+        y0, y1, x1 = min(int(y0), side - 1), min(int(y1), side - 1), min(int(x1), int(x0) + side - 1)
         found: set[int] = set()
         self._descend(0, 0, 0, 0, int(x0), max(int(y0), 0), x1, y1, found)
         return np.array(sorted(found), dtype=np.int64)
 
     def _descend(self, depth: int, x: int, y: int, code: int, x0: int, y0: int, x1: int, y1: int, found: set[int]) -> None:
-        size, side = 1 << (DEPTH - depth), 1 << DEPTH
+        size, side = 1 << (self.depth - depth), 1 << self.depth
         if y > y1 or y + size <= y0 or not any(x + s <= x1 and x + s + size > x0 for s in (-side, 0, side)):
             return
         i = int(np.searchsorted(self.starts, code, side="right")) - 1
-        last = i + 1 == len(self.starts) or self.starts[i + 1] >= code + (1 << (2 * (DEPTH - depth)))
+        last = i + 1 == len(self.starts) or self.starts[i + 1] >= code + (1 << (2 * (self.depth - depth)))
         if last:
             found.add(i)
             return
         half = size // 2
         for q in range(4):
-            self._descend(depth + 1, x + half * (q & 1), y + half * (q >> 1), code + q * (1 << (2 * (DEPTH - depth - 1))), x0, y0, x1, y1, found)
+            self._descend(depth + 1, x + half * (q & 1), y + half * (q >> 1), code + q * (1 << (2 * (self.depth - depth - 1))), x0, y0, x1, y1, found)
 
 
-def cells(v: np.ndarray, span: float) -> np.ndarray:
-    return np.floor((np.asarray(v) + span / 2) / span * (1 << DEPTH)).astype(np.int64)
+def cells(v: np.ndarray, span: float, depth: int) -> np.ndarray:
+    return np.floor((np.asarray(v) + span / 2) / span * (1 << depth)).astype(np.int64)
 
 
-def grid(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = (1 << DEPTH) - 1
-    return np.clip(cells(lon, 360.0), 0, top), np.clip(cells(lat, 180.0), 0, top)
+def grid(lat: np.ndarray, lon: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    top = (1 << depth) - 1
+    return np.clip(cells(lon, 360.0, depth), 0, top), np.clip(cells(lat, 180.0, depth), 0, top)
 
 
-def morton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def morton(x: np.ndarray, y: np.ndarray, depth: int) -> np.ndarray:
     code = np.zeros(np.shape(x), dtype=np.int64)
-    for bit in range(DEPTH):
+    for bit in range(depth):
         code |= ((x >> bit) & 1) << (2 * bit) | ((y >> bit) & 1) << (2 * bit + 1)
     return code
 
@@ -105,7 +106,7 @@ def reach(lat: np.ndarray, metres: float) -> tuple[float, np.ndarray]:
     """Half height and half widths, in degrees, of the boxes around circles at ``lat``; 360 wide where a pole is inside."""
     angle = metres / EARTH_M
     tall = math.degrees(angle) * (1 + 1e-9) + 1e-9
-    ratio = math.sin(angle) / np.maximum(np.cos(np.radians(lat)), 1e-300)
+    ratio = math.sin(min(angle, math.pi / 2)) / np.maximum(np.cos(np.radians(lat)), 1e-300)
     wide = np.where((np.abs(lat) + tall >= 90) | (ratio >= 1), 360.0, np.degrees(np.arcsin(np.minimum(ratio, 1))) * (1 + 1e-9) + 1e-9)
     return tall, wide
 
@@ -116,25 +117,35 @@ def great_circle(lat1, lon1, lat2, lon2) -> np.ndarray:
     return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(h, 1)))
 
 
-def grow_quadtree(points: DataFrame, target: int) -> Quadtree:
+def depth_for(metres: float) -> int:
+    """Levels of a quadtree whose cells are at least as tall as a search box, ``DEPTH`` at most."""
+    tall = 2 * math.degrees(metres / EARTH_M) * (1 + 1e-6)
+    return DEPTH if tall <= 180 / (1 << DEPTH) else max(0, math.floor(math.log2(180 / tall)))
+
+
+def grow_quadtree(points: DataFrame, target: int, depth: int = DEPTH) -> Quadtree:
     """The quadtree for ``points``, from a hash sample of at most about ``SAMPLE_ROWS`` rows."""
     total = points.count()
     every = max(1, math.ceil(total / SAMPLE_ROWS))
     rows = points.filter(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).select("lat", "lon").toPandas()
-    return Quadtree.grow(rows["lat"].to_numpy(dtype=float), rows["lon"].to_numpy(dtype=float), float(every), target)
+    return Quadtree.grow(rows["lat"].to_numpy(dtype=float), rows["lon"].to_numpy(dtype=float), float(every), target, depth)
 
 
 def near_pairs(df: DataFrame, key: str, lat: str, lon: str, metres: float = 150.0, target: int = 4000) -> DataFrame:
     """(key_a, key_b), key_a < key_b by bytes: usable locations at most ``metres`` apart along the great circle.
 
+    Points at one and the same place form a class that stands in the search as one point, its members join the pairs
+    afterwards; so a crowded address is not copied between tasks. Cells are as wide as the distance asks for, whatever it is.
+
     Defined results: rows without key or usable location take no part; a repeated key is one point per distinct
     location and never pairs with itself; points across longitude 180 and around the poles are found; an empty table
-    gives no rows; further columns are ignored. Distances must stay below a cell (about 1 km).
+    gives no rows; further columns are ignored.
     """
-    if math.degrees(metres / EARTH_M) * 2 > 180 / (1 << DEPTH):
-        raise ValueError("distance too large for the cell size")
     points = usable(df, key, lat, lon)
-    tree = grow_quadtree(points, target)
+    classes = cut(points.groupBy("lat", "lon").agg(F.min("k").alias("k"), F.count_distinct("k").alias("n")), "near")
+    crowded = classes.filter("n > 1").select("lat", "lon")
+    members = points.join(crowded, ["lat", "lon"]).select("lat", "lon", "k").distinct()
+    tree = grow_quadtree(classes, target, depth_for(metres))
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,24 +154,30 @@ def near_pairs(df: DataFrame, key: str, lat: str, lon: str, metres: float = 150.
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         return _pairs(group, metres)
 
-    placed = spread(points, "k").mapInPandas(place, "leaf long, pi int, bj int, k string, lat double, lon double, probe boolean, build boolean")
-    found = placed.groupBy("leaf", "pi", "bj").applyInPandas(pair, "key_a string, key_b string")
-    return found.distinct()
+    placed = spread(classes.select("k", "lat", "lon"), "k").mapInPandas(place, "leaf long, pi int, bj int, k string, lat double, lon double, probe boolean, build boolean")
+    ends = "lat_a double, lon_a double, key_a string, lat_b double, lon_b double, key_b string"
+    found = placed.groupBy("leaf", "pi", "bj").applyInPandas(pair, ends)
+    for side in "ab":
+        more = members.select(F.col("lat").alias(f"lat_{side}"), F.col("lon").alias(f"lon_{side}"), F.col("k").alias(f"more_{side}"))
+        found = found.join(more, [f"lat_{side}", f"lon_{side}"], "left").withColumn(f"key_{side}", F.coalesce(f"more_{side}", f"key_{side}")).drop(f"more_{side}")
+    within = members.select("lat", "lon", F.col("k").alias("key_a")).join(members.select("lat", "lon", F.col("k").alias("key_b")), ["lat", "lon"]).select("key_a", "key_b")
+    both = found.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).unionByName(within)
+    return both.filter("key_a < key_b").distinct()
 
 
 def _place(b: pd.DataFrame, tree: Quadtree, metres: float) -> pd.DataFrame:
     lat, lon = b["lat"].to_numpy(dtype=float), b["lon"].to_numpy(dtype=float)
-    home = tree.leaf(*grid(lat, lon))
+    home = tree.leaf(lat, lon)
     tall, wide = reach(lat, metres)
     rows, leaves = [np.arange(len(b))], [home]
-    narrow = wide < 360.0 / (1 << DEPTH)
+    narrow = (2 * wide <= 360.0 / (1 << tree.depth)) & (2 * tall <= 180.0 / (1 << tree.depth))  # then its corners show all cells it touches
     at = np.flatnonzero(narrow)
     for sx in (-1, 1):
         for sy in (-1, 1):
             x = lon[at] + sx * wide[at]
             x = np.where(x < -180, x + 360, np.where(x > 180, x - 360, x))
             rows.append(at)
-            leaves.append(tree.leaf(*grid(np.clip(lat[at] + sy * tall, -90, 90), x)))
+            leaves.append(tree.leaf(np.clip(lat[at] + sy * tall, -90, 90), x))
     for i in np.flatnonzero(~narrow):
         hit = tree.touched((lon[i] - wide[i], lat[i] - tall, lon[i] + wide[i], lat[i] + tall))
         rows.append(np.full(len(hit), i))
@@ -186,16 +203,19 @@ def _pairs(g: pd.DataFrame, metres: float) -> pd.DataFrame:
     probe, build = g[g["probe"]], g[g["build"]]
     blat, blon, bkey = build["lat"].to_numpy(), build["lon"].to_numpy(), build["k"].to_numpy(dtype=object)
     plat, plon, pkey = probe["lat"].to_numpy(), probe["lon"].to_numpy(), probe["k"].to_numpy(dtype=object)
-    rank = {k: i for i, k in enumerate(sorted({*bkey, *pkey}))}
-    brank, prank = np.array([rank[k] for k in bkey], dtype=np.int64), np.array([rank[k] for k in pkey], dtype=np.int64)
+    names = ["lat_a", "lon_a", "key_a", "lat_b", "lon_b", "key_b"]
+    spot = lambda k, y, x: list(zip(k, y.tolist(), x.tolist()))  # noqa: E731 - a key may stand at several places
+    rank = {k: i for i, k in enumerate(sorted({*spot(bkey, blat, blon), *spot(pkey, plat, plon)}))}
+    brank = np.array([rank[k] for k in spot(bkey, blat, blon)], dtype=np.int64)
+    prank = np.array([rank[k] for k in spot(pkey, plat, plon)], dtype=np.int64)
     # ghosts: a point near longitude 180 also stands on the other side
     item = np.concatenate([np.arange(len(blon))] * 3)
     x = np.concatenate([blon, blon + 360, blon - 360])
-    keep = np.abs(x) <= 180 + 361.0 * (np.arange(len(x)) < len(blon)) + 1.0
+    tall, wide = reach(plat, metres)
+    keep = (np.arange(len(x)) < len(blon)) | (np.abs(x) <= 180 + wide.max(initial=0.0))
     item, x = item[keep], x[keep]
     y = blat[item]
     tree = RTree(np.stack([x, y, x, y], axis=1))
-    tall, wide = reach(plat, metres)
     box = np.stack([plon - wide, plat - tall, plon + wide, plat + tall], axis=1)
     a, b = [], []
     for p, i in tree.query(box):
@@ -206,8 +226,9 @@ def _pairs(g: pd.DataFrame, metres: float) -> pd.DataFrame:
         a.append(p[sel])
         b.append(i[sel])
     if not a:
-        return pd.DataFrame({"key_a": pd.Series([], dtype=object), "key_b": pd.Series([], dtype=object)})
-    return pd.DataFrame({"key_a": pkey[np.concatenate(a)], "key_b": bkey[np.concatenate(b)]}).drop_duplicates()
+        return pd.DataFrame({c: pd.Series([], dtype=object if c[0] == "k" else float) for c in names})
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pd.DataFrame(dict(zip(names, (plat[a], plon[a], pkey[a], blat[b], blon[b], bkey[b])))).drop_duplicates()
 
 
 def unwrap(lon: np.ndarray) -> np.ndarray:
@@ -239,7 +260,7 @@ def points_in_regions(df: DataFrame, key: str, lat: str, lon: str, regions: Data
 
     def home(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            leaf = tree.leaf(*grid(b["lat"].to_numpy(dtype=float), b["lon"].to_numpy(dtype=float)))
+            leaf = tree.leaf(b["lat"].to_numpy(dtype=float), b["lon"].to_numpy(dtype=float))
             salt = pd.util.hash_array(b["k"].to_numpy(dtype=object)) % tree.blocks[leaf].astype(np.uint64)
             yield pd.DataFrame({"leaf": leaf, "salt": salt.astype(np.int32), "k": b["k"], "lat": b["lat"], "lon": b["lon"]})
 

@@ -81,6 +81,16 @@ def test_near_pairs_hot_place_is_blocked(spark):
     assert got == {(a, b) for a, _, _ in rows for b, _, _ in rows if a < b}
 
 
+@pytest.mark.parametrize("metres", [5_000.0, 150_000.0, 9_000_000.0, 21_000_000.0])
+def test_near_pairs_far(spark, metres):
+    r = random.Random(2)
+    rows = [(f"p{i:03d}", r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(60)]
+    rows += [(f"q{i:03d}", r.choice([84.5, 85.9, -86.4, 40.0]) + r.gauss(0, 0.03), 179.95 + r.gauss(0, 0.6) - 360 * (i % 2)) for i in range(60)]
+    rows = [(k, y, (x + 180) % 360 - 180) for k, y, x in rows]
+    got = {tuple(x) for x in near_pairs(spark.createDataFrame(rows, POINTS), "k", "latitude", "longitude", metres, 8).collect()}
+    assert got == {(a, b) for a, ya, xa in rows for b, yb, xb in rows if a < b and great_circle(ya, xa, yb, xb) <= metres}
+
+
 def test_near_pairs_empty(spark):
     assert near_pairs(spark.createDataFrame([], POINTS), "k", "latitude", "longitude").count() == 0
 
