@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,9 +17,9 @@ from marlpit.functions.bitmap import KeyBits, key_bits
 from marlpit.functions.shingles import MinHasher, mix
 from marlpit.session import cut, spread
 
-GRAM, BANDS, ROWS = 5, 5, 3  # five-word shingles; 3 rows in 5 bands find a pair of similarity 0.8 with probability 0.97
+GRAM, BANDS, ROWS = 5, 6, 4  # five-word shingles; 4 rows in 6 bands find a pair of similarity 0.8 with probability 0.96, one of 0.3 with 0.05
 SIMILAR = 0.8
-FIRST_WINDOW, WIDER = 8, 1.5  # words of the shortest opening that is banded, and the ratio of one opening to the next
+FIRST_WINDOW, WIDER = 8, 1.15  # words of the shortest opening that is banded; the next is a word, or 15 percent, longer
 STOP, CONT, BARE = 0, 1, 2
 TERMINAL = 0.12  # closings that end a sentence less often than this are cut
 MIN_SEEN = 3
@@ -29,35 +31,49 @@ _DOTS = re.compile(r"(?:\.{2,}|…)\s*$")
 _ENDED = re.compile(r"[.!?。！？।؟:;)\]}>\"'”’»*~^_|/]$")
 _STRIP = ".,;:!?\"'()[]{}<>*_~`“”‘’«»¡¿…-–—"
 _NOTHING = np.empty(0, dtype=np.uint64)
+SHIFT = 2  # words around an opening's end whose heads are kept: where the alignment of a short text can end
+
+
+def head_code(word: str) -> int:
+    """A code of 12 bits, not 0, for the first two letters of a word."""
+    return (zlib.crc32(word[:2].encode("utf-8", "surrogatepass")) & 0xFFE) + 1
 
 
 class Tokens(dict):
-    """Whitespace tokens to positions in the tables of word hashes and sentence ends; emptied between batches when full."""
+    """Whitespace tokens to positions in the tables of word hashes, sentence ends and word heads; emptied between batches when full."""
 
     def __init__(self, room: int = 200_000) -> None:
         super().__init__()
         self.room = room
         self.hashes: list[int] = []
         self.stops: list[bool] = []
+        self.heads: list[int] = []
+        self.raws: list[int] = []
 
     def __missing__(self, token: str) -> int:
         n = self[token] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(token.strip(_STRIP)))
+        word = token.strip(_STRIP)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        self.heads.append(head_code(word))
+        self.raws.append(xxhash.xxh64_intdigest(token, seed=1))
         self.stops.append(token.rstrip("\"')]}”’»*_")[-1:] in ".!?。！？।…")
         return n
 
     def trim(self) -> None:
         if len(self) > self.room:
             self.clear()
-            self.hashes, self.stops = [], []
+            self.hashes, self.stops, self.heads, self.raws = [], [], [], []
 
 
 EDGE = np.uint64(0x5851F42D4C957F2D)  # stands for the start of a sentence
 
 
+FREE = np.uint64(3)  # the two lowest bits of a context key are 0, so that a kind fits beside it
+
+
 def _keyed(h: np.ndarray, order: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(np.asarray(h, dtype=np.uint64) ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)))
+        return mix(np.asarray(h, dtype=np.uint64) ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64))) & ~FREE
 
 
 def contexts(w: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -91,57 +107,70 @@ def prefix_hashes(word: str) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+def _next(w: int) -> int:
+    return max(w + 1, int(w * WIDER))
+
+
 def windows(n: int) -> list[int]:
     """Sizes of the openings of a text of ``n`` words that are banded."""
     out, w = [], FIRST_WINDOW
     while w <= n:
         out.append(w)
-        w = int(w * WIDER)
+        w = _next(w)
     return out
 
 
+def opening(n: int) -> int:
+    """The largest of :func:`windows`, 0 without any."""
+    w = 0
+    while (longer := _next(w) if w else FIRST_WINDOW) <= n:
+        w = longer
+    return w
+
+
+def decisive(w: int) -> int:
+    """Words of a text that decide whether a text that asks with an opening of ``w`` words is its copy and ends early."""
+    most = _next(w)
+    return most + most // 10 + 1
+
+
 class Openings:
     """Min-hash band keys of the openings of texts, by size of the opening."""
 
     def __init__(self) -> None:
         self.hasher = MinHasher(BANDS * ROWS, seed=11)
 
-    def keys(self, w: np.ndarray, sizes: list[int]) -> np.ndarray:
-        """openings x bands keys for the word hashes ``w`` of one text; ``sizes`` ascend, none over ``len(w)``.
+    def keys(self, w: np.ndarray, starts: np.ndarray, sizes: list[np.ndarray]) -> np.ndarray:
+        """openings x bands keys, text after text; the words of text i begin at ``starts[i]`` and its opening sizes ascend.
 
         The shingles of an opening are those of the shorter ones and some more, so its minima are running minima.
         """
-        return self.many([(w, sizes)])
-
-    def many(self, texts: list[tuple[np.ndarray, list[int]]]) -> np.ndarray:
-        """The same for several texts at once, their openings one after the other."""
-        if not texts:
+        if not sizes:
             return np.empty((0, BANDS), dtype=np.uint64)
-        grams, starts, fresh, size, at = [], [], [], [], 0
+        padded = np.append(w, np.zeros(GRAM, dtype=np.uint64))
+        h = np.zeros(len(w), dtype=np.uint64)
+        many = np.array([len(s) for s in sizes])
+        size, top = np.concatenate(sizes), np.array([s[-1] for s in sizes]) - GRAM + 1
+        base = np.cumsum(top) - top
+        fresh = np.zeros(len(size), dtype=bool)
+        fresh[np.cumsum(many) - many] = True
+        ahead = np.where(fresh, 0, np.concatenate([[0], size[:-1] - GRAM + 1]))
         with np.errstate(over="ignore"):
-            for w, sizes in texts:
-                w = w[: sizes[-1]]
-                h = np.zeros(len(w) - GRAM + 1, dtype=np.uint64)
-                for k in range(GRAM):
-                    h = mix(h * np.uint64(7) + w[k : k + len(h)])
-                grams.append(h)
-                starts += [at + (s - GRAM + 1 if i else 0) for i, s in enumerate([0, *sizes[:-1]])]
-                fresh += [True] + [False] * (len(sizes) - 1)
-                size += sizes
-                at += len(h)
-            minima = self.hasher.minima(np.concatenate(grams), np.array(starts))
-            level = np.array(fresh)
-            while not level.all():  # running minima over the openings of a text, one step of size a time
-                todo = np.flatnonzero(~level & np.concatenate([[False], level[:-1]]))
+            for k in range(GRAM):
+                h = mix(h * np.uint64(7) + padded[k : k + len(w)])
+            h = h[np.repeat(starts - base, top) + np.arange(top.sum())]
+            minima = self.hasher.minima(h, np.repeat(base, many) + ahead)
+            step = np.arange(len(size)) - np.repeat(np.cumsum(many) - many, many)
+            for k in range(1, many.max()):
+                todo = np.flatnonzero(step == k)
                 minima[:, todo] = np.minimum(minima[:, todo], minima[:, todo - 1])
-                level[todo] = True
             out = np.empty((len(size), BANDS), dtype=np.uint64)
-            tag = np.array(size, dtype=np.uint64) * np.uint64(1_000_003)
+            tag = size.astype(np.uint64) * np.uint64(1_000_003)
             for b in range(BANDS):
-                h = mix(tag + np.uint64(b + 1))
+                key = tag + np.uint64(b + 1)
                 for r in range(ROWS):
-                    h = mix(h * np.uint64(31) + minima[b * ROWS + r])
-                out[:, b] = h
+                    key = mix(key * np.uint64(31) + minima[b * ROWS + r])
+                out[:, b] = key
         return out
 
 
@@ -151,47 +180,86 @@ def suspicious(text: str) -> bool:
     return bool(body) and (not _ENDED.search(body) or bool(MARKS.search(body[-48:])) or bool(LEFTOVER.search(body[-12:])) or bool(_DOTS.search(body[-12:])))
 
 
+_BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def _maybe_suspicious(text: Column) -> Column:
     """A superset of :func:`suspicious` inside the engine, so that most texts are not judged in Python."""
-    end = F.regexp_replace(F.right(text, F.lit(200)), r"(?U)\s+$", "")
-    return ~end.rlike(r"[.!?。！？।؟:;)\]}>\"'”’»*~^_|/]$") | end.rlike(r"(?i)(?:\.\.|…|\[truncated\]|\(truncated\)|\(more\)|\]|[\\%<�]|&)[^.]{0,24}\.{0,4}$")
+    end = F.rtrim(text, F.lit(_BLANK))
+    return ~F.right(end, F.lit(1)).rlike(r"[.!?。！？।؟:;)\]}>\"'”’»*~^_|/]") | F.right(end, F.lit(48)).rlike(r"(?i)\.\.|…|ated\]|ated\)|more\)|\[|[\\%<�]|&")
+
+
+_ALL = (1 << 64) - 1
+
+
+def _mix1(h: int) -> int:
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    return h ^ (h >> 31)
+
+
+def _key1(h: int, order: int) -> int:
+    return _mix1(h ^ (order * 0x9E3779B97F4A7C15 & _ALL)) & ~3
+
+
+def closing_keys(tail: list[int], part: int) -> list[int]:
+    """:func:`contexts` of the last word, given the hashes of up to three closing words of its sentence, and its :func:`prefix_keys`."""
+    edge = int(EDGE)
+    w, p1, p2 = tail[-1], tail[-2] if len(tail) > 1 else edge, tail[-3] if len(tail) > 2 else edge
+    two = _mix1((w * 3 + _mix1(p1)) & _ALL)
+    return [_key1(w, 1), _key1(two, 2), _key1(_mix1((two + _mix1(p2 * 5 & _ALL)) & _ALL), 3), _key1(_mix1(0) ^ part, 9), _key1(_mix1(p1) ^ part, 9)]
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 class Asked:
-    """What must be known about a suspicious text: keys of its closing contexts and the bands of its opening."""
+    """What must be known about suspicious texts: keys of their closing contexts and the bands of their openings."""
 
     def __init__(self) -> None:
         self.tokens, self.openings = Tokens(), Openings()
 
-    def __call__(self, text: str) -> tuple[bool | None, bool, bool, list[int], list[int], int] | None:
-        """(verdict if known, alphabetic last word, short capital word, context keys, band keys, words); None: complete."""
-        body = text.rstrip()
-        left = LEFTOVER.search(body[-12:])
-        marked = bool(MARKS.search(body[-48:])) or bool(left and left.group() not in ("&", "%", "<"))
-        core = _DOTS.sub("", body).rstrip()
-        open_end = bool(core) and not _ENDED.search(core) and core[-1].isalnum()
-        if marked:
-            return True, False, False, [], [], 0
-        if not open_end:
-            return None
-        toks = core.split()
-        lower = [t.lower() for t in toks[-12:]]
+    def __call__(self, forms: list[int], texts: list[str]) -> list[tuple]:
+        """(form, marked, alphabetic last word, short capital word, context keys, band keys, words, head of the last word) of those that may be cut."""
+        out, wide, at = [], [], []
         self.tokens.trim()
-        info = [self.tokens[t] for t in lower]
-        begin = max((i + 1 for i, n in enumerate(info[:-1]) if self.tokens.stops[n]), default=0)
-        w = np.array([self.tokens.hashes[n] for n in info[max(begin, len(info) - 3) :]], dtype=np.uint64)
-        first = np.zeros(len(w), dtype=bool)
-        first[0] = len(info) - len(w) <= begin
-        keys = [c[-1] for c in contexts(w, first)]
-        part = xxhash.xxh64_intdigest(lower[-1].strip(_STRIP))
-        before = np.array([w[-2] if len(w) > 1 else EDGE], dtype=np.uint64)
-        keys += [prefix_keys(np.zeros(1, dtype=np.uint64), np.array([part], dtype=np.uint64))[0], prefix_keys(before, np.array([part], dtype=np.uint64))[0]]
-        bands: list[int] = []
-        sizes = windows(len(toks) - 1)
-        if sizes:
-            hashes = np.array([xxhash.xxh64_intdigest(t.strip(_STRIP)) for t in core.lower().split()[: sizes[-1]]], dtype=np.uint64)
-            bands = self.openings.keys(hashes, sizes)[-1].view(np.int64).tolist()
-        return False, toks[-1].lower().isalpha(), toks[-1].isupper() and len(toks[-1]) < 4, np.array(keys, dtype=np.uint64).view(np.int64).tolist(), bands, len(toks)
+        for form, text in zip(forms, texts):
+            if not suspicious(text):
+                continue
+            body = text.rstrip()
+            left = LEFTOVER.search(body[-12:])
+            if MARKS.search(body[-48:]) or left and left.group() not in ("&", "%", "<"):
+                out.append((form, True, False, False, [], [], 0, 0))
+                continue
+            core = _DOTS.sub("", body).rstrip()
+            if not core or _ENDED.search(core) or not core[-1].isalnum():
+                continue
+            last, lower = core.split()[-1], core.lower().split()
+            info = [self.tokens[t] for t in lower]
+            close = info[-12:]
+            begin = max((i + 1 for i, n in enumerate(close[:-1]) if self.tokens.stops[n]), default=0)
+            tail = [self.tokens.hashes[n] for n in close[max(begin, len(close) - 3) :]]
+            keys = closing_keys(tail, xxhash.xxh64_intdigest(lower[-1].strip(_STRIP)))
+            size = opening(len(info) - 1)
+            if size:
+                wide.append(info[:size])
+                at.append(len(out))
+            word = lower[-1].strip(_STRIP)
+            head = head_code(word) if len(word) > 1 and size and len(info) - 1 - size + len(info) // 10 <= SHIFT else 0
+            out.append((form, False, lower[-1].isalpha(), last.isupper() and len(last) < 4, list(map(_signed, keys)), [], len(info), head))
+        sizes = [np.array([len(x)]) for x in wide]
+        starts = np.cumsum([0, *map(len, wide)])[:-1]
+        flat = np.array(self.tokens.hashes, dtype=np.uint64)[[n for x in wide for n in x]] if wide else _NOTHING
+        for i, bands in zip(at, self.openings.keys(flat, starts, sizes).view(np.int64).tolist()):
+            out[i][5].extend(bands)
+        return out
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values and how often each stands there."""
+    v = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, dtype=np.int64)
+    return v[first], np.diff(np.append(first, len(v)))
 
 
 class Scan:
@@ -207,8 +275,11 @@ class Scan:
         self.counts: list[np.ndarray] = []
         self.load = 0
 
-    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts the texts; returns (text, key, words) of the asked band keys."""
+    def add(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Counts the texts; returns (text, key, words, heads of the words around the opening's end, class) of the asked band keys.
+
+        Texts of a class have the same words as far as they decide about the copies that ask for the key; one stands for all.
+        """
         if len(self.tokens) > self.tokens.room:
             self.tokens.trim()
             self.prefixes = []
@@ -220,7 +291,7 @@ class Scan:
             lengths[i] = len(toks)
             flat.extend(map(get, toks))
         if not flat:
-            return np.empty(0, dtype=np.int64), _NOTHING, np.empty(0, dtype=np.int64)
+            return self._bands(_NOTHING, none := np.empty(0, dtype=np.int64), none, none, _NOTHING)
         ids = np.array(flat)
         w, stop = np.array(self.tokens.hashes, dtype=np.uint64)[ids], np.array(self.tokens.stops, dtype=bool)[ids]
         ends = np.cumsum(lengths)
@@ -228,68 +299,83 @@ class Scan:
         last[ends[lengths > 0] - 1] = True
         first = np.concatenate([[True], (stop | last)[:-1]])
         kind = np.where(stop, STOP, np.where(last, BARE, CONT))
-        seen = contexts(w, first)
-        keys, kinds = [*seen], [kind] * 3
+        _, two, three = contexts(w, first)
+        self._count(np.concatenate([two, three]), np.concatenate([kind, kind]))
+        known = np.array(self.tokens.hashes, dtype=np.uint64)
+        n = np.bincount(ids * 3 + kind, minlength=3 * len(known))
+        at = np.flatnonzero(n)
+        self._count(_keyed(known, 1)[at // 3], at % 3, n[at])
         inner = ~(last & ~stop)  # a bare last word may be a cut one and is no word to learn
         before = np.where(first, EDGE, np.concatenate([[EDGE], w[:-1]]))
         of = self._prefixes()
         size = np.array([len(p) for p in of], dtype=np.int64)
-        take = np.flatnonzero(inner & (size[ids] > 0))
-        if len(take):
+        if size.any():
+            flat_p = np.concatenate(of)
+            n = np.bincount(ids[inner], minlength=len(known))
+            self._count(prefix_keys(np.zeros(1, dtype=np.uint64), flat_p), np.full(len(flat_p), CONT), np.repeat(n, size))
+            take = np.flatnonzero(inner & (size[ids] > 0))
             n = size[ids[take]]
-            p = np.concatenate(of)
-            start = np.concatenate([[0], np.cumsum(size)[:-1]])[ids[take]]
-            at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            both = [prefix_keys(np.zeros(1, dtype=np.uint64), p)[at], prefix_keys(np.repeat(before[take], n), p[at])]
-            keys += both
-            kinds += [np.full(len(at), CONT)] * 2
-        self._count(np.concatenate(keys), np.concatenate(kinds))
-        return self._bands(w, ends - lengths, lengths)
+            start = (np.cumsum(size) - size)[ids[take]]
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            self._count(prefix_keys(np.repeat(before[take], n), flat_p[at]), np.full(len(at), CONT))
+        raw = np.array(self.tokens.raws, dtype=np.uint64)[ids]
+        return self._bands(w, ends - lengths, lengths, np.array(self.tokens.heads)[ids], raw)
 
     def _prefixes(self) -> list[np.ndarray]:
         """Of each known token the hashes of those proper prefixes that some text asks for."""
-        names = list(self.tokens)
-        for t in names[len(self.prefixes) :]:
-            h = prefix_hashes(t.strip(_STRIP))
-            self.prefixes.append(h[self.bits.has(prefix_keys(np.zeros(1, dtype=np.uint64), h))] if len(h) else _NOTHING)
+        fresh = [prefix_hashes(t.strip(_STRIP)) for t in islice(self.tokens, len(self.prefixes), None)]
+        if fresh:
+            flat = np.concatenate(fresh)
+            known = np.concatenate([[0], np.cumsum(hit := self.bits.has(prefix_keys(np.zeros(1, dtype=np.uint64), flat)))])
+            ends = np.cumsum([len(h) for h in fresh])
+            flat = flat[hit]
+            self.prefixes += [flat[known[e - len(h)] : known[e]] for h, e in zip(fresh, ends)]
         return self.prefixes
 
-    def _count(self, keys: np.ndarray, kinds: np.ndarray) -> None:
+    def _count(self, keys: np.ndarray, kinds: np.ndarray, times: np.ndarray | None = None) -> None:
         asked = self.bits.has(keys)
-        k, code = np.unique(keys[asked], return_inverse=True)
-        n = np.bincount(code * 3 + kinds[asked], minlength=3 * len(k)).reshape(-1, 3)
-        self.keys.append(k)
-        self.counts.append(n)
-        self.load += len(k)
+        both = keys[asked] | kinds[asked].astype(np.uint64)
+        if times is None:
+            both, times = _runs(both)
+        else:
+            both, times = both[times[asked] > 0], times[asked][times[asked] > 0]
+        self.keys.append(both)
+        self.counts.append(times)
+        self.load += len(both)
 
     def full(self) -> bool:
         return self.load > 2_000_000
 
     def counted(self) -> pd.DataFrame:
         """(key, s, c, b) so far; the counts begin anew."""
-        k, code = np.unique(np.concatenate(self.keys or [_NOTHING]), return_inverse=True)
-        n = np.concatenate(self.counts) if self.counts else np.empty((0, 3), dtype=np.int64)
-        total = np.stack([np.bincount(code, weights=n[:, i], minlength=len(k)) for i in range(3)], axis=1).astype(np.int64) if len(k) else n
+        both, code = np.unique(np.concatenate([*self.keys, _NOTHING]), return_inverse=True)
+        n = np.bincount(code, weights=np.concatenate([*self.counts, np.empty(0)]), minlength=len(both)).astype(np.int64)
+        key, kind = (both & ~FREE).view(np.int64), (both & FREE).astype(np.int64)
         self.keys, self.counts, self.load = [], [], 0
-        return pd.DataFrame({"key": k.view(np.int64), "form": np.int64(0), "s": total[:, 0], "c": total[:, 1], "b": total[:, 2]})
-
-    def _bands(self, w: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        known: dict[int, list[int]] = {}
-        wide = np.flatnonzero(lengths >= FIRST_WINDOW).tolist()
-        if not wide:
-            return np.empty(0, dtype=np.int64), _NOTHING, np.empty(0, dtype=np.int64)
-        sizes = []
-        for i in wide:
-            n = int(lengths[i])
-            s = known.get(n)
-            if s is None:
-                s = known[n] = windows(n)
-            sizes.append(s)
-        keys = self.openings.many([(w[starts[i] : starts[i] + lengths[i]], s) for i, s in zip(wide, sizes)])
-        owner = np.repeat(np.array(wide), [len(s) for s in sizes])
+        return pd.DataFrame({"key": key, "form": np.int64(0), "s": n * (kind == STOP), "c": n * (kind == CONT), "b": n * (kind == BARE), "cls": np.int64(0)})
+
+    def _bands(self, w: np.ndarray, starts: np.ndarray, lengths: np.ndarray, heads: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
+        wide = np.flatnonzero(lengths >= FIRST_WINDOW)
+        known = {n: np.array(windows(n)) for n in np.unique(lengths[wide]).tolist()}
+        sizes = [known[n] for n in lengths[wide].tolist()]
+        keys = self.openings.keys(w, starts[wide], sizes)
         hit = self.bits.has(keys.ravel())
-        owner = np.repeat(owner, BANDS)[hit]
-        return owner, keys.ravel()[hit], lengths[owner]
+        key, size = keys.ravel()[hit], np.repeat(np.concatenate(sizes or [starts[:0]]), BANDS)[hit]
+        owner = np.repeat(np.repeat(wide, [len(s) for s in sizes]), BANDS)[hit]
+        start, n = starts[owner], lengths[owner]
+        end = start + size
+        packed = np.zeros(len(owner), dtype=np.int64)
+        for k in range(-SHIFT, SHIFT + 1):
+            inside = end + k < start + n
+            packed |= np.where(inside, heads[np.where(inside, end + k, 0)] if len(heads) else 0, 0) << (12 * (k + SHIFT))
+        with np.errstate(over="ignore"):
+            place = (np.arange(len(raw)) - np.repeat(starts, lengths)).astype(np.uint64)
+            upto = np.concatenate([_NOTHING, [np.uint64(0)], np.cumsum(mix(raw ^ mix(place + np.uint64(1))))])
+            far = {s: decisive(s) for s in np.unique(size).tolist()}
+            read = np.minimum(np.array([far[s] for s in size.tolist()], dtype=np.int64), n)
+            cls = mix(upto[start + read] - upto[start] + key)
+        _, one = np.unique(cls, return_index=True)
+        return owner[one], key[one], n[one], packed[one], cls[one]
 
 
 def _plain(text: str) -> list[str]:
@@ -367,14 +453,13 @@ def _unterminated() -> Column:
     )
 
 
-_ODD = "form bigint, marked boolean, alpha boolean, short boolean, ctx array<bigint>, bands array<bigint>, n int"
+_ODD = "form bigint, marked boolean, alpha boolean, short boolean, ctx array<bigint>, bands array<bigint>, n int, head bigint"
 
 
 def _asked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ask = Asked()
     for b in batches:
-        out = [(form, *got) for form, t in zip(b["form"], b["text"]) if suspicious(t) and (got := ask(t)) is not None]
-        yield pd.DataFrame(out, columns=["form", "marked", "alpha", "short", "ctx", "bands", "n"])
+        yield pd.DataFrame(ask(b["form"].tolist(), b["text"].tolist()), columns=["form", "marked", "alpha", "short", "ctx", "bands", "n", "head"])
 
 
 def cut_rows(rows: DataFrame) -> DataFrame:
@@ -395,25 +480,26 @@ def cut_rows(rows: DataFrame) -> DataFrame:
     an emoji after whole sentences is complete; repeated rows are judged alike; an empty table gives no rows; texts are
     read whole, whatever their length.
     """
-    base = rows.select("tbl", "row_key", "source", "text", F.xxhash64("text").alias("form")).filter(r"text is not null and text rlike '(?U)\\S'")
+    base = rows.select("tbl", "row_key", "source", "text", F.xxhash64("text").alias("form")).filter(F.length(F.rtrim("text", F.lit(_BLANK))) > 0)
     odd = cut(base.filter(_maybe_suspicious(F.col("text"))).select("form", "text").mapInPandas(_asked, _ODD).dropDuplicates(["form"]), "cutoff")
     bits = rows.sparkSession.sparkContext.broadcast(key_bits(odd.select(F.explode(F.concat("ctx", "bands")).alias("key"))))
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = Scan(KeyBits(bits.value))
         for b in batches:
-            owner, keys, n = one.add(b["text"].tolist())
-            yield pd.DataFrame({"key": keys.view(np.int64), "form": b["form"].to_numpy()[owner], "s": n, "c": np.int64(-1), "b": np.int64(0)})
+            owner, keys, n, heads, cls = one.add(b["text"].tolist())
+            yield pd.DataFrame({"key": keys.view(np.int64), "form": b["form"].to_numpy()[owner], "s": n, "c": np.int64(-1), "b": heads, "cls": cls.view(np.int64)})
             if one.full():
                 yield one.counted()
         yield one.counted()
 
-    seen = cut(spread(base, "row_key").select("form", "text").mapInPandas(scan, "key bigint, form bigint, s bigint, c bigint, b bigint"), "cutoff")
+    seen = cut(spread(base, "row_key").select("form", "text").mapInPandas(scan, "key bigint, form bigint, s bigint, c bigint, b bigint, cls bigint"), "cutoff")
     counts = seen.filter("c >= 0").groupBy("key").agg(*[F.sum(x).alias(x) for x in "scb"])
     each = odd.filter("not marked").select("form", "alpha", "short", F.posexplode("ctx").alias("i", "key")).join(counts, "key", "left")
     wide = [F.coalesce(F.max(F.when(F.col("i") == i - 1, F.col(x))), F.lit(0)).alias(f"{x}{i}") for i in range(1, 6) for x in "scb"]
     scored = each.groupBy("form").agg(F.first("alpha").alias("alpha"), F.first("short").alias("short"), *wide).select("form", _unterminated().alias("open"))
-    copies = _copies(odd, seen.filter("c = -1").select("key", F.col("form").alias("f2"), F.col("s").alias("n2")), base)
+    classes = seen.filter("c = -1").groupBy("key", "cls").agg(F.min("form").alias("f2"), F.max("s").alias("n2"), F.max("b").alias("heads"))
+    copies = _copies(odd, classes, base)
     verdict = scored.join(copies, "form", "left").select("form", F.coalesce("early", "open").alias("cut")).unionByName(odd.filter("marked").select("form", F.lit(True).alias("cut")))
     return base.drop("text").join(verdict, "form", "left").select("tbl", "row_key", "source", F.coalesce("cut", F.lit(False)).alias("cut"))
 
@@ -421,11 +507,15 @@ def cut_rows(rows: DataFrame) -> DataFrame:
 def _copies(odd: DataFrame, partners: DataFrame, base: DataFrame) -> DataFrame:
     """(form, early) of suspicious texts with a longer near-copy: whether the alignment with any of them ends early.
 
-    All pairs of a bucket are tried, a suspicious text with each different text at least as long; exact copies are one,
-    and a hot bucket is a skewed key, which the adaptive join splits.
+    A suspicious text is tried with all texts of its buckets that are at least as long and in which a word where the
+    alignment may end begins like its last word. Texts that agree in all the words that decide are one, so a sentence that
+    opens a third of all texts gives as many pairs as it has different continuations; what is left of a hot bucket is a
+    skewed key, which the adaptive join splits.
     """
-    ask = odd.select("form", "n", F.explode("bands").alias("key"))
-    pairs = cut(ask.join(partners.distinct(), "key").filter("f2 <> form and n2 >= n - n div 10").select("form", "f2").distinct(), "cutoff")
+    ask = odd.select("form", "n", "head", F.explode("bands").alias("key"))
+    begins = " or ".join(f"shiftright(heads, {12 * k}) & 4095 = head" for k in range(2 * SHIFT + 1))
+    near = ask.join(partners, "key").filter(f"f2 <> form and n2 >= n - n div 10 and (head = 0 or {begins})")
+    pairs = cut(near.select("form", "f2").distinct(), "cutoff")
     asked = pairs.select("form").unionByName(pairs.select(F.col("f2").alias("form"))).distinct()
     text = cut(base.select("form", "text").join(asked, "form", "left_semi").dropDuplicates(["form"]), "cutoff")
     both = pairs.join(text, "form").join(text.select(F.col("form").alias("f2"), F.col("text").alias("other")), "f2")
@@ -438,7 +528,8 @@ def _copies(odd: DataFrame, partners: DataFrame, base: DataFrame) -> DataFrame:
                 x = plain.get(t)
                 if x is None:
                     x = plain[t] = _plain(t)
-                raw = o.lower().split()
+                most = len(x) + len(x) // 10 + 1  # words that decide
+                raw = [w.lower() for w in o.split(None, most)[:most]]
                 v = copy_verdict(x, [w.strip(_STRIP) for w in raw], raw)
                 if v >= 0:
                     out.append((form, bool(v)))
