@@ -12,14 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlpit.functions.bitmap import KeyBits, key_bits
 from marlpit.functions.fold import words
-from marlpit.functions.shingles import MinHasher, WordHash, ngrams
-from marlpit.session import spread
+from marlpit.functions.shingles import MinHasher, WordHash, line_ngrams, mix, ngrams
+from marlpit.session import cut, spread
 
 RUN = 20  # successive words that make a leak
 ALTERED = 7  # at most one altered word in seven ("about one in eight")
 GRAM = 3  # an altered word in eight leaves too few longer shingles whole
-STEP = 4  # distance of the query windows
 SIZES = (24, 48)  # upper word counts of the document partitions; longer documents are cut into overlapping parts
 OVERLAP = 20
 SHARED = RUN - GRAM + 1 - GRAM * (RUN // ALTERED + 1)  # shingles that a passage with the most altered words still shares
@@ -41,125 +41,107 @@ def own_words(items: DataFrame, key: str, text: str) -> DataFrame:
     return each.join(owners, "w", "left_semi").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("x")).select("k", F.flatten("x.w").alias("words"))
 
 
-class LeakIndex:
-    """A block of items, searched by min-hash containment.
+Q = RUN - GRAM + 1  # shingles of a query window
+KEPT = max(1, SHARED)
+#: One-row bands of a document partition: as many as bring the chance to miss the containment KEPT / Q below MISS.
+BANDS = tuple(math.ceil(math.log(MISS) / math.log(1 - KEPT / (Q + max(s - GRAM + 1, Q) - KEPT))) for s in SIZES)
 
-    Queries are windows of ``RUN`` own words. Documents are partitioned by size; for each partition the containment that
-    a leaked window must reach is turned into the Jaccard similarity it has with a part of the partition's upper size,
-    and the number of one-row bands follows from that and ``MISS``. Small parts thus need few hash orders.
+
+def _band_keys(minima: np.ndarray) -> np.ndarray:
+    """Keys that tell the bands apart, for bands x sets minima."""
+    with np.errstate(over="ignore"):
+        return mix(minima ^ (np.arange(1, len(minima) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
+
+
+class Windows:
+    """Band keys of every window of ``RUN`` successive own words of an item."""
+
+    def __init__(self) -> None:
+        self.hash, self.hasher = WordHash(), MinHasher(max(BANDS))
+
+    def __call__(self, own: list[str]) -> np.ndarray:
+        g = ngrams(self.hash(own), GRAM)
+        at = np.arange(len(g) - Q + 1)
+        sets = g[at[:, None] + np.arange(Q)].ravel()
+        return np.unique(_band_keys(self.hasher.minima(sets, at * Q)))
+
+
+class Parts:
+    """Band keys of document parts, for those parts that can hold a window of an asked item.
+
+    Documents are partitioned by size; in each partition the containment that a leaked window must reach is turned into
+    the Jaccard similarity it has with a part of the partition's upper size, and the number of bands follows from that and
+    ``MISS``. Small parts thus need few hash orders; long documents are cut into overlapping parts of the last size.
+    A part with fewer shingles of any item than a leak has is passed over; the bits can only let more through.
     """
 
-    def __init__(self, items: list[tuple[object, list[str]]]) -> None:
-        self.hash = WordHash()
-        self.keys = [k for k, w in items]
-        self.hashed = [self.hash(w) for _, w in items]
-        grams = [np.unique(ngrams(h, GRAM)) for h in self.hashed] or [np.empty(0, dtype=np.uint64)]
-        flat, of = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        order = np.argsort(flat, kind="stable")
-        self.gram, first = np.unique(flat[order], return_index=True)
-        self.gram_first, self.gram_item = np.append(first, len(flat)), of[order]
-        self.where: list[dict[int, list[int]] | None] = [None] * len(items)
-        q = RUN - GRAM + 1
-        kept = max(1, SHARED)
-        self.bands = [math.ceil(math.log(MISS) / math.log(1 - kept / (q + max(s - GRAM + 1, q) - kept))) for s in SIZES]
-        self.hasher = MinHasher(max(self.bands))
-        parts, starts, owner, at = [], [], [], 0
-        for i, h in enumerate(self.hashed):
-            if len(h) < RUN:
-                continue
-            offsets = list(range(0, len(h) - RUN + 1, STEP))
-            if offsets[-1] != len(h) - RUN:
-                offsets.append(len(h) - RUN)
-            for o in offsets:
-                g = ngrams(h[o : o + RUN], GRAM)
-                parts.append(g)
-                starts.append(at)
-                owner.append(i)
-                at += len(g)
-        self.tables = []
-        if parts:
-            minima = self.hasher.minima(np.concatenate(parts), np.array(starts))
-            own = np.array(owner)
-            for k in range(self.hasher.bands):
-                pair = np.unique(np.rec.fromarrays([minima[k], own], names="v,i"))
-                values, first = np.unique(pair.v, return_index=True)
-                self.tables.append((values, np.append(first, len(pair)), np.asarray(pair.i)))
-
-    def find(self, texts: list[str | None]) -> Iterator[tuple[int, object]]:
-        """(position of the text, key of the item) of every leak."""
-        if not self.tables:
-            return
-        batch: list[tuple[int, np.ndarray]] = []
-        load = 0
-        for n, t in enumerate(texts):
-            w = self.hash(words(t))
-            if len(w) >= RUN - RUN // ALTERED:
-                batch.append((n, w))
-                load += len(w)
-            if load > 300_000:
-                yield from self._search(batch)
-                batch, load = [], 0
-        yield from self._search(batch)
-
-    def _search(self, batch: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, object]]:
+    def __init__(self, grams: KeyBits, keys: KeyBits) -> None:
+        self.grams, self.keys = grams, keys
+        self.hash, self.hasher = WordHash(), MinHasher(max(BANDS))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, key) of the parts' keys that some item window has."""
+        flat: list[str] = []
+        lengths = []
+        for t in texts:
+            w = words(t)
+            lengths.append(len(w))
+            flat += w
+        n = np.array(lengths, dtype=np.int64)
+        keep = n >= GRAM
+        if not keep.any():
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        all_words = self.hash(flat)
+        g, at = line_ngrams(all_words, n[n > 0], GRAM)
+        hits = np.concatenate([[0], np.cumsum(self.grams.has(g))])
+        size = np.where(n == 0, 0, np.maximum(n - GRAM + 1, 1))
+        first = np.concatenate([[0], np.cumsum(size)])
+        enough = np.flatnonzero(keep & (hits[first[1:]] - hits[first[:-1]] >= KEPT))
+        out_text, out_key = [], []
         for p, upper in enumerate(SIZES):
-            lower = SIZES[p - 1] if p else 0
-            last = p + 1 == len(SIZES)
-            sets, starts, owner, at = [], [], [], 0
-            for d, (_, w) in enumerate(batch):
-                if len(w) < GRAM or len(w) <= lower or (len(w) > upper and not last):
-                    continue
-                for o in range(0, max(1, len(w) - OVERLAP), upper - OVERLAP):
-                    g = ngrams(w[o : o + upper], GRAM)
-                    sets.append(g)
-                    starts.append(at)
-                    owner.append(d)
-                    at += len(g)
+            lower, last = SIZES[p - 1] if p else 0, p + 1 == len(SIZES)
+            sets, starts, owner, total = [], [], [], 0
+            for d in enough[(n[enough] > lower) & ((n[enough] <= upper) | last)].tolist():
+                for o in range(0, max(1, lengths[d] - OVERLAP), upper - OVERLAP):
+                    a, z = first[d] + o, first[d] + min(o + upper - GRAM + 1, size[d])
+                    if hits[z] - hits[a] >= KEPT:
+                        sets.append(g[a:z])
+                        starts.append(total)
+                        owner.append(d)
+                        total += z - a
             if not sets:
                 continue
-            minima = self.hasher.minima(np.concatenate(sets), np.array(starts))[: self.bands[p]]
-            own = np.array(owner)
-            found = []
-            for k in range(len(minima)):
-                values, first, items = self.tables[k]
-                pos = np.searchsorted(values, minima[k])
-                pos[pos == len(values)] = 0
-                hit = np.flatnonzero(values[pos] == minima[k])
-                lo, n = first[pos[hit]], first[pos[hit] + 1] - first[pos[hit]]
-                take = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                found.append(np.repeat(own[hit], n) * len(self.keys) + items[take])
-            pairs = np.unique(np.concatenate(found))
-            doc, shared = -1, None
-            for d, i in zip(pairs // len(self.keys), pairs % len(self.keys)):
-                if d != doc:
-                    doc, shared = d, self._shared(batch[d][1])
-                if shared[i] >= SHARED and self._holds(batch[d][1], i):
-                    yield batch[d][0], self.keys[i]
-
-    def _shared(self, doc: np.ndarray) -> np.ndarray:
-        """How many different shingles the document shares with each item."""
-        grams = np.unique(ngrams(doc, GRAM))
-        at = np.searchsorted(self.gram, grams)
-        at[at == len(self.gram)] = 0
-        at = at[self.gram[at] == grams]
-        lo, n = self.gram_first[at], self.gram_first[at + 1] - self.gram_first[at]
-        take = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, dtype=np.int64)
-        return np.bincount(self.gram_item[take], minlength=len(self.keys))
-
-    def _holds(self, doc: np.ndarray, i: int) -> bool:
-        """Exact check: the longest run of item words that the document has along a diagonal."""
-        item = self.hashed[i]
-        if self.where[i] is None:
-            where = defaultdict(list)
-            for p, g in enumerate(ngrams(item, GRAM).tolist()):
-                where[g].append(p)
-            self.where[i] = where
-        where, diagonals = self.where[i], Counter()
+            keys = _band_keys(self.hasher.minima(np.concatenate(sets), np.array(starts))[: BANDS[p]])
+            hit = self.keys.has(keys.ravel())
+            pair = np.unique(np.stack([np.tile(np.array(owner), len(keys))[hit].astype(np.uint64), keys.ravel()[hit]]), axis=1)
+            out_text.append(pair[0].astype(np.int64))
+            out_key.append(pair[1])
+        if not out_text:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        return np.concatenate(out_text), np.concatenate(out_key)
+
+
+class Item:
+    """An item for the exact check of a document."""
+
+    def __init__(self, hashed: np.ndarray) -> None:
+        self.hashed = hashed
+        self.grams = ngrams(hashed, GRAM)
+        self.where: dict[int, list[int]] = defaultdict(list)
+        for p, g in enumerate(self.grams.tolist()):
+            self.where[g].append(p)
+
+    def held_by(self, doc: np.ndarray) -> bool:
+        """Whether the document has ``KEPT`` shingles of the item and, along a diagonal, a long enough run of its words."""
+        diagonals: Counter[int] = Counter()
+        shared = set()
         for k, g in enumerate(ngrams(doc, GRAM).tolist()):
-            for p in where.get(g, ()):
+            for p in self.where.get(g, ()):
                 diagonals[k - p] += 1
-        n = len(item)
-        span = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]
+                shared.add(g)
+        if len(shared) < KEPT:
+            return False
+        item, n = self.hashed, len(self.hashed)
         for d in diagonals:
             same = np.zeros(n, dtype=bool)
             for s in (-2, -1, 0, 1, 2):  # a word or two may be dropped or inserted
@@ -167,46 +149,83 @@ class LeakIndex:
                     p0, p1 = max(0, -(d + s)), min(n, len(doc) - d - s)
                     if p1 > p0:
                         same[p0:p1] |= item[p0:p1] == doc[p0 + d + s : p1 + d + s]
-            if same.sum() < RUN - RUN // ALTERED:
-                continue
-            score = ALTERED * np.concatenate([[0], np.cumsum(same)]) - (ALTERED - 1) * np.arange(n + 1)
-            opens, closes = np.append(same, False), np.append(False, same)
-            if ((score[None, :] >= score[:, None]) & (span >= RUN) & opens[:, None] & closes[None, :]).any():
+            if same.sum() >= RUN - RUN // ALTERED and _run(same):
                 return True
         return False
 
 
-def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, block: int = 4000) -> DataFrame:
+def _run(same: np.ndarray) -> bool:
+    """Whether some stretch of ``RUN`` words or more begins and ends with a kept word and has at most one altered in ``ALTERED``."""
+    score = ALTERED * np.concatenate([[0], np.cumsum(same)]) - (ALTERED - 1) * np.arange(len(same) + 1)
+    opens = np.where(same, score[:-1], np.iinfo(np.int64).max)
+    least = np.minimum.accumulate(opens)[: max(0, len(same) - RUN + 1)]
+    closes = same[RUN - 1 :]
+    return bool((closes & (score[RUN:] >= least)).any()) if len(least) else False
+
+
+def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(doc_id, test_id): documents that hold at least ``RUN`` successive own words of an item, one in ``ALTERED`` altered.
 
-    The evaluation items are a query set, taken in blocks of at most ``block`` (so what is broadcast is bounded, however
-    many items there are); every block meets all documents in one scan without a shuffle.
+    Item windows become min-hash band keys, partitioned by key. One scan of the documents gives the band keys of their
+    parts, filtered by the bits of the item side (bounded, see :mod:`marlpit.functions.bitmap`), and only keys that an
+    item may have are shuffled; so the corpus is read once, however many items there are, and nothing is collected. A
+    join on the keys gives candidate pairs, which the exact shingle count and alignment verify. A key that very many
+    documents share has few rows on the item side; the adaptive join splits it.
 
     Defined results: letter case, punctuation, spacing, markup entities, character forms, look-alikes and invisible
     characters do not matter; lines (sentences) that several items share do not count; null and short texts hold
     nothing and leak nothing; repeated rows give one row; very long documents are searched whole, in overlapping parts.
     """
-    own = own_words(items, item_key, item_text)
-    own = own.filter(F.size("words") >= RUN).persist()
-    total = own.count()
-    kinds = f"doc_id {docs.schema[doc_key].dataType.simpleString()}, test_id {items.schema[item_key].dataType.simpleString()}"
-    rows = spread(docs.select(F.col(doc_key).alias("k"), F.col(doc_text).alias("t")).filter("k is not null and t is not null"), "k")
-    out = None
-    blocks = max(1, math.ceil(total / block))
-    for n in range(blocks):
-        part = [(r["k"], r["words"]) for r in own.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == n).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = LeakIndex(shared.value)
-            for b in batches:
-                keys = b["k"].tolist()
-                yield pd.DataFrame([(keys[d], i) for d, i in index.find(b["t"].tolist())], columns=["doc_id", "test_id"])
-
-        found = rows.mapInPandas(run, kinds)
-        out = found if out is None else out.unionByName(found)
-    own.unpersist()
-    return out.distinct()
+    own = cut(own_words(items, item_key, item_text).filter(F.size("words") >= RUN), "leak")
+    doc_kind, item_kind = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+
+    def window_keys(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = Windows()
+        for b in batches:
+            for k, w in zip(b["k"], b["words"]):
+                yield pd.DataFrame({"key": one(list(w)).view(np.int64), "item": k})
+
+    def grams(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed = WordHash()
+        for b in batches:
+            yield pd.DataFrame({"key": np.concatenate([ngrams(hashed(list(w)), GRAM) for w in b["words"]] or [np.empty(0, dtype=np.uint64)]).view(np.int64)})
+
+    asked = cut(spread(own, "k").mapInPandas(window_keys, f"key bigint, item {item_kind}"), "leak")
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((key_bits(own.mapInPandas(grams, "key bigint")), key_bits(asked)))
+
+    def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = Parts(*map(KeyBits, shared.value))
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                part = b.iloc[at : at + 2000]
+                text, key = parts(part["t"].tolist())
+                yield pd.DataFrame({"k": part["k"].to_numpy()[text], "key": key.view(np.int64)})
+
+    rows = docs.select(F.col(doc_key).alias("k"), F.col(doc_text).alias("t")).filter("k is not null and t is not null")
+    hits = spread(rows, "k").mapInPandas(scan, f"k {doc_kind}, key bigint")
+    pairs = cut(hits.join(asked, "key").select("k", "item").distinct(), "leak")
+    text = rows.join(pairs.select("k").distinct(), "k", "left_semi").distinct()
+
+    def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed = WordHash()
+        known: dict[object, Item] = {}
+        for b in batches:
+            out, last, doc = [], None, np.empty(0, dtype=np.uint64)
+            for k, t, i, w in zip(b["k"], b["t"], b["item"], b["words"]):
+                if len(known) > 5000:
+                    known.clear()
+                if t is not last:
+                    last, doc = t, hashed(words(t))
+                item = known.get(i)
+                if item is None:
+                    item = known[i] = Item(hashed(list(w)))
+                if item.held_by(doc):
+                    out.append((k, i))
+            yield pd.DataFrame(out, columns=["doc_id", "test_id"])
+
+    both = pairs.join(text, "k").join(own.withColumnRenamed("k", "item"), "item")
+    return both.select("k", "t", "item", "words").mapInPandas(verify, f"doc_id {doc_kind}, test_id {item_kind}").distinct()
 
 
 def leak_counts(found: DataFrame, items: DataFrame, item_key: str, split: str) -> DataFrame:
