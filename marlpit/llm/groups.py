@@ -92,32 +92,47 @@ def proportional_splits(
 ) -> DataFrame:
     """(key, group, split): whole groups on hash ranges whose borders are set so that the *records* have the given shares.
 
-    Groups fall into ``buckets`` by the salted hash of their id. Running record counts over the buckets (a table of at
-    most ``buckets`` rows) place each bucket in the split whose share range holds its middle. Groups larger than
-    ``big`` of all records (at most ``1 / big`` groups exist) would shift a border, so they go to the first split and
-    its remaining share is what the hash ranges fill.
-
-    Defined results: rows with a null key or group are left out, an empty table gives no rows. A group over the first
-    split's share makes the shares unreachable; it still stays whole.
+    Groups fall into ``buckets`` by the salted hash of their id. A group of more than ``big`` of all records (at most
+    ``1 / big`` exist, they reach the driver) goes, the largest first, to the split its own hash range says, or where that
+    has no room left, to the split with most room. The borders of the hash ranges then follow from the room that is left
+    in each split: running record counts over the buckets (a table of at most ``buckets`` rows) place each bucket in the
+    range that holds its middle.
+
+    Defined results: rows with a null key or group are left out, an empty table gives no rows. A group over the largest
+    share makes the shares unreachable; it still stays whole.
     """
     rows = groups.filter(F.col(key).isNotNull() & F.col(group).isNotNull()).select(F.col(key).alias("_k"), F.col(group).alias("_g")).distinct()
-    sizes = rows.groupBy("_g").agg(F.count("*").alias("_n")).withColumn("_b", hash_bucket(buckets, F.lit(salt), F.col("_g")))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    sizes = sizes.join(F.broadcast(total)).withColumn("_big", F.col("_n") > F.col("_total") * big)
-    cells = sizes.groupBy("_b").agg(
-        F.sum(F.when(~F.col("_big"), F.col("_n")).otherwise(0)).alias("_w"), F.sum(F.when(F.col("_big"), F.col("_n")).otherwise(0)).alias("_bw"), F.first("_total").alias("_total")
-    )
-    line = Window.partitionBy(F.lit(0)).orderBy("_b")  # at most `buckets` rows
-    whole = Window.partitionBy(F.lit(0))
-    cells = cells.withColumn("_mid", F.sum("_bw").over(whole) + F.sum("_w").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w") / 2)
-    at, border = F.col("_mid") / F.col("_total"), 0.0
-    split = F.lit(shares[-1][0])
-    cases = None
-    for name, share in shares[:-1]:
-        border += share
-        cases = F.when(at < border, name) if cases is None else cases.when(at < border, name)
+    sizes = cut(rows.groupBy("_g").agg(F.count("*").alias("_n")).withColumn("_b", hash_bucket(buckets, F.lit(salt), F.col("_g"))), "split")
+    total = sizes.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    giants = sizes.filter(F.col("_n") > total * big).collect()  # at most 1 / big rows
+    placed, room = _place_giants([(r["_g"], r["_n"], (r["_b"] + 0.5) / buckets) for r in giants], shares, total)
+    rest = sum(room.values())
+    line = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # at most `buckets` rows
+    cells = sizes.filter(F.col("_n") <= total * big).groupBy("_b").agg(F.sum("_n").alias("_w"))
+    cells = cells.withColumn("_mid", (F.sum("_w").over(line) - F.col("_w") / 2) / F.sum("_w").over(Window.partitionBy(F.lit(0))))
+    split, border, cases = F.lit(shares[-1][0]), 0.0, None
+    for name, _ in shares[:-1]:
+        border += room[name] / rest if rest else 0.0
+        cases = F.when(F.col("_mid") < border, name) if cases is None else cases.when(F.col("_mid") < border, name)
     split = split if cases is None else cases.otherwise(shares[-1][0])
-    placed = sizes.join(F.broadcast(cells.select("_b", split.alias("_split"))), "_b").select(
-        "_g", F.when(F.col("_big"), F.lit(shares[0][0])).otherwise(F.col("_split")).alias("split")
-    )
-    return rows.join(placed, "_g").select(F.col("_k").alias(key), F.col("_g").alias(group), "split")
+    known = rows.sparkSession.createDataFrame(placed, f"_g {rows.schema['_g'].dataType.simpleString()}, _giant string")
+    small = sizes.join(F.broadcast(cells.select("_b", split.alias("_split"))), "_b", "left").join(F.broadcast(known), "_g", "left")
+    return rows.join(small.select("_g", F.coalesce("_giant", "_split").alias("split")), "_g").select(F.col("_k").alias(key), F.col("_g").alias(group), "split")
+
+
+def _place_giants(giants: list[tuple], shares: tuple[tuple[str, float], ...], total: int) -> tuple[list[tuple], dict[str, float]]:
+    """((group, split) of the big groups, records that each split still has room for)."""
+    room = {name: share * total for name, share in shares}
+    placed = []
+    for g, n, unit in sorted(giants, key=lambda x: (-x[1], x[2], x[0])):
+        upto, own = 0.0, shares[-1][0]
+        for name, share in shares:
+            upto += share
+            if unit < upto:
+                own = name
+                break
+        if room[own] < n:
+            own = max(room, key=room.get)
+        room[own] = max(0.0, room[own] - n)
+        placed.append((g, own))
+    return placed, room
