@@ -25,8 +25,8 @@ def frozen_batch_sample(
     falls; only that cell's keys are ranked.
 
     Defined results: null and empty keys are never selected; repeated keys count once, in the batch of their first
-    arrival; a key without any arrival has no batch and is selected when its hash lies below ``rate`` (also append-only);
-    an empty table gives no rows. Returns (key, batch), batch null for keys without arrival.
+    arrival; a key without any arrival has not arrived: it belongs to no batch and waits, like the keys of the open batch,
+    until its arrival is known, so nothing selected is ever dropped again; an empty table gives no rows. Returns (key, batch).
     """
     share = Fraction(rate).limit_denominator(1_000_000)  # so that ceil is exact
     first = (
@@ -54,15 +54,10 @@ def frozen_batch_sample(
         .withColumn("_r", F.row_number().over(Window.partitionBy("_b", "_c").orderBy("_h", "_k")))
         .filter("_before + _r <= _want")
     )
-    undated = first.filter("_b is null").filter(_unit_interval(F.col("_h")) < F.lit(rate))
-    out = whole.select("_k", "_b").unionByName(edge.select("_k", "_b")).unionByName(undated.select("_k", "_b"))
+    out = whole.select("_k", "_b").unionByName(edge.select("_k", "_b"))
     return out.select(F.col("_k").alias(key), F.col("_b").alias("batch"))
 
 
-def _unit_interval(hex16: Column) -> Column:
-    return F.conv(F.substring(hex16, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
-
-
 def rows_of_sample(rows: DataFrame, key: Column, sample: DataFrame, sample_key: str) -> DataFrame:
     """All rows whose canonical ``key`` is in the sample; rows without key are never in it.
 
