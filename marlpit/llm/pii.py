@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,12 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlpit.functions.bitmap import KeyBits, key_bits
 from marlpit.session import cut, spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 NAME_TOKENS = 4  # bound on the words of a name segment; other segments are bounded by their patterns
-CELLS = 1 << 23  # cells of the map of proper words, whatever the size of the corpus
+KNOWN = 3  # places inside sentences with a capital from which on a proper word is well known; rarer ones are candidates too
 PROPER_SHARE = 0.3  # of a proper word's places inside sentences it has a capital in at least so many
 INNER_SHARE = 0.12  # and so many of its places are inside sentences
 
@@ -58,39 +59,6 @@ FAMILIES: list[tuple[str, str, re.Pattern[str]]] = [
 _STREET = frozenset(re.findall(r"\w+", _SUFFIX)) | frozenset("rue av bd chemin allée allee impasse quai cours route calle c plaza avenida avda paseo camino carrera via viale piazza corso rua".split())
 _STREET_END = ("weg", "straße", "strasse", "str", "gasse", "platz", "allee", "ufer", "damm", "straat", "gracht", "laan")
 _MOMENT = re.compile(r"\d{4}-\d\d-\d\d\W*|\d?\d:\d\d(?::\d\d)?\W*")
-_WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_HOST = r"[\w\-]+"
-_DOT = r"(?:\.|\s?[\[(]\s?(?:dot|punkt|punto|point)\s?[\])]\s?|\s(?:dot|punkt|punto|point)\s)"
-_AT = r"(?:[@＠]|\s?[\[(]\s?(?:at|@)\s?[\])]\s?)"
-_EDGE, _END = r"(?<![\w.\-+/#$€£])", r"(?![\w/]|[\-.:]\d)"
-_SUFFIX = "(?:street|str|st|road|rd|avenue|ave|lane|ln|drive|dr|court|ct|close|place|pl|way|terrace|ter|boulevard|blvd|square|sq|crescent|cres|row|mews|walk|grove|parkway|pkwy|circle|cir|alley|highway|hwy)"
-_UNIT = r"(?:(?:flat|apt\.?|apartment|unit|suite|ste\.?|piso)\s?\#?\w{1,4},?\s+)?"
-_UNIT_AFTER = r"(?:,?\s+(?:flat|apt\.?|apartment|unit|suite|ste\.?|\#)\s?\#?\w{1,4}\b)?"
-_TOWN = r"(?:,\s+[^\W\d_][\w'\-]+(?:\s[^\W\d_][\w'\-]+)?\s+\d{4,5}\b)?"
-
-#: Segment families: permissive shapes of whole values; the field decides which of the overlapping candidates hold.
-FAMILIES: list[tuple[str, str, re.Pattern[str]]] = [
-    ("email", "plain", re.compile(rf"(?<![\w.+\-])[\w.+\-]*\w[\w.+\-]*[@＠]{_HOST}(?:\.{_HOST})+", re.I)),
-    ("email", "marked", re.compile(rf"(?<![\w.+\-])[\w.+\-]+(?:{_DOT}[\w.+\-]+)*{_AT}{_HOST}(?:{_DOT}{_HOST})+", re.I)),
-    ("email", "worded", re.compile(rf"(?<![\w.+\-])[\w+\-]+(?:\s(?:dot|punkt|punto|point)\s[\w+\-]+)*\s(?:at|arroba|chez)\s{_HOST}(?:\s(?:dot|punkt|punto|point)\s{_HOST})+", re.I)),
-    ("phone", "country", re.compile(rf"{_EDGE}(?:\+|00)\d{{1,3}}[\s.\-]?\(?\d{{1,4}}\)?(?:[\s.\-]?\d{{2,5}}){{1,4}}{_END}")),
-    ("phone", "area", re.compile(rf"{_EDGE}(?:1[\s.\-])?(?:\(\d{{3}}\)\s?|\d{{3}}[\s.\-])\d{{3}}[\s.\-]\d{{4}}{_END}")),
-    ("phone", "ten", re.compile(rf"{_EDGE}[2-9]\d{{9}}{_END}")),
-    ("phone", "local", re.compile(rf"{_EDGE}[2-9]\d{{2}}[\s.\-]\d{{4}}{_END}")),
-    ("phone", "worded", re.compile(rf"\b(?:{_DIGIT_WORD}[\s,\-]+){{6,14}}{_DIGIT_WORD}\b", re.I)),
-    ("id_number", "three", re.compile(rf"{_EDGE}\d{{3}}[\s.\-]\d{{2}}[\s.\-]\d{{4}}{_END}")),
-    ("id_number", "nine", re.compile(rf"{_EDGE}\d{{9}}{_END}")),
-    ("id_number", "letters", re.compile(rf"{_EDGE}[A-Za-z]{{2}}[\s\-]?\d{{2}}[\s\-]?\d{{2}}[\s\-]?\d{{2}}[\s\-]?[A-Da-d]{_END}")),
-    ("id_number", "check", re.compile(rf"{_EDGE}(?:\d{{8}}|[XYZxyz][\s\-]?\d{{7}})[\s\-]?[A-Za-z]{_END}")),
-    ("id_number", "grouped", re.compile(rf"{_EDGE}[A-Za-z]\d{{2,4}}[\s\-]\d{{3,5}}[\s\-]\d{{3,5}}{_END}")),
-    ("id_number", "serial", re.compile(rf"{_EDGE}[A-Za-z]{{1,2}}\s?\d{{6,8}}{_END}")),
-    ("street_address", "number_first", re.compile(rf"{_EDGE}{_UNIT}\d{{1,5}}[a-z]?,?\s+(?:[^\W\d_][\w'’.\-]*\s+){{1,3}}{_SUFFIX}\b(?:\.(?=,|\s+[a-z(]))?{_UNIT_AFTER}{_TOWN}{_UNIT_AFTER}", re.I)),
-    ("street_address", "type_first", re.compile(rf"{_EDGE}\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|allee|impasse|quai|cours|route|square)\s+(?:de\s+la\s+|de\s+l['’]\s?|des\s+|du\s+|de\s+|d['’]\s?)?[\w'’\-]+{_TOWN}", re.I)),
-    ("street_address", "type_first_two", re.compile(rf"{_EDGE}\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|allee|impasse|quai|cours|route|square)\s+(?:de\s+la\s+|de\s+l['’]\s?|des\s+|du\s+|de\s+|d['’]\s?)[\w'’\-]+\s+[\w'’\-]+{_TOWN}", re.I)),
-    ("street_address", "number_last", re.compile(rf"(?<!\w)(?:calle|c/|plaza|avenida|avda\.?|paseo|camino|carrera|via|viale|piazza|corso|rua)\s+(?:del\s+|de\s+la\s+|de\s+los\s+|de\s+las\s+|de\s+|della\s+|dei\s+|da\s+)?[\w'’\-]+(?:\s+[\w'’\-]+)?\s*,?\s*(?:n[.º°]\s*)?\d{{1,4}}(?:,?\s*\d{{1,2}}[º°ª]\s?\w?)?\b", re.I)),
-    ("street_address", "compound", re.compile(r"(?<!\w)[^\W\d_][\w\-]*(?:weg|straße|strasse|str\.|gasse|platz|allee|ufer|damm|straat|gracht|laan)\s+\d{1,4}\s?[a-z]?(?!\w)", re.I)),
-]
-_SIGNS = re.compile(r"\d{3}|[@＠]|[\[(]\s?at\s?[\])]|\sdot\s|\d[\w,.]*\s+[^\W\d_]|[^\W\d_]\s+\d|" + _DIGIT_WORD + r"[\s,\-]+" + _DIGIT_WORD + r"[\s,\-]+" + _DIGIT_WORD, re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _PLACED = re.compile(r"\[(?:EMAIL|PHONE|ID_NUMBER|STREET_ADDRESS|PERSON_NAME|NAME|ADDRESS|URL)\]")
 
@@ -165,18 +133,33 @@ _STREET_HINT = re.compile(r"[13].{0,8}[sS]|[sS].{0,7}[13]")
 _AT_SIGN = re.compile(r"[\[(]\s?(?:at|@)\s?[\])]", re.I)
 
 
-def proper_cell(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) % CELLS
+class Words:
+    """A set of words as bits of their hashes, with remembered answers; emptied when full."""
+
+    def __init__(self, bits: np.ndarray, room: int = 500_000) -> None:
+        self.bits, self.room, self.seen = KeyBits(bits), room, {}
+
+    def __contains__(self, word: object) -> bool:
+        got = self.seen.get(word)
+        if got is None:
+            if len(self.seen) > self.room:
+                self.seen.clear()
+            got = self.seen[word] = bool(self.bits.has(np.array([word_key(word)], dtype=np.uint64))[0])
+        return got
+
+
+def word_key(word: str) -> int:
+    """The hash of a word that the engine's own hash function gives."""
+    return xxhash.xxh64_intdigest(word, seed=42)
 
 
 class Field:
     """Weights of the semi-Markov field and its decoding."""
 
-    def __init__(self, weights: dict[str, float] | None = None, proper: Callable[[str], bool] | None = None, brands: frozenset[str] = frozenset()) -> None:
+    def __init__(self, weights: dict[str, float] | None = None, proper: Container[str] = (), known: Container[str] = (), brands: Container[str] = ()) -> None:
         self.w = defaultdict(float, weights or {})
-        self.proper = proper or (lambda word: False)
+        self.proper, self.known, self.brands = proper.__contains__, known, brands
         self.roles = Roles(self.proper)
-        self.brands = brands
 
     def candidates(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, family) of the segments that the field scores."""
@@ -240,9 +223,12 @@ class Field:
             out.append(f"{kind}|case=" + ("U" if value.isupper() else "l" if value.islower() else "C" if all(w[0].isupper() for w in words) else "m"))
             if low in self.brands or low.replace(".", "") in self.brands or any(low.startswith(x + " ") or low.endswith(" " + x) for x in self.brands_of(words)):
                 out.append(f"{kind}|brand")
+            rare = sum(len(w) > 1 and w.lower() not in self.known and w.lower() not in TITLES for w in words)
+            if rare:
+                out.append(f"{kind}|rare{min(rare, 2)}")
             if re.search(r"\d[a-z]?,?\s+$", text[max(0, a - 6) : a]):
                 out.append(f"{kind}|after_digit")
-            if re.match(rf"\s+{_SUFFIX}\b", text[b : b + 14], re.I) or re.search(rf"\s{_SUFFIX}$", value, re.I):
+            if re.match(rf"\s+{_SUFFIX}\b", text[b : b + 14], re.I) or re.search(rf"\s{_SUFFIX}$", value, re.I) or (words[0].lower() not in TITLES and re.match(rf"{_SUFFIX}\b", value, re.I)):
                 out.append(f"{kind}|street")
             if a and text[a - 1] in "@/_.#":
                 out.append(f"{kind}|inside")
@@ -391,7 +377,7 @@ def examples(seed: int = 11, n: int = 2500) -> list[tuple[str, list[tuple[int, i
         lambda: f"It weighs {d(2)}.{d(2)} kg and measures {d(2)} x {d(2)} cm.", lambda: f"Follow @{r.choice(family).lower()} for offers.", lambda: f"Take gate {d(1)} or table {d(2)} at the court.", lambda: "I drive 20 minutes a day on the close road.",
         lambda: f"We went to {r.choice(town)} with {r.choice(given)} and a friend.", lambda: f"serial ZX{d(7)}", lambda: f"voucher {d(8)}B", lambda: f"invoice {d(3)}-{d(4)}", lambda: f"ref {d(3)}-{d(3)}-{d(4)}",
     ]
-    proper = {w.lower() for w in given + family + town} | {w.lower() for x in street for w in x.split()} | {p for b in brand for p in b.split()} | {p for w in family for p in [w.lower()]}
+    proper = {w.lower() for w in given + family + town + suffix} | {w.lower() for x in street for w in x.split()} | {p for b in brand for p in b.split()} | {p for w in family for p in [w.lower()]}
     out = []
     for _ in range(n):
         text, gold = "", []
@@ -416,7 +402,8 @@ def examples(seed: int = 11, n: int = 2500) -> list[tuple[str, list[tuple[int, i
 def trained_weights() -> dict[str, float]:
     """Weights of the field, fitted on the made-up sentences; takes a few seconds, the same result each time."""
     made = examples()
-    field = Field({}, lambda w, p=made[0][2]: w in p, frozenset(made[0][3]))
+    seldom = random.Random(7)
+    field = Field({}, made[0][2], {w for w in sorted(made[0][2]) if seldom.random() < 0.7}, frozenset(made[0][3]))
     field.fit([(t, g) for t, g, _, _ in made])
     return {k: v for k, v in field.w.items() if v}
 
@@ -424,8 +411,9 @@ def trained_weights() -> dict[str, float]:
 # ---- the corpus side
 
 
-def proper_words(texts: DataFrame) -> np.ndarray:
-    """Bitmap of the words written with a capital most times they stand inside a sentence, counted over all texts."""
+def proper_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the proper words, written with a capital often enough where they stand inside a sentence, counted over all
+    texts, and of those among them that are well known."""
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
@@ -442,16 +430,9 @@ def proper_words(texts: DataFrame) -> np.ndarray:
 
     stats = texts.select("text").mapInPandas(count, "word string, n bigint, upper bigint, every bigint").groupBy("word")
     stats = stats.agg(F.sum("n").alias("n"), F.sum("upper").alias("u"), F.sum("every").alias("e"))
-    hits = stats.filter((F.col("u") >= 3) & (F.col("u") >= PROPER_SHARE * F.col("n")) & (F.col("n") >= INNER_SHARE * F.col("e")) & (F.length("word") > 1))
-
-    def cells(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"cell": [proper_cell(w) for w in b["word"]]})
-
-    got = hits.select("word").mapInPandas(cells, "cell int").distinct().toPandas()["cell"].to_numpy()  # at most CELLS
-    bitmap = np.zeros(CELLS, dtype=bool)
-    bitmap[got] = True
-    return np.packbits(bitmap)
+    hits = stats.filter((F.col("u") >= 1) & (F.col("u") >= PROPER_SHARE * F.col("n")) & (F.col("n") >= INNER_SHARE * F.col("e")) & (F.length("word") > 1))
+    hits = cut(hits.select(F.xxhash64("word").alias("key"), (F.col("u") >= KNOWN).alias("known")), "pii")
+    return key_bits(hits.select("key"), 48), key_bits(hits.filter("known").select("key"), 48)
 
 
 def _cased(seen: Counter[str], every: Counter[str]) -> pd.DataFrame:
@@ -474,21 +455,23 @@ def _cased(seen: Counter[str], every: Counter[str]) -> pd.DataFrame:
     return pd.DataFrame([(w, n[w], up[w], k) for w, k in full.items()], columns=["word", "n", "upper", "every"])
 
 
-def brand_names(items: DataFrame, name: str = "name", bound: int = 200_000) -> frozenset[str]:
-    """Leading word pairs (and titled pairs) that at least five item names share, lower case: brands, not persons.
+def brand_names(items: DataFrame, name: str = "name") -> np.ndarray:
+    """Bits of the leading word pairs (and titled pairs) that at least five item names share, lower case: brands, not persons.
 
-    The list is broadcast only up to ``bound`` entries, the most frequent first; beyond it no catalogue is known.
+    All such pairs are in it, however many there are; one name in 5,000 passes for a brand wrongly up to 5 million brands,
+    more beyond, since the bits have a bound.
     """
     words = F.split(F.trim(F.regexp_replace(F.lower(F.col(name)), r"[^\p{L}\p{N}'&\-]+", " ")), " ")
     rows = items.filter(F.col(name).isNotNull()).select(words.alias("w")).filter(F.size("w") >= 3).select(F.concat_ws(" ", F.slice("w", 1, 2)).alias("p"))
-    return frozenset(r["p"] for r in rows.groupBy("p").agg(F.count("*").alias("n")).filter("n >= 5").orderBy(F.desc("n"), "p").limit(bound).collect())
+    return key_bits(rows.groupBy("p").agg(F.count("*").alias("n")).filter("n >= 5").select(F.xxhash64("p").alias("key")), 48)
 
 
-def find_personal(texts: DataFrame, brands: frozenset[str], redacted: bool = False) -> DataFrame:
+def find_personal(texts: DataFrame, brands: np.ndarray, redacted: bool = False) -> DataFrame:
     """Personal values in (tbl, row_key, text): rows (tbl, row_key, kind, start, length), or with ``redacted`` (tbl, row_key, text).
 
-    Proper words are counted over all texts into a bitmap of fixed size; then each text's candidate segments are scored
-    by whole-span features and one dynamic program chooses boundaries and types together.
+    Proper words are counted over all texts, one place with a capital makes a word a candidate, and shared as bits of
+    bounded size; then each text's candidate segments are scored by whole-span features, among them how well known the
+    words are, and one dynamic program chooses boundaries and types together.
 
     Defined results: null and empty texts hold nothing (redacted: they are kept as they are); placeholders are no
     values; a value is replaced by its kind's placeholder and everything else stays byte for byte; repeated rows are
@@ -496,22 +479,11 @@ def find_personal(texts: DataFrame, brands: frozenset[str], redacted: bool = Fal
     """
     spark = texts.sparkSession
     full = spread(texts.select("tbl", "row_key", "text"), "row_key")
-    shared = spark.sparkContext.broadcast((trained_weights(), proper_words(full.filter("text is not null")), brands))
+    shared = spark.sparkContext.broadcast((trained_weights(), *proper_words(full.filter("text is not null")), brands))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, packed, known = shared.value
-        bits = np.unpackbits(packed).astype(bool)
-        cache: dict[str, bool] = {}
-
-        def proper(word: str) -> bool:
-            got = cache.get(word)
-            if got is None:
-                if len(cache) > 500_000:
-                    cache.clear()
-                got = cache[word] = bool(bits[proper_cell(word)])
-            return got
-
-        field = Field(weights, proper, known)
+        weights, *bits = shared.value
+        field = Field(weights, *map(Words, bits))
         for b in batches:
             if redacted:
                 yield b.assign(text=[redact(t, field.decode(t)) if t else t for t in b["text"]])
