@@ -56,6 +56,7 @@ class Model:
         rng = np.random.default_rng(seed)
         self.bias, self.w, self.v = -3.0, np.zeros(WIDTH, dtype=np.float32), rng.normal(0, 0.03, (WIDTH, RANK)).astype(np.float32)
         self.known: dict[str, int] = {}
+        self.scored: dict[str, float] = {}
 
     def ids(self, sentence: str) -> np.ndarray:
         if len(self.known) > 400_000:
@@ -95,11 +96,10 @@ class Model:
                 e = np.repeat(err, n)
                 v = self.v[flat]
                 s = np.repeat(np.add.reduceat(v, starts, axis=0), n, axis=0)
-                ids, back = np.unique(flat, return_inverse=True)
-                dw = np.bincount(back, weights=e * scale, minlength=len(ids)).astype(np.float32) + decay * self.w[ids]
-                dv = np.zeros((len(ids), RANK), dtype=np.float32)
-                np.add.at(dv, back, (e * scale**2)[:, None] * (s - v))
-                dv += decay * self.v[ids]
+                by = np.argsort(flat, kind="stable")
+                ids, first = np.unique(flat[by], return_index=True)
+                dw = np.add.reduceat((e * scale)[by], first) + decay * self.w[ids]
+                dv = np.add.reduceat(((e * scale**2)[:, None] * (s - v))[by], first, axis=0) + decay * self.v[ids]
                 gw[ids] += dw**2
                 gv[ids] += dv**2
                 gb += float(err.sum()) ** 2
@@ -108,20 +108,23 @@ class Model:
                 self.bias -= rate * float(err.sum()) / gb**0.5
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Score of each text: the highest probability of its sentences, 0 for a text without words."""
+        """Score of each text: the highest probability of its sentences, 0 for a text without words.
+
+        Scores of sentences are remembered (a bounded table), so what many documents quote is scored once.
+        """
         out = np.zeros(len(texts))
-        flat, starts, owner, at = [], [], [], 0
-        for i, t in enumerate(texts):
-            for s in sentences(t):
-                ids = self.ids(s)
-                if len(ids):
-                    flat.append(ids)
-                    starts.append(at)
-                    owner.append(i)
-                    at += len(ids)
-        if flat:
-            p = 1 / (1 + np.exp(-np.clip(self.raw(np.concatenate(flat), np.array(starts)), -30, 30)))
-            np.maximum.at(out, np.array(owner), p)
+        if len(self.scored) > 500_000:
+            self.scored.clear()
+        parts = [sentences(t) for t in texts]
+        fresh = list(dict.fromkeys(s for p in parts for s in p if s not in self.scored))
+        rows = [(s, ids) for s in fresh if len(ids := self.ids(s))]
+        self.scored.update(dict.fromkeys(fresh, 0.0))
+        if rows:
+            sizes = np.array([len(ids) for _, ids in rows])
+            margin = self.raw(np.concatenate([ids for _, ids in rows]), np.cumsum(sizes) - sizes)
+            self.scored.update(zip((s for s, _ in rows), (1 / (1 + np.exp(-np.clip(margin, -30, 30)))).tolist()))
+        for i, p in enumerate(parts):
+            out[i] = max(map(self.scored.__getitem__, p), default=0.0)
         return out
 
 
@@ -188,7 +191,7 @@ def fit_abuse(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, score) of every document; null, empty and wordless texts score 0. The model has a fixed size."""
-    model.known = {}
+    model.known, model.scored = {}, {}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

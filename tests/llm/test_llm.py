@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlpit.llm import abuse, cutoff, pii
+from marlpit.llm import abuse, cutoff, leak, pii
 from marlpit.llm.bpe import Encoder, encode_table, load_ranks
 from marlpit.llm.groups import connected_components, draft_groups, proportional_splits
 from marlpit.llm.leak import leak_counts, leaks
@@ -67,6 +67,10 @@ def test_sample_is_append_only_and_exact(spark):
         if x["batch"] is not None:
             got[str(x["batch"])[:7]] = got.get(str(x["batch"])[:7], 0) + 1
     assert got == {m: -(-n // 10) for m, n in sizes.items() if m < "2024-12"}
+    assert "late" not in {x["user_id"] for x in whole}
+    for day in (1, 28):  # a user whose arrival becomes known later: nobody who was selected is dropped
+        later = spark.createDataFrame(rows[:-1] + [("late", f"2024-12-{day:02d} 00:00:00"), ("next", "2025-02-01 00:00:00")], "user_id string, t string").withColumn("t", F.col("t").cast("timestamp"))
+        assert {x["user_id"] for x in whole} <= {x["user_id"] for x in frozen_batch_sample(later, "user_id", "t", 0.1).collect()}
     for until in ("2024-03-10", "2024-07-01", "2024-11-20"):
         part = frozen_batch_sample(df.filter(F.col("t") < until).repartition(7), "user_id", "t", 0.1).collect()
         assert {x["user_id"] for x in part} <= {x["user_id"] for x in whole}
@@ -127,6 +131,11 @@ def test_proportional_splits(spark):
     share = {s: sum(x["split"] == s for x in got) / 6900 for s in ("train", "validation", "test")}
     assert abs(share["train"] - 0.8) < 0.01 and abs(share["validation"] - 0.1) < 0.01 and abs(share["test"] - 0.1) < 0.01
     assert proportional_splits(spark.createDataFrame([], "state_id string, group_id string")).count() == 0
+    rows = [(f"k{i}", f"g{i // 2}") for i in range(4000)] + [(f"b{i}-{j}", f"big{i}") for i in range(30) for j in range(60)]
+    got = proportional_splits(spark.createDataFrame(rows, "state_id string, group_id string")).collect()
+    assert len({x["split"] for x in got if x["group_id"].startswith("big")}) == 3  # groups of one percent fall in every split
+    share = {s: sum(x["split"] == s for x in got) / len(rows) for s in ("train", "validation", "test")}
+    assert abs(share["train"] - 0.8) < 0.01 and abs(share["validation"] - 0.1) < 0.01 and abs(share["test"] - 0.1) < 0.01
 
 
 # ---- tokenizer
@@ -171,15 +180,40 @@ def test_leaks(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("k", F.lit(1))
     it = spark.createDataFrame(items, "test_id bigint, split string, text string")
     want = {(1, 0), (2, 1), (3, 2), (1, 4), (9, 5)}
-    for block in (4000, 3):
-        found = leaks(df, "doc_id", "text", it, "test_id", "text", block)
-        assert {tuple(x) for x in found.collect()} == want
+    found = leaks(df, "doc_id", "text", it, "test_id", "text")
+    assert {tuple(x) for x in found.collect()} == want
     counts = {x["test_id"]: x["n_docs"] for x in leak_counts(found, it, "test_id", "split").collect()}
     assert counts[0] == 1 and counts[3] == 0 and len(counts) == 14
     assert leaks(df.limit(0), "doc_id", "text", it, "test_id", "text").count() == 0
     assert leaks(df, "doc_id", "text", it.limit(0), "test_id", "text").count() == 0
 
 
+def test_leaks_of_shortest_passages(spark):
+    """Passages of 20 words, two of them altered, at every offset of an item and of a long document; and a very long item."""
+    r = random.Random(14)
+    item = [_sentence(r, 1)[:-1].lower() + f"x{i}" for i in range(70)]
+    docs = []
+    for o in range(51):
+        part = item[o : o + 20]
+        part[6] = part[13] = "zzz"
+        docs.append((o, _sentence(r, 20 + o) + " " + " ".join(part) + " " + _sentence(r, 200)))
+    docs += [(100 + o, " ".join(item[o : o + 19]) + " " + _sentence(r, 30)) for o in range(5)]
+    long = " ".join(_sentence(r, 9) for _ in range(4000))
+    docs.append((200, long[5000:6000]))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = leaks(df, "doc_id", "text", spark.createDataFrame([(1, " ".join(item)), (2, long)], "test_id bigint, text string"), "test_id", "text")
+    assert {tuple(x) for x in found.collect()} == {(o, 1) for o in range(51)} | {(200, 2)}
+
+
+def test_run_of_kept_words():
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        same = r.random(r.integers(5, 60)) < 0.85
+        n = len(same)
+        want = any(same[i] and same[j - 1] and (~same[i:j]).sum() * leak.ALTERED <= j - i for i in range(n) for j in range(i + leak.RUN, n + 1))
+        assert leak._run(same) == want
+
+
 # ---- overlaps of splits
 
 
@@ -303,10 +337,10 @@ def test_cut_short_rest_of_a_long_text(spark):
 def test_running_minima_of_openings():
     r = np.random.default_rng(3)
     w = r.integers(1, 1 << 60, 90, dtype=np.uint64)
-    sizes = cutoff.windows(90)
-    together = cutoff.Openings().many([(w, sizes), (w[5:], cutoff.windows(30))])
-    alone = [cutoff.Openings().keys(w[:s], [s])[0] for s in sizes] + [cutoff.Openings().keys(w[5 : 5 + s], [s])[0] for s in cutoff.windows(30)]
-    assert (together == np.stack(alone)).all()
+    sizes = [np.array(cutoff.windows(n)) for n in (90, 30)]
+    together = cutoff.Openings().keys(w, np.array([0, 5]), sizes)
+    alone = [cutoff.Openings().keys(w[o : o + n], np.array([0]), [np.array([n])])[0] for o, s in zip((0, 5), sizes) for n in s]
+    assert (together == np.stack(alone)).all() and all(cutoff.opening(n) == max(cutoff.windows(n), default=0) for n in range(400))
 
 
 def test_aligned():
@@ -320,7 +354,7 @@ def test_aligned():
 
 def test_field_finds_held_out_values():
     held = pii.examples(seed=99, n=300)
-    field = pii.Field(pii.trained_weights(), lambda w: w in held[0][2], frozenset(held[0][3]))
+    field = pii.Field(pii.trained_weights(), held[0][2], held[0][2], frozenset(held[0][3]))
     right = found = gold = 0
     for text, spans, _, _ in held:
         got = {(a, b, k) for a, b, k in field.decode(text)}
@@ -333,7 +367,7 @@ def test_field_finds_held_out_values():
 
 
 def test_candidates_of_rare_spellings():
-    field = pii.Field({}, lambda w: w in ("smith", "john"))
+    field = pii.Field({}, {"smith", "john"})
     for kind, value in [
         ("id_number", "QQ123456C"), ("id_number", "QQ-12-34-56-C"), ("id_number", "AB123456"), ("person_name", "J.Smith"), ("person_name", "Dr.Smith"),
         ("email", "jo [ at ] mail.example"), ("email", "jo ( at ) mail.example"), ("phone", "five-five-five-one-two-three-four"),
@@ -347,15 +381,16 @@ def test_find_personal(spark):
     names = [(f"n{i}", f"We met Alda Fontayne and {w} there.") for i, w in enumerate(["Corwin Drummock", "Petra Ironmoor"] * 6)]
     rows = names + [
         ("e", "Write to jo.ann@mail.example today"), ("o", "jo dot ann at mail dot example"), ("p", "Call (418) 555-0105 after six."), ("i", "SSN 977-29-0741"),
-        ("a", "I live at 12 Rosewood Lane, ok"), ("s", "regards, petra ironmoor"), ("z1", None), ("z2", ""), ("z3", "order 77-10-2931 and [EMAIL] @shopname"), ("z4", "The Hugo Larkin lamp"), ("z4", "The Hugo Larkin lamp"),
+        ("a", "I live at 12 Rosewood Lane, ok"), ("s", "regards, petra ironmoor"), ("once", "It was signed by Zbigniew Kowalczyk on Monday."), ("z1", None), ("z2", ""), ("z3", "order 77-10-2931 and [EMAIL] @shopname"), ("z4", "The Hugo Larkin lamp"), ("z4", "The Hugo Larkin lamp"),
     ]
     df = spark.createDataFrame(rows, "row_key string, text string").withColumn("tbl", F.lit("t")).withColumn("kind", F.lit("x"))
-    found = {(x["row_key"], x["kind"]) for x in pii.find_personal(df, frozenset({"hugo larkin"})).collect()}
-    assert found == {(k, "person_name") for k, _ in names} | {("e", "email"), ("o", "email"), ("p", "phone"), ("i", "id_number"), ("a", "street_address"), ("s", "person_name")}
-    text = {x["row_key"]: x["text"] for x in pii.find_personal(df, frozenset({"hugo larkin"}), redacted=True).collect()}
+    brands = pii.brand_names(spark.createDataFrame([("Hugo Larkin lamp",), ("hugo  larkin kettle 2",)] * 3 + [("Alda Fontayne chair",), (None,), ("",)], "name string"))
+    found = {(x["row_key"], x["kind"]) for x in pii.find_personal(df, brands).collect()}
+    assert found == {(k, "person_name") for k, _ in names} | {("e", "email"), ("o", "email"), ("p", "phone"), ("i", "id_number"), ("a", "street_address"), ("s", "person_name"), ("once", "person_name")}
+    text = {x["row_key"]: x["text"] for x in pii.find_personal(df, brands, redacted=True).collect()}
     assert text["e"] == "Write to [EMAIL] today" and text["p"] == "Call [PHONE] after six." and text["a"] == "I live at [STREET_ADDRESS], ok"
     assert text["z1"] is None and text["z2"] == "" and text["z3"] == rows[-3][1] and text["s"] == "regards, [PERSON_NAME]"
-    assert pii.find_personal(df.limit(0), frozenset()).count() == 0
+    assert pii.find_personal(df.limit(0), brands).count() == 0
 
 
 # ---- abuse
