@@ -31,7 +31,8 @@ _DOTS = re.compile(r"(?:\.{2,}|…)\s*$")
 _ENDED = re.compile(r"[.!?。！？।؟:;)\]}>\"'”’»*~^_|/]$")
 _STRIP = ".,;:!?\"'()[]{}<>*_~`“”‘’«»¡¿…-–—"
 _NOTHING = np.empty(0, dtype=np.uint64)
-SHIFT = 2  # words around an opening's end whose heads are kept: where the alignment of a short text can end
+SHIFT = 2  # words around an opening's end with whose heads a key is combined: where the alignment of a short text can end
+ANY_HEAD = 0
 
 
 def head_code(word: str) -> int:
@@ -39,6 +40,12 @@ def head_code(word: str) -> int:
     return (zlib.crc32(word[:2].encode("utf-8", "surrogatepass")) & 0xFFE) + 1
 
 
+def headed(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Band keys combined with the head of a word."""
+    with np.errstate(over="ignore"):
+        return mix(keys ^ mix(heads + np.uint64(0x9E3779B97F4A7C15)))
+
+
 class Tokens(dict):
     """Whitespace tokens to positions in the tables of word hashes, sentence ends and word heads; emptied between batches when full."""
 
@@ -185,7 +192,7 @@ _BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 def _maybe_suspicious(text: Column) -> Column:
     """A superset of :func:`suspicious` inside the engine, so that most texts are not judged in Python."""
-    end = F.rtrim(text, F.lit(_BLANK))
+    end = F.rtrim(F.right(text, F.lit(100)), F.lit(_BLANK))
     return ~F.right(end, F.lit(1)).rlike(r"[.!?。！？।؟:;)\]}>\"'”’»*~^_|/]") | F.right(end, F.lit(48)).rlike(r"(?i)\.\.|…|ated\]|ated\)|more\)|\[|[\\%<�]|&")
 
 
@@ -220,8 +227,8 @@ class Asked:
         self.tokens, self.openings = Tokens(), Openings()
 
     def __call__(self, forms: list[int], texts: list[str]) -> list[tuple]:
-        """(form, marked, alphabetic last word, short capital word, context keys, band keys, words, head of the last word) of those that may be cut."""
-        out, wide, at = [], [], []
+        """(form, marked, alphabetic last word, short capital word, context keys, band keys, those with the head of the last word, words) of those that may be cut."""
+        out, wide, at, heads = [], [], [], []
         self.tokens.trim()
         for form, text in zip(forms, texts):
             if not suspicious(text):
@@ -229,7 +236,7 @@ class Asked:
             body = text.rstrip()
             left = LEFTOVER.search(body[-12:])
             if MARKS.search(body[-48:]) or left and left.group() not in ("&", "%", "<"):
-                out.append((form, True, False, False, [], [], 0, 0))
+                out.append((form, True, False, False, [], [], [], 0))
                 continue
             core = _DOTS.sub("", body).rstrip()
             if not core or _ENDED.search(core) or not core[-1].isalnum():
@@ -242,16 +249,19 @@ class Asked:
             keys = closing_keys(tail, xxhash.xxh64_intdigest(lower[-1].strip(_STRIP)))
             size = opening(len(info) - 1)
             if size:
+                word = lower[-1].strip(_STRIP)
                 wide.append(info[:size])
                 at.append(len(out))
-            word = lower[-1].strip(_STRIP)
-            head = head_code(word) if len(word) > 1 and size and len(info) - 1 - size + len(info) // 10 <= SHIFT else 0
-            out.append((form, False, lower[-1].isalpha(), last.isupper() and len(last) < 4, list(map(_signed, keys)), [], len(info), head))
+                heads.append(head_code(word) if len(word) > 1 and len(info) - 1 - size + len(info) // 10 <= SHIFT else ANY_HEAD)
+            out.append((form, False, lower[-1].isalpha(), last.isupper() and len(last) < 4, list(map(_signed, keys)), [], [], len(info)))
         sizes = [np.array([len(x)]) for x in wide]
         starts = np.cumsum([0, *map(len, wide)])[:-1]
         flat = np.array(self.tokens.hashes, dtype=np.uint64)[[n for x in wide for n in x]] if wide else _NOTHING
-        for i, bands in zip(at, self.openings.keys(flat, starts, sizes).view(np.int64).tolist()):
-            out[i][5].extend(bands)
+        plain = self.openings.keys(flat, starts, sizes)
+        asked = headed(plain, np.array(heads, dtype=np.uint64).reshape(-1, 1))
+        for i, p, k in zip(at, plain.view(np.int64).tolist(), asked.view(np.int64).tolist()):
+            out[i][5].extend(p)
+            out[i][6].extend(k)
         return out
 
 
@@ -276,7 +286,7 @@ class Scan:
         self.load = 0
 
     def add(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """Counts the texts; returns (text, key, words, heads of the words around the opening's end, class) of the asked band keys.
+        """Counts the texts; returns (text, key, words, class) of the asked band keys, combined with the heads around the opening's end.
 
         Texts of a class have the same words as far as they decide about the copies that ask for the key; one stands for all.
         """
@@ -363,19 +373,23 @@ class Scan:
         key, size = keys.ravel()[hit], np.repeat(np.concatenate(sizes or [starts[:0]]), BANDS)[hit]
         owner = np.repeat(np.repeat(wide, [len(s) for s in sizes]), BANDS)[hit]
         start, n = starts[owner], lengths[owner]
-        end = start + size
-        packed = np.zeros(len(owner), dtype=np.int64)
+        codes = np.zeros((len(owner), 2 * SHIFT + 2), dtype=np.uint64)  # the last column: any head
         for k in range(-SHIFT, SHIFT + 1):
-            inside = end + k < start + n
-            packed |= np.where(inside, heads[np.where(inside, end + k, 0)] if len(heads) else 0, 0) << (12 * (k + SHIFT))
+            at = start + size + k
+            inside = size + k < n
+            codes[inside, k + SHIFT] = heads[at[inside]]
         with np.errstate(over="ignore"):
             place = (np.arange(len(raw)) - np.repeat(starts, lengths)).astype(np.uint64)
-            upto = np.concatenate([_NOTHING, [np.uint64(0)], np.cumsum(mix(raw ^ mix(place + np.uint64(1))))])
+            upto = np.concatenate([[np.uint64(0)], np.cumsum(mix(raw ^ mix(place + np.uint64(1))))])
             far = {s: decisive(s) for s in np.unique(size).tolist()}
             read = np.minimum(np.array([far[s] for s in size.tolist()], dtype=np.int64), n)
-            cls = mix(upto[start + read] - upto[start] + key)
+            word_hash = upto[start + read] - upto[start]
+            key = headed(key[:, None], codes)
+            row, col = np.nonzero(self.bits.has(key.ravel()).reshape(key.shape))
+            key = key[row, col]
+            cls = mix(word_hash[row] + key)
         _, one = np.unique(cls, return_index=True)
-        return owner[one], key[one], n[one], packed[one], cls[one]
+        return owner[row[one]], key[one], n[row[one]], cls[one]
 
 
 def _plain(text: str) -> list[str]:
@@ -417,6 +431,8 @@ def _aligned(x: list[str], y: list[str]) -> int | None:
     if len(y) > n and y[n].startswith(last) and (x[:n] == y[:n] or sum(p != q for p, q in zip(x[:n], y)) <= wide):
         return n
     far = wide + 1
+    if len(set(x[:n]).difference(y[: n + wide])) > wide:
+        return None
     row = {j: j for j in range(min(wide, len(y)) + 1)}
     for i in range(1, n + 1):
         word, new = x[i - 1], {}
@@ -453,13 +469,13 @@ def _unterminated() -> Column:
     )
 
 
-_ODD = "form bigint, marked boolean, alpha boolean, short boolean, ctx array<bigint>, bands array<bigint>, n int, head bigint"
+_ODD = "form bigint, marked boolean, alpha boolean, short boolean, ctx array<bigint>, plain array<bigint>, bands array<bigint>, n int"
 
 
 def _asked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ask = Asked()
     for b in batches:
-        yield pd.DataFrame(ask(b["form"].tolist(), b["text"].tolist()), columns=["form", "marked", "alpha", "short", "ctx", "bands", "n", "head"])
+        yield pd.DataFrame(ask(b["form"].tolist(), b["text"].tolist()), columns=["form", "marked", "alpha", "short", "ctx", "plain", "bands", "n"])
 
 
 def cut_rows(rows: DataFrame) -> DataFrame:
@@ -480,15 +496,15 @@ def cut_rows(rows: DataFrame) -> DataFrame:
     an emoji after whole sentences is complete; repeated rows are judged alike; an empty table gives no rows; texts are
     read whole, whatever their length.
     """
-    base = rows.select("tbl", "row_key", "source", "text", F.xxhash64("text").alias("form")).filter(F.length(F.rtrim("text", F.lit(_BLANK))) > 0)
+    base = rows.select("tbl", "row_key", "source", "text", F.xxhash64("text").alias("form")).filter(r"left(text, 40) rlike '(?U)\\S' or text rlike '(?U)\\S'")
     odd = cut(base.filter(_maybe_suspicious(F.col("text"))).select("form", "text").mapInPandas(_asked, _ODD).dropDuplicates(["form"]), "cutoff")
-    bits = rows.sparkSession.sparkContext.broadcast(key_bits(odd.select(F.explode(F.concat("ctx", "bands")).alias("key"))))
+    bits = rows.sparkSession.sparkContext.broadcast(key_bits(odd.select(F.explode(F.concat("ctx", "plain", "bands")).alias("key"))))
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = Scan(KeyBits(bits.value))
         for b in batches:
-            owner, keys, n, heads, cls = one.add(b["text"].tolist())
-            yield pd.DataFrame({"key": keys.view(np.int64), "form": b["form"].to_numpy()[owner], "s": n, "c": np.int64(-1), "b": heads, "cls": cls.view(np.int64)})
+            owner, keys, n, cls = one.add(b["text"].tolist())
+            yield pd.DataFrame({"key": keys.view(np.int64), "form": b["form"].to_numpy()[owner], "s": n, "c": np.int64(-1), "b": np.int64(0), "cls": cls.view(np.int64)})
             if one.full():
                 yield one.counted()
         yield one.counted()
@@ -498,7 +514,7 @@ def cut_rows(rows: DataFrame) -> DataFrame:
     each = odd.filter("not marked").select("form", "alpha", "short", F.posexplode("ctx").alias("i", "key")).join(counts, "key", "left")
     wide = [F.coalesce(F.max(F.when(F.col("i") == i - 1, F.col(x))), F.lit(0)).alias(f"{x}{i}") for i in range(1, 6) for x in "scb"]
     scored = each.groupBy("form").agg(F.first("alpha").alias("alpha"), F.first("short").alias("short"), *wide).select("form", _unterminated().alias("open"))
-    classes = seen.filter("c = -1").groupBy("key", "cls").agg(F.min("form").alias("f2"), F.max("s").alias("n2"), F.max("b").alias("heads"))
+    classes = seen.filter("c = -1").groupBy("key", "cls").agg(F.min("form").alias("f2"), F.max("s").alias("n2"))
     copies = _copies(odd, classes, base)
     verdict = scored.join(copies, "form", "left").select("form", F.coalesce("early", "open").alias("cut")).unionByName(odd.filter("marked").select("form", F.lit(True).alias("cut")))
     return base.drop("text").join(verdict, "form", "left").select("tbl", "row_key", "source", F.coalesce("cut", F.lit(False)).alias("cut"))
@@ -512,9 +528,8 @@ def _copies(odd: DataFrame, partners: DataFrame, base: DataFrame) -> DataFrame:
     opens a third of all texts gives as many pairs as it has different continuations; what is left of a hot bucket is a
     skewed key, which the adaptive join splits.
     """
-    ask = odd.select("form", "n", "head", F.explode("bands").alias("key"))
-    begins = " or ".join(f"shiftright(heads, {12 * k}) & 4095 = head" for k in range(2 * SHIFT + 1))
-    near = ask.join(partners, "key").filter(f"f2 <> form and n2 >= n - n div 10 and (head = 0 or {begins})")
+    ask = odd.select("form", "n", F.explode("bands").alias("key"))
+    near = ask.join(partners, "key").filter("f2 <> form and n2 >= n - n div 10")
     pairs = cut(near.select("form", "f2").distinct(), "cutoff")
     asked = pairs.select("form").unionByName(pairs.select(F.col("f2").alias("form"))).distinct()
     text = cut(base.select("form", "text").join(asked, "form", "left_semi").dropDuplicates(["form"]), "cutoff")
