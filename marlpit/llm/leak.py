@@ -41,10 +41,21 @@ def own_words(items: DataFrame, key: str, text: str) -> DataFrame:
     return each.join(owners, "w", "left_semi").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("x")).select("k", F.flatten("x.w").alias("words"))
 
 
+HITS = 4  # bands in which an item window and a document part meet at least; unrelated texts of one style meet in fewer
 Q = RUN - GRAM + 1  # shingles of a query window
 KEPT = max(1, SHARED)
-#: One-row bands of a document partition: as many as bring the chance to miss the containment KEPT / Q below MISS.
-BANDS = tuple(math.ceil(math.log(MISS) / math.log(1 - KEPT / (Q + max(s - GRAM + 1, Q) - KEPT))) for s in SIZES)
+
+
+def bands_for(similarity: float) -> int:
+    """One-row bands that leave at most the chance ``MISS`` of fewer than ``HITS`` meetings at this Jaccard similarity."""
+    n = HITS
+    while sum(math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k) for k in range(HITS)) > MISS:
+        n += 1
+    return n
+
+
+#: Bands of each document partition, for the containment KEPT / Q in a part of the partition's upper size.
+BANDS = tuple(bands_for(KEPT / (Q + max(s - GRAM + 1, Q) - KEPT)) for s in SIZES)
 
 
 def _band_keys(minima: np.ndarray) -> np.ndarray:
@@ -126,21 +137,25 @@ class Item:
 
     def __init__(self, hashed: np.ndarray) -> None:
         self.hashed = hashed
-        self.grams = ngrams(hashed, GRAM)
+        grams = ngrams(hashed, GRAM)
+        self.grams = np.unique(grams)
         self.where: dict[int, list[int]] = defaultdict(list)
-        for p, g in enumerate(self.grams.tolist()):
+        for p, g in enumerate(grams.tolist()):
             self.where[g].append(p)
 
-    def held_by(self, doc: np.ndarray) -> bool:
-        """Whether the document has ``KEPT`` shingles of the item and, along a diagonal, a long enough run of its words."""
+    def held_by(self, doc: np.ndarray, grams: np.ndarray, known: np.ndarray) -> bool:
+        """Whether the document has ``KEPT`` shingles of the item and, along a diagonal, a long enough run of its words.
+
+        ``grams`` are the document's shingles in order, ``known`` the different ones sorted.
+        """
+        at = np.searchsorted(known, self.grams)
+        at[at == len(known)] = 0
+        if np.count_nonzero(known[at] == self.grams) < KEPT:
+            return False
         diagonals: Counter[int] = Counter()
-        shared = set()
-        for k, g in enumerate(ngrams(doc, GRAM).tolist()):
+        for k, g in enumerate(grams.tolist()):
             for p in self.where.get(g, ()):
                 diagonals[k - p] += 1
-                shared.add(g)
-        if len(shared) < KEPT:
-            return False
         item, n = self.hashed, len(self.hashed)
         for d in diagonals:
             same = np.zeros(n, dtype=bool)
@@ -169,7 +184,7 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     Item windows become min-hash band keys, partitioned by key. One scan of the documents gives the band keys of their
     parts, filtered by the bits of the item side (bounded, see :mod:`marlpit.functions.bitmap`), and only keys that an
     item may have are shuffled; so the corpus is read once, however many items there are, and nothing is collected. A
-    join on the keys gives candidate pairs, which the exact shingle count and alignment verify. A key that very many
+    join on the keys gives candidate pairs, those that meet in ``HITS`` bands, which the exact shingle count and alignment verify. A key that very many
     documents share has few rows on the item side; the adaptive join splits it.
 
     Defined results: letter case, punctuation, spacing, markup entities, character forms, look-alikes and invisible
@@ -204,23 +219,29 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
 
     rows = docs.select(F.col(doc_key).alias("k"), F.col(doc_text).alias("t")).filter("k is not null and t is not null")
     hits = spread(rows, "k").mapInPandas(scan, f"k {doc_kind}, key bigint")
-    pairs = cut(hits.join(asked, "key").select("k", "item").distinct(), "leak")
+    pairs = cut(hits.join(asked, "key").groupBy("k", "item").agg(F.count("*").alias("n")).filter(F.col("n") >= HITS).select("k", "item"), "leak")
     text = rows.join(pairs.select("k").distinct(), "k", "left_semi").distinct()
 
     def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
-        known: dict[object, Item] = {}
+        items: dict[object, Item] = {}
+        docs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for b in batches:
-            out, last, doc = [], None, np.empty(0, dtype=np.uint64)
+            out = []
             for k, t, i, w in zip(b["k"], b["t"], b["item"], b["words"]):
-                if len(known) > 5000:
-                    known.clear()
-                if t is not last:
-                    last, doc = t, hashed(words(t))
-                item = known.get(i)
+                if len(items) > 5000:
+                    items.clear()
+                if len(docs) > 1000:
+                    docs.clear()
+                doc = docs.get(t)
+                if doc is None:
+                    flat = hashed(words(t))
+                    grams = ngrams(flat, GRAM)
+                    doc = docs[t] = flat, grams, np.unique(grams)
+                item = items.get(i)
                 if item is None:
-                    item = known[i] = Item(hashed(list(w)))
-                if item.held_by(doc):
+                    item = items[i] = Item(hashed(list(w)))
+                if item.held_by(*doc):
                     out.append((k, i))
             yield pd.DataFrame(out, columns=["doc_id", "test_id"])
 
