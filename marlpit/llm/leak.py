@@ -20,9 +20,11 @@ from marlpit.session import cut, spread
 RUN = 20  # successive words that make a leak
 ALTERED = 7  # at most one altered word in seven ("about one in eight")
 GRAM = 3  # an altered word in eight leaves too few longer shingles whole
-SIZES = (24, 48)  # upper word counts of the document partitions; longer documents are cut into overlapping parts
+PART = 48  # words of a document part; longer documents are cut into overlapping parts
+SIZES = (12, 18, 26, 46)  # upper shingle counts of the partitions of document parts
 OVERLAP = 20
 SHARED = RUN - GRAM + 1 - GRAM * (RUN // ALTERED + 1)  # shingles that a passage with the most altered words still shares
+FEW_WORDS = 1 << 22  # items of up to so many words together are checked from memory, larger sets by a join
 MISS = 1e-4  # chance that the search misses a shortest, most altered passage
 _LINES = re.compile(r"(?<=[.!?…])\s+|\n+")
 
@@ -44,6 +46,7 @@ def own_words(items: DataFrame, key: str, text: str) -> DataFrame:
 HITS = 4  # bands in which an item window and a document part meet at least; unrelated texts of one style meet in fewer
 Q = RUN - GRAM + 1  # shingles of a query window
 KEPT = max(1, SHARED)
+SPAN = Q + 2  # shingles of the shortest passage with two words put in
 
 
 def bands_for(similarity: float) -> int:
@@ -54,8 +57,8 @@ def bands_for(similarity: float) -> int:
     return n
 
 
-#: Bands of each document partition, for the containment KEPT / Q in a part of the partition's upper size.
-BANDS = tuple(bands_for(KEPT / (Q + max(s - GRAM + 1, Q) - KEPT)) for s in SIZES)
+#: Bands of each partition, for the containment KEPT / Q in a set of the partition's upper size.
+BANDS = tuple(bands_for(KEPT / (Q + s - KEPT)) for s in SIZES)
 
 
 def _band_keys(minima: np.ndarray) -> np.ndarray:
@@ -65,33 +68,36 @@ def _band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Band keys of every window of ``RUN`` successive own words of an item."""
+    """Band keys of every window of ``RUN`` successive own words of an item, by segment: the windows that begin in the same ``RUN`` words."""
 
     def __init__(self) -> None:
         self.hash, self.hasher = WordHash(), MinHasher(max(BANDS))
 
-    def __call__(self, own: list[str]) -> np.ndarray:
+    def __call__(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
         g = ngrams(self.hash(own), GRAM)
         at = np.arange(len(g) - Q + 1)
         sets = g[at[:, None] + np.arange(Q)].ravel()
-        return np.unique(_band_keys(self.hasher.minima(sets, at * Q)))
+        keys = _band_keys(self.hasher.minima(sets, at * Q))
+        pair = np.unique(np.stack([np.tile((at // RUN).astype(np.uint64), len(keys)), keys.ravel()]), axis=1)
+        return pair[0].astype(np.int32), pair[1]
 
 
 class Parts:
     """Band keys of document parts, for those parts that can hold a window of an asked item.
 
-    Documents are partitioned by size; in each partition the containment that a leaked window must reach is turned into
-    the Jaccard similarity it has with a part of the partition's upper size, and the number of bands follows from that and
-    ``MISS``. Small parts thus need few hash orders; long documents are cut into overlapping parts of the last size.
-    A part with fewer shingles of any item than a leak has is passed over; the bits can only let more through.
+    Of a part only the shingles that some item has stand in its set. The sets are partitioned by size; in each partition the
+    containment that a leaked window must reach is turned into the Jaccard similarity it has with a set of the partition's
+    upper size, and the number of bands follows from that, ``HITS`` and ``MISS``. Small sets thus need few hash orders. A
+    part where no stretch as long as a passage has as many shingles of any items as a leak is passed over. The bits that tell
+    the items' shingles can only let more through.
     """
 
     def __init__(self, grams: KeyBits, keys: KeyBits) -> None:
         self.grams, self.keys = grams, keys
         self.hash, self.hasher = WordHash(), MinHasher(max(BANDS))
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, key) of the parts' keys that some item window has."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word of the part, key) of the parts' keys that some item window has."""
         flat: list[str] = []
         lengths = []
         for t in texts:
@@ -99,37 +105,31 @@ class Parts:
             lengths.append(len(w))
             flat += w
         n = np.array(lengths, dtype=np.int64)
-        keep = n >= GRAM
-        if not keep.any():
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-        all_words = self.hash(flat)
-        g, at = line_ngrams(all_words, n[n > 0], GRAM)
-        hits = np.concatenate([[0], np.cumsum(self.grams.has(g))])
-        size = np.where(n == 0, 0, np.maximum(n - GRAM + 1, 1))
-        first = np.concatenate([[0], np.cumsum(size)])
-        enough = np.flatnonzero(keep & (hits[first[1:]] - hits[first[:-1]] >= KEPT))
-        out_text, out_key = [], []
-        for p, upper in enumerate(SIZES):
-            lower, last = SIZES[p - 1] if p else 0, p + 1 == len(SIZES)
-            sets, starts, owner, total = [], [], [], 0
-            for d in enough[(n[enough] > lower) & ((n[enough] <= upper) | last)].tolist():
-                for o in range(0, max(1, lengths[d] - OVERLAP), upper - OVERLAP):
-                    a, z = first[d] + o, first[d] + min(o + upper - GRAM + 1, size[d])
-                    if hits[z] - hits[a] >= KEPT:
-                        sets.append(g[a:z])
-                        starts.append(total)
-                        owner.append(d)
-                        total += z - a
-            if not sets:
-                continue
-            keys = _band_keys(self.hasher.minima(np.concatenate(sets), np.array(starts))[: BANDS[p]])
-            hit = self.keys.has(keys.ravel())
-            pair = np.unique(np.stack([np.tile(np.array(owner), len(keys))[hit].astype(np.uint64), keys.ravel()[hit]]), axis=1)
-            out_text.append(pair[0].astype(np.int64))
-            out_key.append(pair[1])
-        if not out_text:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-        return np.concatenate(out_text), np.concatenate(out_key)
+        out: list[np.ndarray] = []
+        if (n >= GRAM).any():
+            g, _ = line_ngrams(self.hash(flat), n[n > 0], GRAM)
+            hit = self.grams.has(g)
+            hits = np.concatenate([[0], np.cumsum(hit)])
+            dense = np.concatenate([[0], np.cumsum(hits[np.minimum(np.arange(len(g)) + SPAN, len(g))] - hits[:-1] >= KEPT)])
+            size = np.where(n == 0, 0, np.maximum(n - GRAM + 1, 1))
+            first = np.concatenate([[0], np.cumsum(size)])
+            sets: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in SIZES]
+            for d in np.flatnonzero((n >= GRAM) & (dense[first[1:]] > dense[first[:-1]])).tolist():
+                for o in range(0, max(1, lengths[d] - OVERLAP), PART - OVERLAP):
+                    a, z = first[d] + o, first[d] + min(o + PART - GRAM + 1, size[d])
+                    if dense[z] > dense[a]:
+                        s = np.unique(g[a:z][hit[a:z]])
+                        if len(s) >= KEPT:
+                            sets[int(np.searchsorted(SIZES, len(s)))].append((d, o, s))
+            for p, found in enumerate(sets):
+                if found:
+                    starts = np.cumsum([0, *(len(s) for _, _, s in found)])[:-1]
+                    keys = _band_keys(self.hasher.minima(np.concatenate([s for _, _, s in found]), starts)[: BANDS[p]])
+                    known = np.flatnonzero(self.keys.has(keys.ravel()))
+                    owner = np.array([(d, o) for d, o, _ in found], dtype=np.uint64)[known % len(found)]
+                    out.append(np.stack([owner[:, 0], owner[:, 1], keys.ravel()[known]]))
+        text, part, key = np.concatenate(out, axis=1) if out else np.empty((3, 0), dtype=np.uint64)
+        return text.astype(np.int64), part.astype(np.int32), key
 
 
 class Item:
@@ -143,15 +143,8 @@ class Item:
         for p, g in enumerate(grams.tolist()):
             self.where[g].append(p)
 
-    def held_by(self, doc: np.ndarray, grams: np.ndarray, known: np.ndarray) -> bool:
-        """Whether the document has ``KEPT`` shingles of the item and, along a diagonal, a long enough run of its words.
-
-        ``grams`` are the document's shingles in order, ``known`` the different ones sorted.
-        """
-        at = np.searchsorted(known, self.grams)
-        at[at == len(known)] = 0
-        if np.count_nonzero(known[at] == self.grams) < KEPT:
-            return False
+    def held_by(self, doc: np.ndarray, grams: np.ndarray) -> bool:
+        """Whether the document, with its shingles in order, has a long enough run of the item's words along a diagonal."""
         diagonals: Counter[int] = Counter()
         for k, g in enumerate(grams.tolist()):
             for p in self.where.get(g, ()):
@@ -169,6 +162,34 @@ class Item:
         return False
 
 
+class Items:
+    """Some items with the places of their shingles, for the exact check of documents."""
+
+    def __init__(self, items: list[tuple[object, list[str]]]) -> None:
+        self.hash = WordHash()
+        self.at = {k: n for n, (k, _) in enumerate(items)}
+        self.keys, self.items = [k for k, _ in items], [Item(self.hash(w)) for _, w in items]
+        grams = [i.grams for i in self.items]
+        flat = np.concatenate([*grams, np.empty(0, dtype=np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.gram, first = np.unique(flat[order], return_index=True)
+        self.first, self.owner = np.append(first, len(flat)), np.repeat(np.arange(len(items)), [len(g) for g in grams])[order]
+
+    def held_by(self, text: str, asked: Iterable) -> Iterator:
+        """Those of the asked items that the text holds."""
+        doc = self.hash(words(text))
+        grams = ngrams(doc, GRAM)
+        known = np.unique(grams)
+        at = np.minimum(np.searchsorted(self.gram, known), max(0, len(self.gram) - 1))
+        at = at[self.gram[at] == known] if len(self.gram) else at[:0]
+        n = self.first[at + 1] - self.first[at]
+        take = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[take], minlength=len(self.items))
+        for i in asked:
+            if shared[self.at[i]] >= KEPT and self.items[self.at[i]].held_by(doc, grams):
+                yield i
+
+
 def _run(same: np.ndarray) -> bool:
     """Whether some stretch of ``RUN`` words or more begins and ends with a kept word and has at most one altered in ``ALTERED``."""
     score = ALTERED * np.concatenate([[0], np.cumsum(same)]) - (ALTERED - 1) * np.arange(len(same) + 1)
@@ -184,7 +205,7 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     Item windows become min-hash band keys, partitioned by key. One scan of the documents gives the band keys of their
     parts, filtered by the bits of the item side (bounded, see :mod:`marlpit.functions.bitmap`), and only keys that an
     item may have are shuffled; so the corpus is read once, however many items there are, and nothing is collected. A
-    join on the keys gives candidate pairs, those that meet in ``HITS`` bands, which the exact shingle count and alignment verify. A key that very many
+    join on the keys gives candidate pairs, those of which a part and a segment meet in ``HITS`` bands, which the exact shingle count and alignment verify. A key that very many
     documents share has few rows on the item side; the adaptive join splits it.
 
     Defined results: letter case, punctuation, spacing, markup entities, character forms, look-alikes and invisible
@@ -198,14 +219,15 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
         one = Windows()
         for b in batches:
             for k, w in zip(b["k"], b["words"]):
-                yield pd.DataFrame({"key": one(list(w)).view(np.int64), "item": k})
+                segment, keys = one(list(w))
+                yield pd.DataFrame({"key": keys.view(np.int64), "item": k, "segment": segment})
 
     def grams(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
         for b in batches:
             yield pd.DataFrame({"key": np.concatenate([ngrams(hashed(list(w)), GRAM) for w in b["words"]] or [np.empty(0, dtype=np.uint64)]).view(np.int64)})
 
-    asked = cut(spread(own, "k").mapInPandas(window_keys, f"key bigint, item {item_kind}"), "leak")
+    asked = cut(spread(own, "k").mapInPandas(window_keys, f"key bigint, item {item_kind}, segment int"), "leak")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((key_bits(own.mapInPandas(grams, "key bigint")), key_bits(asked)))
 
@@ -214,39 +236,34 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
         for b in batches:
             for at in range(0, len(b), 2000):
                 part = b.iloc[at : at + 2000]
-                text, key = parts(part["t"].tolist())
-                yield pd.DataFrame({"k": part["k"].to_numpy()[text], "key": key.view(np.int64)})
+                text, first, key = parts(part["t"].tolist())
+                yield pd.DataFrame({"k": part["k"].to_numpy()[text], "part": first, "key": key.view(np.int64)})
 
     rows = docs.select(F.col(doc_key).alias("k"), F.col(doc_text).alias("t")).filter("k is not null and t is not null")
-    hits = spread(rows, "k").mapInPandas(scan, f"k {doc_kind}, key bigint")
-    pairs = cut(hits.join(asked, "key").groupBy("k", "item").agg(F.count("*").alias("n")).filter(F.col("n") >= HITS).select("k", "item"), "leak")
-    text = rows.join(pairs.select("k").distinct(), "k", "left_semi").distinct()
+    hits = spread(rows, "k").mapInPandas(scan, f"k {doc_kind}, part int, key bigint")
+    met = hits.join(asked, "key").groupBy("k", "part", "item", "segment").agg(F.count("*").alias("n")).filter(F.col("n") >= HITS)
+    pairs = cut(met.select("k", "item").distinct(), "leak")
+    result = f"doc_id {doc_kind}, test_id {item_kind}"
+    if (own.agg(F.sum(F.size("words"))).first()[0] or 0) <= FEW_WORDS:
+        few = spark.sparkContext.broadcast([(r["k"], list(r["words"])) for r in own.toLocalIterator()])  # at most FEW_WORDS words
+
+        def verify_all(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            items = Items(few.value)
+            for b in batches:
+                yield pd.DataFrame([(k, i) for k, t, asked in zip(b["k"], b["t"], b["items"]) for i in items.held_by(t, asked)], columns=["doc_id", "test_id"])
+
+        each = pairs.groupBy("k").agg(F.collect_list("item").alias("items"))  # no more than there are items
+        return rows.join(each, "k").mapInPandas(verify_all, result).distinct()
 
     def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHash()
-        items: dict[object, Item] = {}
-        docs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for b in batches:
-            out = []
-            for k, t, i, w in zip(b["k"], b["t"], b["item"], b["words"]):
-                if len(items) > 5000:
-                    items.clear()
-                if len(docs) > 1000:
-                    docs.clear()
-                doc = docs.get(t)
-                if doc is None:
-                    flat = hashed(words(t))
-                    grams = ngrams(flat, GRAM)
-                    doc = docs[t] = flat, grams, np.unique(grams)
-                item = items.get(i)
-                if item is None:
-                    item = items[i] = Item(hashed(list(w)))
-                if item.held_by(*doc):
-                    out.append((k, i))
-            yield pd.DataFrame(out, columns=["doc_id", "test_id"])
-
-    both = pairs.join(text, "k").join(own.withColumnRenamed("k", "item"), "item")
-    return both.select("k", "t", "item", "words").mapInPandas(verify, f"doc_id {doc_kind}, test_id {item_kind}").distinct()
+            items = Items(list({i: (i, list(w)) for i, w in zip(b["item"], b["words"])}.values()))
+            asked = b.groupby(["k", "t"], sort=False)["item"].agg(list)
+            yield pd.DataFrame([(k, i) for (k, t), mine in asked.items() for i in items.held_by(t, mine)], columns=["doc_id", "test_id"])
+
+    text = rows.join(pairs.select("k").distinct(), "k", "left_semi").distinct()
+    both = pairs.join(text, "k").join(own.withColumnRenamed("k", "item"), "item").select("k", "t", "item", "words")
+    return both.mapInPandas(verify, result).distinct()
 
 
 def leak_counts(found: DataFrame, items: DataFrame, item_key: str, split: str) -> DataFrame:

@@ -188,7 +188,7 @@ def test_leaks(spark):
     assert leaks(df, "doc_id", "text", it.limit(0), "test_id", "text").count() == 0
 
 
-def test_leaks_of_shortest_passages(spark):
+def test_leaks_of_shortest_passages(spark, monkeypatch):
     """Passages of 20 words, two of them altered, at every offset of an item and of a long document; and a very long item."""
     r = random.Random(14)
     item = [_sentence(r, 1)[:-1].lower() + f"x{i}" for i in range(70)]
@@ -202,7 +202,11 @@ def test_leaks_of_shortest_passages(spark):
     docs.append((200, long[5000:6000]))
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     found = leaks(df, "doc_id", "text", spark.createDataFrame([(1, " ".join(item)), (2, long)], "test_id bigint, text string"), "test_id", "text")
-    assert {tuple(x) for x in found.collect()} == {(o, 1) for o in range(51)} | {(200, 2)}
+    want = {(o, 1) for o in range(51)} | {(200, 2)}
+    assert {tuple(x) for x in found.collect()} == want
+    monkeypatch.setattr(leak, "FEW_WORDS", 0)  # the way of large item sets
+    found = leaks(df, "doc_id", "text", spark.createDataFrame([(1, " ".join(item)), (2, long)], "test_id bigint, text string"), "test_id", "text")
+    assert {tuple(x) for x in found.collect()} == want
 
 
 def test_run_of_kept_words():
