@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 
-from marlpit.operators.statistics import cluster_bootstrap, match_kinds, mcnemar, mcnemar_p
+from marlpit.operators.statistics import bootstrap_deltas, gate, match_kinds, mcnemar, mcnemar_p, noise_floor, paired_bootstrap
 from marlpit.sources.jsonl import EMAILS, first_filled, manifest, read_jsonl, violations, write_jsonl
 from marlpit.streaming.events import append_once, first_within, sessions, windowed_counts
 
@@ -31,17 +34,68 @@ def test_mcnemar_published_value(spark):
     assert (r["gained"], r["lost"]) == (12, 3) and abs(r["p"] - 0.03515625) < 1e-9
 
 
-def test_cluster_bootstrap(spark):
+def test_paired_bootstrap(spark):
     rows = [(i, i % 3, 4, 1 + i % 2, 2 + i % 2) for i in range(60)]
-    r = cluster_bootstrap(spark.createDataFrame(rows, "state_id long, family long, n long, base long, cand long"), 1000).first()
-    assert abs(r["delta"] - 0.25) < 1e-9 and abs(r["low"] - 0.25) < 1e-9 and r["p"] == 1 / 1001
+    df = spark.createDataFrame(rows, "state_id long, family long, n long, base long, cand long")
+    got = {r["family"]: r for r in paired_bootstrap(df, 1000).collect()}
+    assert set(got) == {"0", "1", "2", "*"}
+    assert all(abs(r["delta"] - 0.25) < 1e-9 and abs(r["low"] - 0.25) < 1e-9 and r["p"] == 1 / 1001 for r in got.values())
+    assert paired_bootstrap(df.limit(0), 100).filter("family <> '*'").count() == 0
+
+
+def test_bootstrap_equals_the_multinomial_one(spark):
+    """Width and place of the interval agree with resampling whole states with replacement; partitioning does not matter."""
+    r = np.random.default_rng(4)
+    rows = [(f"s{i}", f, 3, int(b), int(c)) for i in range(300) for f, b, c in ((("x", "y")[i % 2], r.integers(0, 4), r.integers(1, 4)),)]
+    df = spark.createDataFrame(rows, "state_id string, family string, n long, base long, cand long")
+    got = {x["family"]: x for x in paired_bootstrap(df, 4000).collect()}
+    m = np.zeros((3, 300, 2))
+    for i, (_, f, n, b, c) in enumerate(rows):
+        m[:, i, "xy".index(f)] = n, b, c
+    w = r.multinomial(300, np.full(300, 1 / 300), 4000)
+    d = ((w @ m[2] - w @ m[1]) / (w @ m[0])).mean(1)
+    low, high = np.quantile(d, [0.025, 0.975])
+    assert abs(got["*"]["low"] - low) < 0.02 and abs(got["*"]["high"] - high) < 0.02
+    drawn = lambda x: {(a["draw"], a["family"]): a["delta"] for a in bootstrap_deltas(x, 50).collect()}
+    assert drawn(df.repartition(7)) == pytest.approx(drawn(df))
+
+
+def test_gate_and_noise(spark):
+    boot = lambda star, fam: spark.createDataFrame([("*", *star), ("a", *fam)], "family string, delta double, low double, high double, p double")
+    passed = lambda *a, **k: {r["check"]: r["passed"] for r in gate(*a, **k).collect()}
+    good = passed(boot((0.05, 0.01, 0.1, 0.001), (0.0, -0.1, 0.1, 0.5)), guard_delta=0.0, max_p=0.01)
+    assert all(good.values()) and len(good) == 6
+    bad = passed(boot((0.04, -0.01, 0.1, 0.2), (-0.2, -0.3, -0.1, 1.0)), guard_delta=None, max_p=0.01)
+    assert not any(bad.values())
+    rows = [(f"s{i}", "a", 2, 0, i % 3) for i in range(200)]
+    floor = {r["family"]: r for r in noise_floor(spark.createDataFrame(rows, "state_id string, family string, n long, base long, cand long"), 500).collect()}
+    assert abs(floor["a"]["paired_half_width"] / floor["a"]["half_width"] - 2**0.5) < 1e-9 and floor["*"]["n"] == 400
 
 
 def test_match_kinds(spark):
     base = "The quick brown fox jumps over the lazy dog near the old mill every single day"
-    src = spark.createDataFrame([(1, base), (2, base.upper() + "!"), (3, "Well " + base), (4, "nothing alike"), (5, None), (6, " ")], "id long, text string")
-    tgt = spark.createDataFrame([(10, base), (11, None), (12, "")], "id long, text string")
-    assert {tuple(r) for r in match_kinds(src, tgt, "id", "text").collect()} == {(1, 10, "exact"), (2, 10, "normalized"), (3, 10, "ngram")}
+    src = spark.createDataFrame([(1, base), (2, base.upper() + "!"), (3, "Well " + base), (4, "nothing alike"), (5, None), (6, " "), (7, "ﬁne café"), (8, base.replace(" ", "\u00a0"))], "id long, text string")
+    tgt = spark.createDataFrame([(10, base), (11, None), (12, ""), (13, "fine café")], "id long, text string")
+    assert {tuple(r) for r in match_kinds(src, tgt, "id", "text").collect()} == {(1, "exact"), (2, "normalized"), (3, "ngram"), (7, "normalized"), (8, "normalized")}
+    assert match_kinds(src.limit(0), tgt, "id", "text").count() == 0 and match_kinds(src, tgt.limit(0), "id", "text").count() == 0
+
+
+def test_match_kinds_against_brute_force(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    base = [[r.choice(words) for _ in range(r.randint(3, 60))] for _ in range(25)]
+    texts = base + [[r.choice(words) if r.random() < 0.02 else w for w in b[: r.randint(3, 70)]] for b in base for _ in range(3)] + [b + b[::-1] for b in base]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    src, tgt = rows[::2], rows[1::2]
+    grams = lambda t: {tuple(w[i : i + 8]) for i in range(len(w) - 7)} or {tuple(w)} if (w := t.split()) else set()
+    want = set()
+    for i, t in src:
+        if any(t == u for _, u in tgt):
+            want.add((i, "exact"))
+        elif any(len(grams(t) & grams(u)) >= 0.8 * min(len(grams(t)), len(grams(u))) for _, u in tgt):
+            want.add((i, "ngram"))
+    got = match_kinds(spark.createDataFrame(src, "id long, text string"), spark.createDataFrame(tgt, "id long, text string"), "id", "text")
+    assert {tuple(x) for x in got.collect()} == want and len({k for _, k in want}) == 2
 
 
 def test_streams(spark, tmp_path):
