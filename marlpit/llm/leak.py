@@ -68,18 +68,16 @@ def _band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Band keys of every window of ``RUN`` successive own words of an item, by segment: the windows that begin in the same ``RUN`` words."""
+    """Band keys of every window of ``RUN`` successive own words of an item."""
 
     def __init__(self) -> None:
         self.hash, self.hasher = WordHash(), MinHasher(max(BANDS))
 
-    def __call__(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, own: list[str]) -> np.ndarray:
         g = ngrams(self.hash(own), GRAM)
         at = np.arange(len(g) - Q + 1)
         sets = g[at[:, None] + np.arange(Q)].ravel()
-        keys = _band_keys(self.hasher.minima(sets, at * Q))
-        pair = np.unique(np.stack([np.tile((at // RUN).astype(np.uint64), len(keys)), keys.ravel()]), axis=1)
-        return pair[0].astype(np.int32), pair[1]
+        return np.unique(_band_keys(self.hasher.minima(sets, at * Q)))
 
 
 class Parts:
@@ -96,8 +94,8 @@ class Parts:
         self.grams, self.keys = grams, keys
         self.hash, self.hasher = WordHash(), MinHasher(max(BANDS))
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first word of the part, key) of the parts' keys that some item window has."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, key) of the parts' keys that some item window has."""
         flat: list[str] = []
         lengths = []
         for t in texts:
@@ -113,23 +111,23 @@ class Parts:
             dense = np.concatenate([[0], np.cumsum(hits[np.minimum(np.arange(len(g)) + SPAN, len(g))] - hits[:-1] >= KEPT)])
             size = np.where(n == 0, 0, np.maximum(n - GRAM + 1, 1))
             first = np.concatenate([[0], np.cumsum(size)])
-            sets: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in SIZES]
+            sets: list[list[tuple[int, np.ndarray]]] = [[] for _ in SIZES]
             for d in np.flatnonzero((n >= GRAM) & (dense[first[1:]] > dense[first[:-1]])).tolist():
                 for o in range(0, max(1, lengths[d] - OVERLAP), PART - OVERLAP):
                     a, z = first[d] + o, first[d] + min(o + PART - GRAM + 1, size[d])
                     if dense[z] > dense[a]:
                         s = np.unique(g[a:z][hit[a:z]])
                         if len(s) >= KEPT:
-                            sets[int(np.searchsorted(SIZES, len(s)))].append((d, o, s))
+                            sets[int(np.searchsorted(SIZES, len(s)))].append((d, s))
             for p, found in enumerate(sets):
                 if found:
-                    starts = np.cumsum([0, *(len(s) for _, _, s in found)])[:-1]
-                    keys = _band_keys(self.hasher.minima(np.concatenate([s for _, _, s in found]), starts)[: BANDS[p]])
+                    starts = np.cumsum([0, *(len(s) for _, s in found)])[:-1]
+                    keys = _band_keys(self.hasher.minima(np.concatenate([s for _, s in found]), starts)[: BANDS[p]])
                     known = np.flatnonzero(self.keys.has(keys.ravel()))
-                    owner = np.array([(d, o) for d, o, _ in found], dtype=np.uint64)[known % len(found)]
-                    out.append(np.stack([owner[:, 0], owner[:, 1], keys.ravel()[known]]))
-        text, part, key = np.concatenate(out, axis=1) if out else np.empty((3, 0), dtype=np.uint64)
-        return text.astype(np.int64), part.astype(np.int32), key
+                    owner = np.array([d for d, _ in found], dtype=np.uint64)[known % len(found)]
+                    out.append(np.stack([owner, keys.ravel()[known]]))
+        text, key = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), dtype=np.uint64)
+        return text.astype(np.int64), key
 
 
 class Item:
@@ -205,7 +203,7 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     Item windows become min-hash band keys, partitioned by key. One scan of the documents gives the band keys of their
     parts, filtered by the bits of the item side (bounded, see :mod:`marlpit.functions.bitmap`), and only keys that an
     item may have are shuffled; so the corpus is read once, however many items there are, and nothing is collected. A
-    join on the keys gives candidate pairs, those of which a part and a segment meet in ``HITS`` bands, which the exact shingle count and alignment verify. A key that very many
+    join on the keys gives candidate pairs, those that meet in ``HITS`` bands, which the exact shingle count and alignment verify. A key that very many
     documents share has few rows on the item side; the adaptive join splits it.
 
     Defined results: letter case, punctuation, spacing, markup entities, character forms, look-alikes and invisible
@@ -219,15 +217,14 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
         one = Windows()
         for b in batches:
             for k, w in zip(b["k"], b["words"]):
-                segment, keys = one(list(w))
-                yield pd.DataFrame({"key": keys.view(np.int64), "item": k, "segment": segment})
+                yield pd.DataFrame({"key": one(list(w)).view(np.int64), "item": k})
 
     def grams(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
         for b in batches:
             yield pd.DataFrame({"key": np.concatenate([ngrams(hashed(list(w)), GRAM) for w in b["words"]] or [np.empty(0, dtype=np.uint64)]).view(np.int64)})
 
-    asked = cut(spread(own, "k").mapInPandas(window_keys, f"key bigint, item {item_kind}, segment int"), "leak")
+    asked = cut(spread(own, "k").mapInPandas(window_keys, f"key bigint, item {item_kind}"), "leak")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((key_bits(own.mapInPandas(grams, "key bigint")), key_bits(asked)))
 
@@ -236,13 +233,13 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
         for b in batches:
             for at in range(0, len(b), 2000):
                 part = b.iloc[at : at + 2000]
-                text, first, key = parts(part["t"].tolist())
-                yield pd.DataFrame({"k": part["k"].to_numpy()[text], "part": first, "key": key.view(np.int64)})
+                text, key = parts(part["t"].tolist())
+                yield pd.DataFrame({"k": part["k"].to_numpy()[text], "key": key.view(np.int64)})
 
     rows = docs.select(F.col(doc_key).alias("k"), F.col(doc_text).alias("t")).filter("k is not null and t is not null")
-    hits = spread(rows, "k").mapInPandas(scan, f"k {doc_kind}, part int, key bigint")
-    met = hits.join(asked, "key").groupBy("k", "part", "item", "segment").agg(F.count("*").alias("n")).filter(F.col("n") >= HITS)
-    pairs = cut(met.select("k", "item").distinct(), "leak")
+    hits = spread(rows, "k").mapInPandas(scan, f"k {doc_kind}, key bigint")
+    met = hits.join(asked, "key").groupBy("k", "item").agg(F.count("*").alias("n")).filter(F.col("n") >= HITS)
+    pairs = cut(met.select("k", "item"), "leak")
     result = f"doc_id {doc_kind}, test_id {item_kind}"
     if (own.agg(F.sum(F.size("words"))).first()[0] or 0) <= FEW_WORDS:
         few = spark.sparkContext.broadcast([(r["k"], list(r["words"])) for r in own.toLocalIterator()])  # at most FEW_WORDS words
