@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
+
+_CUTS: list[str] = []  # folders of the tables that cut() wrote
 
 
 def get_spark(app: str = "marlpit", cpus: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -26,12 +31,15 @@ def get_spark(app: str = "marlpit", cpus: str | int = "*", partitions: int = 8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, read from ``spark.checkpoint.dir``; only a session without one gets a local folder."""
+    """The folder all executors share, read from ``spark.checkpoint.dir``. Only a local session without one gets a local
+    folder; a cluster session without one is refused, since its executors share no temporary folder."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = os.path.join(tempfile.gettempdir(), f"marlpit-{os.getuid()}")
         spark.sparkContext.setCheckpointDir(known)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -42,24 +50,44 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage the way ``checkpoint()`` does, but stays columnar and keeps file statistics for the planner. Any
-    executor can be lost afterwards. The folder is removed by :func:`drop_cut` or with the shared folder itself.
+    executor can be lost afterwards. The folder is removed by :func:`drop_cut`, by :func:`drop_all_cuts` or, at the latest,
+    when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path  # type: ignore[attr-defined]
+    if not _CUTS:
+        atexit.register(_at_end, spark)
+    _CUTS.append(path)
     return out
 
 
+def drop_all_cuts(spark: SparkSession) -> None:
+    """Delete every table that :func:`cut` has written in this session; for use once all results are written."""
+    while _CUTS:
+        _delete(spark, _CUTS.pop())
+
+
+def _at_end(spark: SparkSession) -> None:
+    try:
+        drop_all_cuts(spark)
+    except Exception:  # noqa: BLE001 - the engine has already gone; whoever owns the shared folder empties it
+        _CUTS.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the table written by :func:`cut`, once nothing reads it any more."""
     path = getattr(df, "_cut_path", None)
-    if path is None:
-        return
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+    if path in _CUTS:
+        _CUTS.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
@@ -73,6 +101,14 @@ def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     return df.repartition(per_core * cores, *keys)
 
 
+SMALL = 64 << 20  # bytes up to which a table may be broadcast
+
+
 def broadcast_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``, the check made before anything is broadcast."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its estimated size allows; otherwise the planner chooses a join for large tables."""
+    return broadcast(df) if broadcast_bytes(df) <= SMALL else df
