@@ -117,15 +117,22 @@ class Questions:
         return self.form[hits >= self.need]
 
 
-def containment(a: str, b: str) -> float:
+def containment(a: str, b: str, known: dict | None = None) -> float:
     """Share of the words of one body that stand in the other in the same phrases, the larger of both directions.
 
     A phrase is a run of ``PHRASE`` words of a line (a whole line when it is shorter) that the other body has anywhere;
     so letter case, punctuation, spacing, line order and lost line breaks do not matter, while the same words in another
-    order do.
+    order do. ``known`` keeps what was made of a body for its further pairs; it is emptied when it is full.
     """
-    la, lb = [x.split(" ") for x in a.split("\n")], [x.split(" ") for x in b.split("\n")]
-    return max(_covered(la, _phrases(lb)), _covered(lb, _phrases(la)))
+    known = {} if known is None else known
+    if len(known) > 3000:
+        known.clear()
+    for body in (a, b):
+        if body not in known:
+            lines = [x.split(" ") for x in body.split("\n")]
+            known[body] = [(len(w), list(zip(*(w[k:] for k in range(min(PHRASE, len(w))))))) for w in lines], _phrases(lines)
+    (la, ha), (lb, hb) = known[a], known[b]
+    return max(_covered(la, hb), _covered(lb, ha))
 
 
 def _phrases(lines: list[list[str]]) -> set[tuple[str, ...]]:
@@ -136,12 +143,12 @@ def _phrases(lines: list[list[str]]) -> set[tuple[str, ...]]:
     return have
 
 
-def _covered(lines: list[list[str]], have: set[tuple[str, ...]]) -> float:
+def _covered(lines: list[tuple[int, list[tuple[str, ...]]]], have: set[tuple[str, ...]]) -> float:
     total = hit = 0
-    for w in lines:
-        n, until = min(PHRASE, len(w)), 0
-        total += len(w)
-        for i, phrase in enumerate(zip(*(w[k:] for k in range(n)))):
+    for size, phrases in lines:
+        n, until = min(PHRASE, size), 0
+        total += size
+        for i, phrase in enumerate(phrases):
             if phrase in have:
                 hit += i + n - max(i, until)
                 until = i + n
@@ -219,8 +226,9 @@ def _class_pairs(classes: DataFrame, share: float) -> DataFrame:
     )
 
     def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for b in batches:
-            keep = [containment(x, y) >= share for x, y in zip(b["b1"], b["b2"])]
+            keep = [containment(x, y, known) >= share for x, y in zip(b["b1"], b["b2"])]
             yield b.loc[keep, ["f1", "f2"]]
 
     return cut(both.mapInPandas(measure, "f1 bigint, f2 bigint"), "overlap")
