@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from marlpit.session import cut, spread
 
 PHRASE = 3  # words of the shortest phrase that counts as returned when a pair is measured
 SHARE = 0.9  # share of the words of one record that returns in the other
-NEED = 16  # words, besides those that a match may lack, that a record asks for; more give fewer candidates and lose none
+NEED = 32  # words, besides those that a match may lack, that a record asks for; more give fewer candidates and lose none
 CELLS = 1 << 20  # cells of the phrase counts, whatever the size of the input; they only steer which words are asked for
 BLOCK = 1 << 16  # classes whose questions are broadcast together
 
@@ -62,13 +63,13 @@ def spare_words(n: int, share: float) -> int:
     return u
 
 
-def questions(lens: np.ndarray, phrases: np.ndarray, df: np.ndarray, share: float) -> tuple[int, np.ndarray, np.ndarray] | None:
-    """(need, phrases, weights): a text that has ``share`` of these words has phrases of a total weight of ``need`` or more.
+def questions(lens: np.ndarray, phrases: np.ndarray, df: np.ndarray, share: float) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(need, asked, phrases, first, width): a text that has ``share`` of these words has phrases that cover ``need`` asked words or more.
 
     Asked for are the words with the rarest phrases around them, ``NEED`` more than a match may lack, so that many of
-    them return in each match. A phrase weighs as many asked words as it covers. None: too many words are in no phrase
-    of the other side, nothing can match. ``df`` is how often the other side has each phrase; 0 must be certain, all
-    else is only a preference.
+    them return in each match. A phrase covers ``width`` of them from ``first`` on, counted in order of place. None: too
+    many words are in no phrase of the other side, nothing can match. ``df`` is how often the other side has each phrase;
+    0 must be certain, all else is only a preference.
     """
     n = int(lens.sum())
     line, ends = np.repeat(lens, lens), np.repeat(np.cumsum(lens), lens)
@@ -88,33 +89,41 @@ def questions(lens: np.ndarray, phrases: np.ndarray, df: np.ndarray, share: floa
     before = np.cumsum(before)
     weight = before[at + size] - before[at]
     keep = (weight > 0) & (df > 0)
-    g, code = np.unique(phrases[keep], return_inverse=True)
-    return len(asked) - spare, g, np.bincount(code, weights=weight[keep], minlength=len(g)).astype(np.int64)
+    return len(asked) - spare, len(asked), phrases[keep], before[at][keep], weight[keep]
 
 
 class Questions:
-    """Questions of a block of classes by phrase; ``answer`` gives the classes whose need a text meets."""
+    """Questions of a block of classes by phrase; ``answer`` gives the classes of which a text covers as many asked words as they need."""
 
-    def __init__(self, form: np.ndarray, side: np.ndarray, need: np.ndarray, sizes: np.ndarray, g: np.ndarray, w: np.ndarray) -> None:
-        self.form, self.sides, entry = form, {}, np.repeat(np.arange(len(form)), sizes)
+    def __init__(self, form: np.ndarray, side: np.ndarray, need: np.ndarray, asked: np.ndarray, sizes: np.ndarray, g: np.ndarray, first: np.ndarray, width: np.ndarray) -> None:
+        self.form, self.need, self.asked, self.sides = form, need, asked.astype(np.int64), {}
+        entry = np.repeat(np.arange(len(form)), sizes)
         for s in (1, 2, 3):
-            mine = ((side | s) == 3)[entry]
-            order = np.argsort(g[mine], kind="stable")
-            known, first = np.unique(g[mine][order], return_index=True)
-            self.sides[s] = known, np.append(first, len(order)), entry[mine][order], w[mine][order].astype(np.float64)
-        self.need = need
+            mine = np.flatnonzero(((side | s) == 3)[entry])
+            mine = mine[np.argsort(g[mine], kind="stable")]
+            known, start = np.unique(g[mine], return_index=True)
+            self.sides[s] = known, np.append(start, len(mine)), entry[mine], first[mine].astype(np.int64), width[mine].astype(np.int64)
 
     def answer(self, side: int, grams: np.ndarray) -> np.ndarray:
-        known, first, entry, w = self.sides[side]
+        known, start, entry, first, width = self.sides[side]
         if not len(known):
             return self.form[:0]
         i = np.minimum(np.searchsorted(known, grams), len(known) - 1)
         i = i[known[i] == grams]
-        if not len(i):
+        n = start[i + 1] - start[i]
+        at = np.repeat(start[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        who = entry[at]
+        at = at[(np.bincount(who, width[at], len(self.need)) >= self.need)[who]]  # phrases overlap, so this counts words up to three times
+        if not len(at):
             return self.form[:0]
-        parts = [slice(a, b) for a, b in zip(first[i].tolist(), first[i + 1].tolist())]
-        hits = np.bincount(np.concatenate([entry[p] for p in parts]), np.concatenate([w[p] for p in parts]), len(self.need))
-        return self.form[hits >= self.need]
+        who, code = np.unique(entry[at], return_inverse=True)
+        room = self.asked[who] + 1
+        base = np.cumsum(room) - room
+        step = np.zeros(room.sum(), dtype=np.int64)
+        np.add.at(step, base[code] + first[at], 1)
+        np.add.at(step, base[code] + first[at] + width[at], -1)
+        covered = np.add.reduceat((np.cumsum(step) > 0).astype(np.int64), base)
+        return self.form[who[covered >= self.need[who]]]
 
 
 def containment(a: str, b: str, known: dict | None = None) -> float:
@@ -163,7 +172,7 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, train: str
        counts. Of a record that returns in another at most a tenth of the words are missing, so of any set of more words
        some return: each class, of train and evaluation alike because either may be the one contained, asks for the
        words with the rarest phrases around them, ``NEED`` more than may be missing, and every class of the other side
-       with at least ``NEED`` of them is a candidate. No pair that reaches the share can be missed, however common its
+       that covers ``NEED`` of them is a candidate. No pair that reaches the share can be missed, however common its
        phrases are. 3. Questions are broadcast in blocks of ``BLOCK`` classes and the classes scanned without a shuffle,
        so a common phrase skews no task. 4. Candidates are measured by :func:`containment`, and class pairs expand to the
        record pairs asked for.
@@ -209,9 +218,9 @@ def _class_pairs(classes: DataFrame, share: float) -> DataFrame:
                 asked = questions(lens, phrases, other[side][phrases % CELLS], share)
                 if asked:
                     out.append((form, side, *asked))
-            yield pd.DataFrame(out, columns=["form", "side", "need", "g", "w"])
+            yield pd.DataFrame(out, columns=["form", "side", "need", "asked", "g", "first", "width"])
 
-    asked = cut(spread(hashed, "form").mapInPandas(ask, "form bigint, side int, need int, g array<bigint>, w array<int>"), "overlap")
+    asked = cut(spread(hashed, "form").mapInPandas(ask, "form bigint, side int, need int, asked int, g array<bigint>, first array<int>, width array<int>"), "overlap")
     blocks = -(-asked.count() // BLOCK)
     hits = None
     for block in range(blocks):
@@ -237,9 +246,9 @@ def _class_pairs(classes: DataFrame, share: float) -> DataFrame:
 def _answers(hashed: DataFrame, asked: DataFrame) -> DataFrame:
     """(f1, f2): classes that ask and classes of the other side that have as much as they need."""
     t = asked.toArrow()
-    g, w = (t[c].combine_chunks().flatten().to_numpy() for c in ("g", "w"))
-    sizes = np.array([len(x) for x in t["g"]], dtype=np.int64)
-    block = hashed.sparkSession.sparkContext.broadcast((*(t[c].to_numpy() for c in ("form", "side", "need")), sizes, g, w))
+    flat = [t[c].combine_chunks().flatten().to_numpy() for c in ("g", "first", "width")]
+    sizes = pc.list_value_length(t["g"].combine_chunks()).to_numpy().astype(np.int64)
+    block = hashed.sparkSession.sparkContext.broadcast((*(t[c].to_numpy() for c in ("form", "side", "need", "asked")), sizes, *flat))
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Questions(*block.value)
