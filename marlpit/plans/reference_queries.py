@@ -119,10 +119,6 @@ def _number(engine: str, hex16: str) -> str:
     return f"CAST(conv({hex16}, 16, 10) AS DECIMAL(20, 0))" if engine == "s" else f"CAST(('0x' || {hex16}) AS UBIGINT)"
 
 
-_ASSIGN = """
-SELECT user_id, CASE WHEN r <= 40 THEN 'hidden' WHEN r <= 100 THEN 'dev' WHEN r <= 160 THEN 'val' ELSE 'train' END AS shard
-FROM (SELECT c_custkey AS user_id, row_number() OVER (ORDER BY HASH, c_custkey) AS r FROM {customer}) x"""
-both("assign_shards", *(_ASSIGN.replace("HASH", _hash(e, "split-v1", "c_custkey")) for e in "sd"))
 _ROBIN = """
 SELECT user_id, seg, CAST((r - 1) % 5 AS INT) AS part FROM (
   SELECT c_custkey AS user_id, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_mktsegment ORDER BY HASH, c_custkey) AS r FROM {customer}) x"""
@@ -148,35 +144,21 @@ both("weighted_sample_wor", *(_WEIGHTED.replace("NUMBER", f"CAST({_number(e, _ha
 _BLOCKS = """
 SELECT i, CAST(floor(i / 6) AS BIGINT) AS block, row_number() OVER (PARTITION BY floor(i / 6) ORDER BY HASH, i) AS place FROM (SELECT o_orderkey - 1 AS i FROM {orders}) x"""
 both("block_schedule", *(_BLOCKS.replace("HASH", _hash(e, "block", "i")) for e in "sd"))
-_PLAN = """
-WITH u AS (SELECT c_custkey AS user_id, row_number() OVER (ORDER BY HASH, c_custkey) - 1 AS place, count(*) OVER () AS n FROM {customer})
-SELECT o.o_orderkey AS i, u.user_id, CAST(floor((o.o_orderkey) / u.n) AS BIGINT) AS visit, CAST(o.o_orderkey % 7 AS INT) AS family FROM {orders} o JOIN u ON o.o_orderkey % u.n = u.place"""
-both("state_plan", *(_PLAN.replace("HASH", _hash(e, "plan", "c_custkey")) for e in "sd"))
 
 # ---- joins: semi, anti, similar, as-of, ranges, lookups, leakage (J, L, U)
 
 both("semi_known_items", "SELECT row_id, item_id FROM {interactions} v WHERE EXISTS (SELECT 1 FROM {items} i WHERE i.item_id = v.item_id AND i.domain = 'product')")
 both("used_or_popular_items", """
 SELECT DISTINCT i.item_id FROM {items} i WHERE i.item_id IN (SELECT item_id FROM {interactions} WHERE rating = 5) OR i.attributes.rating_number >= 500""")
-both("anti_untouched", """
-SELECT c.c_nationkey AS nation, count(*) AS n_untouched FROM {customer} c JOIN {part} p ON p.p_size = c.c_nationkey + 1
-WHERE NOT EXISTS (SELECT 1 FROM ({latest}) v WHERE v.user_id = c.c_custkey AND v.item_id = p.p_partkey) GROUP BY c.c_nationkey""")
 both("touched_items", """
 SELECT user_id, count(*) AS n FROM (SELECT user_id, item_id FROM ({sided}) a WHERE side = 'early' UNION SELECT user_id, item_id FROM ({sided}) b WHERE side = 'later') x GROUP BY user_id""")
 both("shared_categories", """
 SELECT e.user_id, e.category FROM (SELECT DISTINCT user_id, category FROM ({sided}) s JOIN ({goods}) g ON s.item_id = g.item_id WHERE side = 'early') e
 JOIN (SELECT DISTINCT user_id, category FROM ({sided}) s JOIN ({goods}) g ON s.item_id = g.item_id WHERE side = 'later') l ON e.user_id = l.user_id AND e.category = l.category""")
-both("similar_items", """
-SELECT a.item_id, count(*) AS n_similar, min(b.item_id) AS first_similar FROM ({goods}) a
-JOIN ({goods}) b ON a.domain = b.domain AND a.category = b.category AND a.subcategory = b.subcategory AND a.item_id <> b.item_id GROUP BY a.item_id""")
 both("merged_accounts_asof", """
 SELECT row_id, joined FROM (
   SELECT v.row_id, u.joined_at AS joined, row_number() OVER (PARTITION BY v.row_id ORDER BY u.joined_at DESC, u.user_id DESC) AS r
   FROM {interactions} v JOIN {users} m ON m.user_id = v.user_id JOIN {users} u ON u.household_id = m.household_id AND u.joined_at <= v.received_at) x WHERE r = 1""")
-both("asof_threshold", """
-SELECT q.o_orderkey, max_by(u.o_totalprice, u.o_orderdate) AS in_force FROM {orders} q
-JOIN (SELECT o_custkey, o_orderdate, max(o_totalprice) AS o_totalprice FROM {orders} GROUP BY o_custkey, o_orderdate) u
-  ON u.o_custkey = q.o_custkey AND u.o_orderdate < q.o_orderdate GROUP BY q.o_orderkey""")
 both("ambiguous_cities", """
 SELECT city FROM (SELECT lower(trim(city)) AS city, source FROM {items} WHERE city IS NOT NULL) x GROUP BY city HAVING count(DISTINCT source) > 1""")
 both("route_counts", """
@@ -189,15 +171,6 @@ LEFT JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY n_name) - 1 AS place,
 both("quiet_hours", """
 SELECT event_id, h, CASE WHEN s < e THEN h >= s AND h < e ELSE h >= s OR h < e END AS quiet
 FROM (SELECT event_id, extract(hour FROM ts) AS h, 18 + user_id % 6 AS s, 5 + user_id % 4 AS e FROM {events}) x""")
-both("leakage_users", """
-SELECT a.shard AS shard_a, b.shard AS shard_b, count(DISTINCT a.user_id) AS n FROM {draft} a JOIN {draft} b ON a.user_id = b.user_id AND a.shard < b.shard GROUP BY a.shard, b.shard""")
-_TEXTS = """
-SELECT a.shard AS shard_a, b.shard AS shard_b, count(DISTINCT a.h) AS n FROM (SELECT shard, SHA AS h FROM {records} WHERE length(state) >= 40) a
-JOIN (SELECT shard, SHA AS h FROM {records} WHERE length(state) >= 40) b ON a.h = b.h AND a.shard < b.shard GROUP BY a.shard, b.shard"""
-both("leakage_texts", _TEXTS.replace("SHA", "sha2(state, 256)"), _TEXTS.replace("SHA", "sha256(state)"))
-both("leakage_events", """
-SELECT count(*) AS n FROM (SELECT item_id, timestamp, rating FROM {interactions} WHERE source = 'local_guide_2022' INTERSECT
-  SELECT item_id, timestamp, rating FROM {interactions} WHERE source = 'shop_reviews_2024') x""")
 both("align_checks", """
 SELECT SUM(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS missing, SUM(CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END) AS extra, SUM(CASE WHEN l.n > 1 THEN 1 ELSE 0 END) AS duplicate
 FROM {documents} d FULL OUTER JOIN (SELECT doc_id, count(*) AS n FROM {doc_labels} GROUP BY doc_id) l ON d.doc_id = l.doc_id""")
@@ -215,14 +188,9 @@ SELECT row_id, CASE WHEN rating >= 4 THEN 'likes' WHEN rating <= 2 THEN 'dislike
 both("category_label", "SELECT DISTINCT category, trim(replace(category, '_', ' ')) AS label FROM {items}")
 _SPANS = "SELECT user_id, CAST(DAYS AS BIGINT) AS days FROM (SELECT user_id, min(received_at) AS a, max(received_at) AS b FROM {interactions} WHERE user_id IS NOT NULL GROUP BY user_id) x"
 both("span_days", _SPANS.replace("DAYS", "datediff(b, a)"), _SPANS.replace("DAYS", "date_diff('day', a, b)"))
-both("price_level", "SELECT item_id, CASE WHEN price IS NULL OR price <= 0 THEN NULL WHEN price < 10 THEN 1 WHEN price < 30 THEN 2 WHEN price < 60 THEN 3 ELSE 4 END AS level, round(ln(1 + price), 6) AS log_price FROM {items}")
 both("connected_services", "SELECT user_id, SIZE(connected_services) AS n_services FROM {users} WHERE connected_services IS NOT NULL", "SELECT user_id, len(connected_services) AS n_services FROM {users} WHERE connected_services IS NOT NULL")
 both("exact_dup_docs", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM {documents} WHERE text IS NOT NULL) x WHERE r = 1")
 both("text_digest_counts", "SELECT h, count(*) AS n FROM (SELECT sha2(text, 256) AS h FROM {documents} WHERE text IS NOT NULL) x GROUP BY h HAVING count(*) > 1", "SELECT h, count(*) AS n FROM (SELECT sha256(text) AS h FROM {documents} WHERE text IS NOT NULL) x GROUP BY h HAVING count(*) > 1")
-_SCRUB = "SELECT email_id, R(R(body, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]*[A-Za-z]', '<email>'G), '[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}', '<phone>'G) AS scrubbed FROM {emails} WHERE body IS NOT NULL"
-both("scrub_text", _SCRUB.replace("R(", "regexp_replace(").replace("'G", "'"), _SCRUB.replace("R(", "regexp_replace(").replace("'G", "', 'g'"))
-_PLACED = "SELECT SUM(COUNT) AS n_placeholders, SUM(CASE WHEN text LIKE '%[EMAIL]%' OR text LIKE '%[PHONE]%' THEN 1 ELSE 0 END) AS n_texts FROM {interactions}"
-both("placeholder_counts", _PLACED.replace("COUNT", "regexp_count(text, '\\\\[(EMAIL|PHONE)\\\\]')"), _PLACED.replace("COUNT", "len(regexp_extract_all(text, '\\[(EMAIL|PHONE)\\]'))"))
 
 # ---- scores of options: softmax, argmax, calibration, selective prediction, statistics (M, A, B, V)
 
@@ -261,25 +229,9 @@ eval_both("ece15", """
 SELECT round(SUM(n * abs(acc - conf)) / SUM(n), 6) AS ece FROM (
   SELECT least(CAST(floor(conf * 15) AS INT), 14) AS b, CAST(count(*) AS DOUBLE) AS n, avg(CASE WHEN ambiguous THEN 1.0E0 / k WHEN pred = label_idx THEN 1.0E0 ELSE 0.0E0 END) AS acc, avg(conf) AS conf
   FROM CAND c GROUP BY least(CAST(floor(conf * 15) AS INT), 14)) x""")
-_CURVE = """
-SELECT conf, max(accepted) AS accepted, max(errors) AS errors FROM (
-  SELECT conf, count(*) OVER (ORDER BY conf DESC) AS accepted, SUM(CASE WHEN pred = label_idx THEN 0 ELSE 1 END) OVER (ORDER BY conf DESC) AS errors
-  FROM (SELECT round(conf, 9) AS conf, pred, label_idx FROM CAND c WHERE NOT ambiguous) r) x GROUP BY conf"""
-eval_both("risk_coverage", f"SELECT round(conf, 6) AS conf, accepted, CAST(errors AS BIGINT) AS errors FROM ({_CURVE}) q")
-eval_both("coverage_at_budget", f"""
-SELECT max(CASE WHEN errors <= 0.05 * accepted THEN accepted END) AS accepted, round(min(CASE WHEN errors <= 0.05 * accepted THEN conf END), 6) AS threshold,
-  round(coalesce(max(CASE WHEN errors <= 0.05 * accepted THEN accepted END), 0) / CAST(max(accepted) AS DOUBLE), 6) AS coverage FROM ({_CURVE}) q""")
 eval_both("evaluate_threshold", """
 SELECT SUM(CASE WHEN conf >= 0.8 THEN 1 ELSE 0 END) AS accepted, SUM(CASE WHEN conf >= 0.8 AND pred <> label_idx THEN 1 ELSE 0 END) AS errors,
   round(SUM(CASE WHEN conf >= 0.8 AND pred <> label_idx THEN 1.0E0 ELSE 0.0E0 END) / nullif(SUM(CASE WHEN conf >= 0.8 THEN 1.0E0 ELSE 0.0E0 END), 0), 6) AS risk FROM CAND c WHERE NOT ambiguous""")
-_GRID = """
-SELECT t, round(avg(nll), 6) AS nll FROM (
-  SELECT t, qid, -SUM(target * (z / t - top / t - ln(total))) AS nll FROM (
-    SELECT g.t, m.*, CASE WHEN ambiguous THEN 1.0E0 / k WHEN o = label_idx THEN 1.0E0 ELSE 0.0E0 END AS target, max(z) OVER (PARTITION BY g.t, qid) AS top,
-      SUM(exp((z - zmax) / g.t)) OVER (PARTITION BY g.t, qid) AS total
-    FROM (SELECT w.*, max(z) OVER (PARTITION BY qid) AS zmax FROM (MARGINS) w) m, (GRID) g) x GROUP BY t, qid) y GROUP BY t"""
-both("temperature_grid", _GRID.replace("MARGINS", _MARGINS["s"].replace("BOOST", "1.5")).replace("(GRID)", "(SELECT round(exp(ln(0.05E0) + id * (ln(50.0E0) - ln(0.05E0)) / 48), 9) AS t FROM range(0, 49))"),
-     _GRID.replace("MARGINS", _MARGINS["d"].replace("BOOST", "1.5")).replace("(GRID)", "(SELECT round(exp(ln(0.05::DOUBLE) + id * (ln(50.0::DOUBLE) - ln(0.05::DOUBLE)) / 48), 9) AS t FROM range(0, 49) r(id))"))
 eval_both("safety_false_negatives", """
 SELECT family, count(*) AS n_risky, SUM(CASE WHEN pred <> label_idx THEN 1 ELSE 0 END) AS missed, round(avg(CASE WHEN pred <> label_idx THEN 1.0E0 ELSE 0.0E0 END), 6) AS rate
 FROM CAND c WHERE NOT ambiguous AND label_idx = 1 GROUP BY family""")
@@ -300,28 +252,6 @@ FROM BASE b JOIN CAND c ON b.qid = c.qid JOIN (SELECT 'overall' AS part, 0 AS h
 eval_both("majority_baseline", """
 SELECT family, label_idx AS majority, n FROM (SELECT family, label_idx, n, row_number() OVER (PARTITION BY family ORDER BY n DESC, first_seen) AS r FROM (
   SELECT family, label_idx, count(*) AS n, min(qid) AS first_seen FROM BASE b WHERE NOT ambiguous GROUP BY family, label_idx) x) y WHERE r = 1""")
-
-_BOOT = """
-SELECT rep, round(avg(d), 6) AS delta FROM (
-  SELECT rep, family, SUM(w * (cand - base)) / CAST(SUM(w * n) AS DOUBLE) AS d FROM (
-    SELECT t.*, r.rep, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.9196986 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 ELSE 5 END AS w
-    FROM (SELECT q.*, p.rep, UNIT AS u FROM (CLUSTERS) q, (REPS) p) r JOIN (CLUSTERS) t ON t.state_id = r.state_id AND t.family = r.family) x
-  GROUP BY rep, family HAVING SUM(w * n) > 0) y GROUP BY rep"""
-_CLUSTERS = "SELECT b.state_id, b.family, count(*) AS n, SUM(CASE WHEN b.pred = b.label_idx THEN 1 ELSE 0 END) AS base, SUM(CASE WHEN c.pred = c.label_idx THEN 1 ELSE 0 END) AS cand FROM BASE b JOIN CAND c ON b.qid = c.qid WHERE NOT b.ambiguous GROUP BY b.state_id, b.family"
-
-
-def _boot(e: str) -> str:
-    text = "STRING" if e == "s" else "VARCHAR"
-    key = f"concat('boot:', CAST(p.rep AS {text}), ':', CAST(q.state_id AS {text}))"
-    unit = f"CAST({_number(e, _H[e].format(key))} AS DOUBLE) / CAST(18446744073709551616 AS DOUBLE)"
-    reps = "SELECT id AS rep FROM range(0, 200)" if e == "s" else "SELECT range AS rep FROM range(0, 200)"
-    clusters = _CLUSTERS.replace("BASE", f"({_scored(e, 0.0)})").replace("CAND", f"({_scored(e, 1.5)})")
-    return _BOOT.replace("UNIT", unit).replace("REPS", reps).replace("(CLUSTERS) q", "c q").replace("JOIN (CLUSTERS) t", "JOIN c t").replace("\nSELECT rep", f"\nWITH c AS ({clusters})\nSELECT rep", 1)
-
-
-both("hash_bootstrap", _boot("s"), _boot("d"))
-_BOOT_CI = {e: f"SELECT round(PCT0.025), 6) AS low, round(PCT0.975), 6) AS high, round((1 + SUM(CASE WHEN delta <= 0 THEN 1 ELSE 0 END)) / CAST(count(*) + 1 AS DOUBLE), 6) AS p FROM ({_boot(e)}) z" for e in "sd"}
-both("paired_delta_ci", _BOOT_CI["s"].replace("PCT", "percentile(delta, "), _BOOT_CI["d"].replace("PCT", "quantile_cont(delta, "))
 both("holm", """
 SELECT name, round(least(1.0E0, max(adj) OVER (ORDER BY p, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS adjusted FROM (
   SELECT name, p, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) * p AS adj FROM (
@@ -347,8 +277,6 @@ SELECT category, available, least(available, QUOTA) AS quota FROM (
       SUM(least(available, 16)) OVER (ORDER BY available, category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
     FROM (SELECT p_brand AS category, count(*) AS available FROM {part} GROUP BY p_brand) a) b) c"""
 both("fair_quotas", _QUOTA.replace("QUOTA", "CAST(floor(remaining / n_left) AS BIGINT)"))
-_DIGEST = "SELECT count(*) AS n, lower(min(h)) AS low, lower(max(h)) AS high FROM (SELECT SHA AS h FROM {emails}) x"
-both("table_digest", _DIGEST.replace("SHA", "sha2(concat_ws('|', email_id, date, subject, body), 256)"), _DIGEST.replace("SHA", "sha256(concat_ws('|', email_id, date, subject, body))"))
 both("medoid_centroid", """
 WITH m AS (SELECT p_brand AS category, p_partkey AS item, ln(1 + p_retailprice) AS x, ln(1.0E0 + p_size) AS y FROM {part}),
 c AS (SELECT category, avg(x) AS cx, avg(y) AS cy FROM m GROUP BY category)

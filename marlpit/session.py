@@ -106,7 +106,7 @@ SMALL = 64 << 20  # bytes up to which a table may be broadcast
 
 def broadcast_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``, the check made before anything is broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame) -> DataFrame:
