@@ -63,23 +63,27 @@ def manifest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
-def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): the lines of a file or folder that are not blank, with file names and line numbers from 1.
+def lines_of(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, line, value): the lines of files or folders that are not blank, with file names and line numbers from 1.
 
-    A file is read by one task at a time, as its line numbers must be; many files are read in parallel.
+    Numbers make a file one task's work; use it where lines must be named, and split reading elsewhere.
     """
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    raw = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     return raw.filter(F.trim("value") != "").select("file", (F.col("line") + 1).alias("line"), F.rtrim("value", F.lit("\r")).alias("value"))
 
 
 def malformed_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """(file, line): where a file breaks its schema: no JSON object, or a field that the schema does not have.
+    """(file, line): where a file breaks its schema: no JSON object, or not exactly the schema's fields.
 
-    The exact field set is enforced: a missing field counts as broken too.
+    All lines are checked in a split scan; only files with a broken line are read again to number it.
     """
     names = F.array(*map(F.lit, sorted(schema.fieldNames())))
-    x = lines_of(spark, path).withColumn("keys", F.array_sort(F.json_object_keys("value")))
-    return x.filter(F.col("keys").isNull() | (F.col("keys") != names)).select("file", "line")
+    keys = F.array_sort(F.json_object_keys("value"))
+    broken = (F.trim("value") != "") & (keys.isNull() | (keys != names))
+    files = [r["file"] for r in spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(broken).select("file").distinct().collect()]  # names of broken files
+    if not files:
+        return spark.createDataFrame([], "file string, line int")
+    return lines_of(spark, *files).filter(broken).select("file", "line")
 
 
 def returned_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,10 @@ import pytest
 
 from marlpit.operators.statistics import bootstrap_deltas, gate, match_kinds, mcnemar, mcnemar_p, noise_floor, paired_bootstrap
 from marlpit.sources.jsonl import EMAILS, first_filled, manifest, read_jsonl, violations, write_jsonl
-from marlpit.streaming.events import append_once, first_within, sessions, windowed_counts
+from pyspark.sql import functions as F
+
+from marlpit.operators.ranking import pending
+from marlpit.streaming.events import append_once, checkpointed, first_of_each, first_within, sessions, windowed_counts
 
 
 def test_jsonl_round_trip_and_violations(spark, tmp_path):
@@ -115,4 +118,21 @@ def test_streams(spark, tmp_path):
     sink = append_once(str(tmp_path / "out"), ["id"])
     sink(df, 0)
     sink(df, 0)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    sink(df.filter("id = 2"), 1)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 5 and first_of_each(out, ["id"]).count() == 4
+
+
+def test_checkpointed_work(spark, tmp_path):
+    df, seen = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "id long, t string"), []
+
+    def work(x):
+        seen.append(x.count())
+        return x.withColumn("n", F.length("t"))
+
+    path = str(tmp_path / "scores")
+    assert checkpointed(spark, path, df, ["id"], lambda x: work(x.filter("id < 4"))).count() == 4
+    assert checkpointed(spark, path, df, ["id"], work).count() == 10 and seen == [4, 6]
+    with pytest.raises(ValueError):
+        checkpointed(spark, path, df.limit(3), ["id"], work)
+    assert pending(df, df.filter("id < 3").withColumn("x", F.lit(1)), ["id"]).count() == 7
