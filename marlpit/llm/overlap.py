@@ -20,7 +20,7 @@ PHRASE = 3  # words of the shortest phrase that counts as returned when a pair i
 SHARE = 0.9  # share of the words of one record that returns in the other
 NEED = 32  # words, besides those that a match may lack, that a record asks for; more give fewer candidates and lose none
 CELLS = 1 << 20  # cells of the phrase counts, whatever the size of the input; they only steer which words are asked for
-BLOCK = 1 << 16  # classes whose questions are broadcast together
+BLOCK = 1 << 14  # classes whose questions are broadcast together
 
 
 def lines_of(text: str | None) -> list[list[str]]:
@@ -96,22 +96,21 @@ class Questions:
     """Questions of a block of classes by phrase; ``answer`` gives the classes of which a text covers as many asked words as they need."""
 
     def __init__(self, form: np.ndarray, side: np.ndarray, need: np.ndarray, asked: np.ndarray, sizes: np.ndarray, g: np.ndarray, first: np.ndarray, width: np.ndarray) -> None:
-        self.form, self.need, self.asked, self.sides = form, need, asked.astype(np.int64), {}
-        entry = np.repeat(np.arange(len(form)), sizes)
-        for s in (1, 2, 3):
-            mine = np.flatnonzero(((side | s) == 3)[entry])
-            mine = mine[np.argsort(g[mine], kind="stable")]
-            known, start = np.unique(g[mine], return_index=True)
-            self.sides[s] = known, np.append(start, len(mine)), entry[mine], first[mine].astype(np.int64), width[mine].astype(np.int64)
+        self.form, self.side, self.need, self.asked = form, side.astype(np.int8), need, asked.astype(np.int64)
+        order = np.argsort(g, kind="stable")
+        self.known, start = np.unique(g[order], return_index=True)
+        self.start = np.append(start, len(order))
+        self.entry, self.first, self.width = np.repeat(np.arange(len(form), dtype=np.int32), sizes)[order], first[order], width[order]
 
     def answer(self, side: int, grams: np.ndarray) -> np.ndarray:
-        known, start, entry, first, width = self.sides[side]
+        known, start, entry, first, width = self.known, self.start, self.entry, self.first, self.width
         if not len(known):
             return self.form[:0]
         i = np.minimum(np.searchsorted(known, grams), len(known) - 1)
         i = i[known[i] == grams]
         n = start[i + 1] - start[i]
         at = np.repeat(start[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = at[(self.side[entry[at]] | side) == 3]
         who = entry[at]
         at = at[(np.bincount(who, width[at], len(self.need)) >= self.need)[who]]  # phrases overlap, so this counts words up to three times
         if not len(at):
@@ -248,7 +247,7 @@ def _answers(hashed: DataFrame, asked: DataFrame) -> DataFrame:
     t = asked.toArrow()
     flat = [t[c].combine_chunks().flatten().to_numpy() for c in ("g", "first", "width")]
     sizes = pc.list_value_length(t["g"].combine_chunks()).to_numpy().astype(np.int64)
-    block = hashed.sparkSession.sparkContext.broadcast((*(t[c].to_numpy() for c in ("form", "side", "need", "asked")), sizes, *flat))
+    block = hashed.sparkSession.sparkContext.broadcast((*(t[c].to_numpy() for c in ("form", "side", "need", "asked")), sizes, flat[0], flat[1], flat[2].astype(np.int8)))
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Questions(*block.value)
