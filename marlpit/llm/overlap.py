@@ -20,7 +20,7 @@ PHRASE = 3  # words of the shortest phrase that counts as returned when a pair i
 SHARE = 0.9  # share of the words of one record that returns in the other
 NEED = 32  # words, besides those that a match may lack, that a record asks for; more give fewer candidates and lose none
 CELLS = 1 << 20  # cells of the phrase counts, whatever the size of the input; they only steer which words are asked for
-BLOCK = 1 << 14  # classes whose questions are broadcast together
+BLOCK = 1 << 15  # classes whose questions are broadcast together
 
 
 def lines_of(text: str | None) -> list[list[str]]:
