@@ -61,6 +61,13 @@ def short_values(values: ColumnOrName, limit: int = 200) -> Column:
     return F.map_filter(_c(values), lambda k, v: v.isNotNull() & (F.length(v) <= limit))
 
 
+def scalar_entries(details: ColumnOrName, limit: int = 200) -> Column:
+    """Of a JSON object those entries whose value is a text or a number of at most ``limit`` characters; an empty map for anything else."""
+    m = F.from_json(_c(details), "map<string,string>", {"mode": "PERMISSIVE"})
+    kept = F.map_filter(m, lambda k, v: v.isNotNull() & (F.length(v) <= limit) & ~v.rlike(r"^\s*[\[{]") & ~v.isin("true", "false"))
+    return F.coalesce(kept, F.create_map().cast("map<string,string>"))
+
+
 def describe(name: ColumnOrName, category: ColumnOrName, city: ColumnOrName) -> Column:
     """``name (category, city)``, without the city where there is none."""
     where = F.when(F.coalesce(_c(city), F.lit("")) != "", F.concat(F.lit(", "), _c(city))).otherwise(F.lit(""))

@@ -52,6 +52,15 @@ def first_filled(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*[F.when(~c.isin("", "\\N", "-"), c) for c in have]) if have else F.lit(None).cast("string")
 
 
+def tolerant(df: DataFrame, wanted: dict[str, tuple[str, ...]], required: tuple[str, ...] = ()) -> DataFrame:
+    """The wanted columns of a table of unknown make: each from the first candidate column that holds a value.
+
+    Rows without a required value are left out; columns that nobody wants too.
+    """
+    out = df.select(*[first_filled(df, *names).alias(c) for c, names in wanted.items()])
+    return out.dropna(subset=list(required)) if required else out
+
+
 def write_jsonl(df: DataFrame, path: str, *order: str) -> None:
     """A folder of JSON-lines files, rows in ``order`` where asked for; the folder is swapped in when it is whole."""
     _replace(df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df, path)

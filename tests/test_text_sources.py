@@ -211,3 +211,30 @@ def test_no_registered_sql_plan_has_a_cartesian_product(spark):
                 plan = f(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
                 assert "CartesianProduct" not in plan, name
     assert len(entry.queries()) > 150
+
+
+def test_extension_points(spark):
+    from marlpit.operators import extensions as ex
+
+    df = spark.createDataFrame([(1, "We really liked the warm soup. Bye."), (2, "We really liked the warm soup. Bye."), (3, None), (4, "tiny")], "id int, t string")
+
+    def extract(texts):
+        return [("likes soup", "liked the warm soup") if "soup" in x else ("made up", "never said at all") for x in texts]
+
+    got = {r["id"]: r["fact"] for r in ex.with_facts(df, "t", extract).collect()}
+    assert got[1]["fact"] == "likes soup" and got[1]["evidence"] == "liked the warm soup" and got[2]["own"] and got[4]["fact"] is None and got[4]["evidence"] == "tiny" and got[3]["evidence"] == ""
+    assert {r["id"]: r["state"] for r in ex.rendered(df, "t", lambda x: [v.upper() for v in x]).collect()}[4] == "TINY"
+    q = spark.createDataFrame([("r", "a", "p", ["x", "y"])], "record_id string, qid string, prompt string, keys array<string>")
+    assert ex.predicted(q, "prompt", lambda p, k: [[0.5] * len(x) for x in k], "mine").first()["logits"] == [0.5, 0.5]
+    with pytest.raises(Exception, match="finite"):
+        ex.predicted(q, "prompt", lambda p, k: [[float("nan"), 1.0] for _ in k], "mine").collect()
+    n = ex.counted_tokens(df, "t", lambda x: x.split())
+    assert {r["id"]: r["tokens"] for r in n.collect()} == {1: 7, 2: 7, 3: None, 4: 1} and ex.without_long(n, "tokens", 3).count() == 2
+
+
+def test_tolerant_reading(spark):
+    df = spark.createDataFrame([("-", "b1", '{"a":"x","n":5,"l":[1],"o":{"k":1},"t":true,"z":null}'), ("a2", None, "no json"), (None, " ", None)], "asin string, item_id string, details string")
+    got = jsonl.tolerant(df, {"item": ("item_id", "asin", "missing"), "details": ("details",)}, ("item",)).collect()
+    assert [r["item"] for r in got] == ["b1", "a2"]
+    entries = [r[0] for r in df.select(tx.scalar_entries("details")).collect()]
+    assert entries == [{"a": "x", "n": "5"}, {}, {}]
