@@ -82,7 +82,7 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def _sample(spark: SparkSession, d: str) -> DataFrame:
     users = table(spark, d, "users").select(canonical_user("user_id").alias("user_id"), "joined_at")
-    return frozen_batch_sample(users, "user_id", "joined_at", 0.1).withColumn("batch", F.date_format("batch", "yyyy-MM"))
+    return cut(frozen_batch_sample(users, "user_id", "joined_at", 0.1).withColumn("batch", F.date_format("batch", "yyyy-MM")), "p5")
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
