@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from marlpit.functions.memo import Memo
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -13,12 +15,10 @@ class WordHash:
     """64-bit hash of a word; the table of known words is emptied when it is full, so it stays bounded."""
 
     def __init__(self, room: int = 300_000) -> None:
-        self.known: dict[str, int] = {}
-        self.room = room
+        self.known = Memo(room)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > self.room:
-            self.known.clear()
+        self.known.trim()
         known = self.known
         out = []
         for w in words:
