@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.functions.fold import fold
+from marlpit.functions.memo import Memo
 from marlpit.session import spread
 
 LABELLED = 12_000  # bound on the labelled documents a model is fitted on
@@ -55,12 +56,10 @@ class Model:
     def __init__(self, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         self.bias, self.w, self.v = -3.0, np.zeros(WIDTH, dtype=np.float32), rng.normal(0, 0.03, (WIDTH, RANK)).astype(np.float32)
-        self.known: dict[str, int] = {}
-        self.scored: dict[str, float] = {}
+        self.known, self.scored = Memo(400_000), Memo(500_000)
 
     def ids(self, sentence: str) -> np.ndarray:
-        if len(self.known) > 400_000:
-            self.known.clear()
+        self.known.trim()
         out = []
         for t in terms(sentence):
             i = self.known.get(t)
@@ -113,12 +112,12 @@ class Model:
         Scores of sentences are remembered (a bounded table), so what many documents quote is scored once.
         """
         out = np.zeros(len(texts))
-        if len(self.scored) > 500_000:
-            self.scored.clear()
+        self.scored.trim()
         parts = [sentences(t) for t in texts]
         fresh = list(dict.fromkeys(s for p in parts for s in p if s not in self.scored))
         rows = [(s, ids) for s in fresh if len(ids := self.ids(s))]
-        self.scored.update(dict.fromkeys(fresh, 0.0))
+        for s in fresh:
+            self.scored[s] = 0.0
         if rows:
             sizes = np.array([len(ids) for _, ids in rows])
             margin = self.raw(np.concatenate([ids for _, ids in rows]), np.cumsum(sizes) - sizes)
@@ -191,7 +190,7 @@ def fit_abuse(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, score) of every document; null, empty and wordless texts score 0. The model has a fixed size."""
-    model.known, model.scored = {}, {}
+    model.known, model.scored = Memo(400_000), Memo(500_000)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

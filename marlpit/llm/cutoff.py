@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.functions.bitmap import KeyBits, key_bits
+from marlpit.functions.memo import Memo
 from marlpit.functions.shingles import MinHasher, mix
 from marlpit.session import cut, spread
 
@@ -46,12 +47,11 @@ def headed(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
         return mix(keys ^ mix(heads + np.uint64(0x9E3779B97F4A7C15)))
 
 
-class Tokens(dict):
+class Tokens(Memo):
     """Whitespace tokens to positions in the tables of word hashes, sentence ends and word heads; emptied between batches when full."""
 
     def __init__(self, room: int = 200_000) -> None:
-        super().__init__()
-        self.room = room
+        super().__init__(room)
         self.hashes: list[int] = []
         self.stops: list[bool] = []
         self.heads: list[int] = []
@@ -66,10 +66,11 @@ class Tokens(dict):
         self.stops.append(token.rstrip("\"')]}”’»*_")[-1:] in ".!?。！？।…")
         return n
 
-    def trim(self) -> None:
-        if len(self) > self.room:
-            self.clear()
+    def trim(self) -> bool:
+        full = super().trim()
+        if full:
             self.hashes, self.stops, self.heads, self.raws = [], [], [], []
+        return full
 
 
 EDGE = np.uint64(0x5851F42D4C957F2D)  # stands for the start of a sentence
@@ -290,8 +291,7 @@ class Scan:
 
         Texts of a class have the same words as far as they decide about the copies that ask for the key; one stands for all.
         """
-        if len(self.tokens) > self.tokens.room:
-            self.tokens.trim()
+        if self.tokens.trim():
             self.prefixes = []
         get = self.tokens.__getitem__
         flat: list[int] = []

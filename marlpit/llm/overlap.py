@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marlpit.functions.fold import words
 from marlpit.functions.ids import canonical_user
+from marlpit.functions.memo import Memo
 from marlpit.functions.shingles import WordHash, line_ngrams
 from marlpit.session import cut, spread
 
@@ -125,16 +126,15 @@ class Questions:
         return self.form[who[covered >= self.need[who]]]
 
 
-def containment(a: str, b: str, known: dict | None = None) -> float:
+def containment(a: str, b: str, known: Memo | None = None) -> float:
     """Share of the words of one body that stand in the other in the same phrases, the larger of both directions.
 
     A phrase is a run of ``PHRASE`` words of a line (a whole line when it is shorter) that the other body has anywhere;
     so letter case, punctuation, spacing, line order and lost line breaks do not matter, while the same words in another
     order do. ``known`` keeps what was made of a body for its further pairs; it is emptied when it is full.
     """
-    known = {} if known is None else known
-    if len(known) > 3000:
-        known.clear()
+    known = Memo() if known is None else known
+    known.trim()
     for body in (a, b):
         if body not in known:
             lines = [x.split(" ") for x in body.split("\n")]
@@ -234,7 +234,7 @@ def _class_pairs(classes: DataFrame, share: float) -> DataFrame:
     )
 
     def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
+        known = Memo(3000, 5_000_000)
         for b in batches:
             keep = [containment(x, y, known) >= share for x, y in zip(b["b1"], b["b2"])]
             yield b.loc[keep, ["f1", "f2"]]
