@@ -189,7 +189,8 @@ class Field:
         for m in _WORD.finditer(text):
             word = m.group()
             low = word.lower()
-            role = "t" if low in TITLES else "i" if len(word) == 1 and word.isupper() else "p" if proper(low) and low not in CALENDAR else ""
+            initial = len(word) == 1 and word.isupper() and (word != "I" or text[m.end() : m.end() + 1] == ".")  # else the pronoun
+            role = "t" if low in TITLES else "i" if initial else "p" if proper(low) and low not in CALENDAR else ""
             if role:
                 marks.append((m.start(), m.end(), role, low))
         out = []
@@ -377,7 +378,7 @@ def examples(seed: int = 11, n: int = 2500) -> list[tuple[str, list[tuple[int, i
         lambda: f"It weighs {d(2)}.{d(2)} kg and measures {d(2)} x {d(2)} cm.", lambda: f"Follow @{r.choice(family).lower()} for offers.", lambda: f"Take gate {d(1)} or table {d(2)} at the court.", lambda: "I drive 20 minutes a day on the close road.",
         lambda: f"We went to {r.choice(town)} with {r.choice(given)} and a friend.", lambda: f"serial ZX{d(7)}", lambda: f"voucher {d(8)}B", lambda: f"invoice {d(3)}-{d(4)}", lambda: f"ref {d(3)}-{d(3)}-{d(4)}",
     ]
-    proper = {w.lower() for w in given + family + town + suffix} | {w.lower() for x in street for w in x.split()} | {p for b in brand for p in b.split()} | {p for w in family for p in [w.lower()]}
+    proper = {w.lower() for w in given + family + town + suffix} | set("about signed today please our merci".split()) | {w.lower() for x in street for w in x.split()} | {p for b in brand for p in b.split()} | {p for w in family for p in [w.lower()]}
     out = []
     for _ in range(n):
         text, gold = "", []
