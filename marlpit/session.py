@@ -90,13 +90,13 @@ def drop_cut(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
+def spread(df: DataFrame, *keys: str, per_core: int = 3, least: int = 2) -> DataFrame:
     """Give CPU-heavy Python stages enough tasks: repartition by ``keys`` when the input has fewer tasks than cores need.
 
-    Large inputs already have many splits and pass through without a shuffle.
+    Large inputs already have many splits (``least`` for each core) and pass through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    if df.rdd.getNumPartitions() >= least * cores:
         return df
     return df.repartition(per_core * cores, *keys)
 
