@@ -182,6 +182,19 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, train: str
     Defined results: null, empty and wordless texts never match; a null split is no split; repeated rows of an id count
     once; pairs within train or within evaluation splits are not asked for; empty tables give no rows.
     """
+    members, linked = cross_split_classes(df, key, text, split, train, share)
+    left = members.filter("side = 1").select(F.col("form").alias("f1"), F.col("k").alias("a"))
+    right = members.filter("side = 2").select(F.col("form").alias("f2"), F.col("k").alias("b"))
+    out = linked.join(left, "f1").join(right, "f2").filter("a <> b")
+    return out.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
+
+
+def cross_split_classes(df: DataFrame, key: str, text: str, split: str, train: str = "train", share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+    """Membership (k, side, form), side 1 for train, and links (f1, f2) of a class with train records to one with evaluation records.
+
+    This is the result of :func:`cross_split_pairs` before copies are expanded: it grows with the records, not with the
+    product of copies on both sides. A class of exact copies on both sides is linked to itself.
+    """
     rows = df.select(
         F.col(key).cast("string").alias("k"), F.when(F.col(split) == train, 1).when(F.col(split).isNotNull(), 2).alias("side"), F.col(text).alias("t")
     ).filter("k is not null and side is not null and t is not null")
@@ -190,11 +203,32 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, train: str
     classes = cut(ready.groupBy("form").agg(F.bit_or("side").alias("side"), F.min_by("body", "k").alias("body")), "overlap")
     pairs = _class_pairs(classes, share)
     same = classes.filter("side = 3").select(F.col("form").alias("f1"), F.col("form").alias("f2"))
-    linked = pairs.unionByName(same).unionByName(pairs.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"))).distinct()
-    left = members.filter("side = 1").select(F.col("form").alias("f1"), F.col("k").alias("a"))
-    right = members.filter("side = 2").select(F.col("form").alias("f2"), F.col("k").alias("b"))
-    out = linked.join(left, "f1").join(right, "f2").filter("a <> b")
-    return out.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
+    both = pairs.unionByName(same).unionByName(pairs.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"))).distinct()
+    side = classes.select("form", "side")
+    of = lambda c, n: side.filter(F.col("side").bitwiseAND(F.lit(n)) != 0).select(F.col("form").alias(c))
+    return members, cut(both.join(of("f1", 1), "f1", "left_semi").join(of("f2", 2), "f2", "left_semi"), "overlap")
+
+
+def state_links(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(k, class_key, n_links) of every evaluation record with a match in train: the smallest key of its class of copies, and
+    how many train records it matches, from the sizes of classes."""
+    own = members.groupBy("form").agg(F.min("k").alias("class_key"))
+    sizes = members.filter("side = 1").groupBy(F.col("form").alias("f1")).agg(F.count_distinct("k").alias("n"))
+    reach = linked.join(sizes, "f1").groupBy(F.col("f2").alias("form")).agg(F.sum("n").alias("n"))
+    eval_rows = members.filter("side = 2").join(reach, "form").join(own, "form")
+    itself = members.filter("side = 1").select("k", F.col("form").alias("f1")).join(linked, "f1").select("k", F.col("f2").alias("form"), F.lit(1).alias("itself")).join(members.filter("side = 2").select("k", "form"), ["k", "form"], "left_semi").distinct()
+    n = F.sum(F.col("n") - F.coalesce("itself", F.lit(0)))  # a key that stands in both splits is no pair with itself
+    return eval_rows.join(itself, ["k", "form"], "left").groupBy("k").agg(F.min("class_key").alias("class_key"), n.alias("n_links")).filter("n_links > 0")
+
+
+def user_links(draft: DataFrame, key: str = "state_id", user: str = "user_id", split: str = "shard", train: str = "train") -> DataFrame:
+    """(k, class_key, n_links) of every evaluation draft whose user has drafts in train: the user, and how many those are."""
+    d = draft.select(F.col(key).alias("k"), canonical_user(user).alias("u"), F.col(split).alias("s")).dropna().distinct()
+    t = d.filter(F.col("s") == train).select("u", "k").distinct()
+    sizes = t.groupBy("u").agg(F.count("*").alias("n"))
+    e = d.filter(F.col("s") != train).select("u", "k").distinct().join(sizes, "u").join(t.withColumn("itself", F.lit(1)), ["u", "k"], "left")
+    n = F.sum(F.col("n") - F.coalesce("itself", F.lit(0)))
+    return e.groupBy("k").agg(F.min("u").alias("class_key"), n.alias("n_links")).filter("n_links > 0")
 
 
 def _class_pairs(classes: DataFrame, share: float) -> DataFrame:
@@ -219,7 +253,7 @@ def _class_pairs(classes: DataFrame, share: float) -> DataFrame:
                     out.append((form, side, *asked))
             yield pd.DataFrame(out, columns=["form", "side", "need", "asked", "g", "first", "width"])
 
-    asked = cut(spread(hashed, "form").mapInPandas(ask, "form bigint, side int, need int, asked int, g array<bigint>, first array<int>, width array<int>"), "overlap")
+    asked = cut(spread(hashed, "form", least=1).mapInPandas(ask, "form bigint, side int, need int, asked int, g array<bigint>, first array<int>, width array<int>"), "overlap")
     blocks = -(-asked.count() // BLOCK)
     hits = None
     for block in range(blocks):
@@ -260,7 +294,7 @@ def _answers(hashed: DataFrame, asked: DataFrame) -> DataFrame:
                 f2.append(np.maximum(other, form))
             yield pd.DataFrame({"f1": np.concatenate(f1) if f1 else [], "f2": np.concatenate(f2) if f2 else []}, dtype=np.int64)
 
-    return spread(hashed, "form").select("form", "side", "phrases", "small").mapInPandas(scan, "f1 bigint, f2 bigint")
+    return spread(hashed, "form", least=1).select("form", "side", "phrases", "small").mapInPandas(scan, "f1 bigint, f2 bigint")
 
 
 def cross_split_users(draft: DataFrame, key: str = "state_id", user: str = "user_id", split: str = "shard", train: str = "train") -> DataFrame:
@@ -276,12 +310,7 @@ def cross_split_users(draft: DataFrame, key: str = "state_id", user: str = "user
     return out.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
 
 
-def overlap_counts(pairs: DataFrame, df: DataFrame, key: str, split: str, source: str, train: str = "train") -> DataFrame:
-    """(split, source, n_pairs, n_records): overlaps by evaluation split and source of the evaluation record."""
-    r = df.select(F.col(key).alias("k"), F.col(split).alias("split"), F.col(source).alias("source")).filter("k is not null").distinct()
-    ends = pairs.select("key_a", "key_b", F.explode(F.array("key_a", "key_b")).alias("k"))
-    return (
-        ends.join(r.filter(F.col("split") != train), "k")
-        .groupBy("split", "source")
-        .agg(F.countDistinct("key_a", "key_b").alias("n_pairs"), F.countDistinct("k").alias("n_records"))
-    )
+def overlap_counts(links: DataFrame, df: DataFrame, key: str, split: str, source: str, train: str = "train") -> DataFrame:
+    """(split, source, n_pairs, n_records): overlaps by evaluation split and source of the evaluation record, from its number of links."""
+    r = df.select(F.col(key).cast("string").alias("k"), F.col(split).alias("split"), F.col(source).alias("source")).filter(F.col("split") != train).distinct()
+    return links.join(r, "k").groupBy("split", "source").agg(F.sum("n_links").alias("n_pairs"), F.count_distinct("k").alias("n_records"))

@@ -14,7 +14,7 @@ from marlpit.llm.bpe import encode_table
 from marlpit.llm.cutoff import cut_found, cut_rates, cut_rows
 from marlpit.llm.groups import draft_groups, proportional_splits
 from marlpit.llm.leak import leak_counts, leaks
-from marlpit.llm.overlap import cross_split_pairs, cross_split_users, overlap_counts
+from marlpit.llm.overlap import cross_split_classes, cross_split_pairs, cross_split_users, overlap_counts, state_links, user_links
 from marlpit.llm.pii import brand_names, find_personal
 from marlpit.llm.sample import frozen_batch_sample, rows_of_sample
 from marlpit.llm.topn import top_n
@@ -58,16 +58,22 @@ def p2_users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps per evaluation shard and record source; user overlaps by the source of the draft's record."""
+    """Overlaps per evaluation shard and record source; user overlaps by the source of the draft's record. No pair is formed."""
     records = table(spark, d, "records")
-    pairs = cut(cross_split_pairs(records, "id", "state", "shard"), "p2")
-    state = overlap_counts(pairs, records, "id", "shard", "source").withColumn("kind", F.lit("state"))
+    state = overlap_counts(state_links(*cross_split_classes(records, "id", "state", "shard")), records, "id", "shard", "source").withColumn("kind", F.lit("state"))
     of = records.select(F.col("meta.state_id").alias("state_id"), "source").filter("state_id is not null").distinct()
     draft = table(spark, d, "draft").select("state_id", "shard").distinct().join(of, "state_id", "left")
-    user = overlap_counts(cross_split_users(table(spark, d, "draft")), draft, "state_id", "shard", "source").withColumn("kind", F.lit("user"))
+    user = overlap_counts(user_links(table(spark, d, "draft")), draft, "state_id", "shard", "source").withColumn("kind", F.lit("user"))
     return state.unionByName(user).select("kind", "split", "source", "n_pairs", "n_records")
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per evaluation record or draft with a match in train: its class of copies (or its user) and its number of links."""
+    state = state_links(*cross_split_classes(table(spark, d, "records"), "id", "state", "shard")).withColumn("kind", F.lit("state"))
+    user = user_links(table(spark, d, "draft")).withColumn("kind", F.lit("user"))
+    return state.unionByName(user).select("kind", F.col("k").alias("key"), "class_key", "n_links")
+
+
 _PERSONAL = [("interactions", "row_id", "text"), ("emails", "email_id", "body"), ("records", "id", "state")]
 
 
@@ -148,7 +154,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_rates, p2_found, p2_users, p2_counts, p4_found, p4_redacted, p5_sample, p5_users, p6_found, p6_ranked,
+        p1_found, p1_rates, p2_found, p2_users, p2_counts, p2_classes, p4_found, p4_redacted, p5_sample, p5_users, p6_found, p6_ranked,
         p7_found, p7_splits, p8_ids, p9_found, p9_counts, p10_found, p10_scores, p10_rates,
     )
 }

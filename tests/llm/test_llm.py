@@ -13,7 +13,7 @@ from marlpit.llm import abuse, cutoff, leak, pii
 from marlpit.llm.bpe import Encoder, encode_table, load_ranks
 from marlpit.llm.groups import connected_components, draft_groups, proportional_splits
 from marlpit.llm.leak import leak_counts, leaks
-from marlpit.llm.overlap import containment, cross_split_pairs, cross_split_users, lines_of, overlap_counts
+from marlpit.llm.overlap import containment, cross_split_classes, cross_split_pairs, cross_split_users, lines_of, overlap_counts, state_links, user_links
 from marlpit.llm.sample import frozen_batch_sample, rows_of_sample
 from marlpit.llm.topn import top_n
 
@@ -255,7 +255,8 @@ def test_cross_split_pairs_against_brute_force(spark):
     }
     got = {tuple(x) for x in cross_split_pairs(df, "id", "state", "shard").collect()}
     assert got == want and len(want) >= 25 and ("x1", "x2") in got
-    n = overlap_counts(cross_split_pairs(df, "id", "state", "shard"), df, "id", "shard", "source").agg(F.sum("n_records")).first()[0]
+    links = state_links(*cross_split_classes(df, "id", "state", "shard"))
+    n = overlap_counts(links, df, "id", "shard", "source").agg(F.sum("n_records")).first()[0]
     assert n == len({x for p in want for x in p if side[x] != "train"})
     assert cross_split_pairs(df.limit(0), "id", "state", "shard").count() == 0
 
@@ -285,6 +286,29 @@ def test_cross_split_users(spark):
     rows = [("a", "U-1", "train"), ("b", "u1 ", "dev"), ("c", "u1", "dev"), ("d", None, "dev"), ("e", "u2", "train"), ("b", "u1", "dev"), ("f", "u1", None)]
     got = {tuple(x) for x in cross_split_users(spark.createDataFrame(rows, "state_id string, user_id string, shard string")).collect()}
     assert got == {("a", "b"), ("a", "c")}
+    rows += [("g", "u1", "train"), ("b", "u1", "train")]
+    df = spark.createDataFrame(rows, "state_id string, user_id string, shard string")
+    links = {x["k"]: x["n_links"] for x in user_links(df).collect()}
+    assert links == {"b": 2, "c": 3} and user_links(df.limit(0)).count() == 0
+
+
+def test_links_of_copies_equal_the_expanded_pairs(spark):
+    """Many copies on both sides, near-copies, and a record in both splits: links are counted from class sizes."""
+    r = random.Random(21)
+    base = [_sentence(r, 30) for _ in range(5)]
+    rows = [(f"t{i:02d}{j}", "train", b) for i, b in enumerate(base) for j in range(4)] + [(f"e{i:02d}{j}", "dev", b.upper()) for i, b in enumerate(base) for j in range(3)]
+    rows += [(f"n{i}", "test", " ".join(b.split()[:-1])) for i, b in enumerate(base)] + [("both", "train", base[0]), ("both", "dev", base[0]), ("none", "dev", None), ("lone", "dev", _sentence(r, 20))]
+    df = spark.createDataFrame(rows, "id string, shard string, state string")
+    pairs = cross_split_pairs(df, "id", "state", "shard").collect()
+    want: dict = {}
+    evals = {k for k, s, _ in rows if s != "train"}
+    trains = {k for k, s, _ in rows if s == "train"}
+    for a, b in pairs:
+        for e, t in ((a, b), (b, a)):
+            if e in evals and t in trains:
+                want[e] = want.get(e, 0) + 1
+    got = {x["k"]: x["n_links"] for x in state_links(*cross_split_classes(df, "id", "state", "shard")).collect()}
+    assert got == want and got["e000"] == 5 and got["both"] == 4 and got["n1"] == 4
 
 
 # ---- cut texts
