@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.ids import canonical_user, hash_hex
+from marlpit.functions.text import evidence_span
 from marlpit.operators import ranking as rk
-from marlpit.operators.release import find_spans, spans_tally
+from marlpit.operators.release import find_spans, released, spans_tally
 from marlpit.operators.statistics import match_counts, match_kinds
 from marlpit.plans.evaluation_queries import _questions
+from marlpit.plans.text_queries import KEY
 from marlpit.plans.views import ansi_sql, view
 from marlpit.session import small
 from marlpit.sources.tables import table
@@ -269,3 +271,17 @@ def rule_spans(spark: SparkSession, d: str) -> DataFrame:
         one = spans_tally(find_spans(table(spark, d, t), key, c)).withColumn("tbl", F.lit(t))
         out = one if out is None else out.unionByName(one)
     return out.select("tbl", "kind", "hits", "values", "texts")
+
+
+#: Made-up names that stand for real ones in the released test records; a release brings its own lists and key.
+GIVEN, FAMILY = ("Nora", "Ilse", "Tomas", "Edda", "Karim", "Suri"), ("Vale", "Marsh", "Okon", "Lindt", "Arbor", "Quist")
+
+
+@query()
+def released_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records with their personal values replaced alike in text and anchors, option texts untouched, and whether the contract still holds."""
+    r = table(spark, d, "records").filter("id is not null").select("id", "state", "questions").dropDuplicates(["id"])
+    options = F.flatten(F.transform("questions", lambda q: F.flatten(F.transform(q["criteria"], lambda c: F.array_compact(F.array(c["key"], c["desc"]))))))
+    rows = r.select("id", "state", F.array_compact(F.array(F.nullif(evidence_span("state"), F.lit("")))).alias("need"), options.alias("keep"))
+    out = released(rows, "id", "state", "need", "keep", KEY, GIVEN, FAMILY)
+    return out.select("id", "replaced", "broken", F.length("text").alias("chars"))

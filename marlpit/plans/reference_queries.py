@@ -23,18 +23,6 @@ def both(name: str, sql: str, ansi: str | None = None) -> None:
     SQL[name] = ansi_sql(ansi if ansi is not None else sql)
 
 
-def frame(name: str, ansi: str | None) -> Callable[[Query], Query]:
-    """Register a DataFrame query and its SQL check."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if ansi is not None:
-            SQL[name] = ansi_sql(ansi)
-        return f
-
-    return add
-
-
 # ---- latest row per key, population rules, samples, time and user splits (W, A, K, L)
 
 both("dedupe_latest", "SELECT user_id, item_id, ts, rating, has_text, k1 FROM ({latest}) v")
