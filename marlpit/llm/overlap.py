@@ -47,13 +47,18 @@ def _hashed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Phrases of each body in order, words of its lines, and its shorter n-grams, which short lines of others may be."""
     hashed = WordHash()
     for b in batches:
-        out = []
-        for form, side, body in zip(b["form"], b["side"], b["body"]):
-            lines = [x.split(" ") for x in body.split("\n")]
-            flat, lens = hashed([w for line in lines for w in line]), [len(w) for w in lines]
-            small = np.unique(np.concatenate([line_ngrams(flat, lens, n)[0] for n in range(1, PHRASE)]))
-            out.append((form, side, lens, line_ngrams(flat, lens, PHRASE)[0].view(np.int64), small.view(np.int64)))
-        yield pd.DataFrame(out, columns=["form", "side", "lens", "phrases", "small"])
+        for at in range(0, len(b), 1000):
+            part = b.iloc[at : at + 1000]
+            lines = [[x.split(" ") for x in body.split("\n")] for body in part["body"]]
+            flat, lens = hashed([w for body in lines for line in body for w in line]), [[len(w) for w in body] for body in lines]
+            ends = np.cumsum([sum(n) for n in lens])[:-1]
+            every = [n for body in lens for n in body]
+            grams = []
+            for n in range(1, PHRASE + 1):
+                h, place = line_ngrams(flat, every, n)
+                grams.append(np.split(h.view(np.int64), np.searchsorted(place, ends)))
+            small = [np.unique(np.concatenate(x)) for x in zip(*grams[:-1])]
+            yield pd.DataFrame({"form": part["form"].to_numpy(), "side": part["side"].to_numpy(), "lens": lens, "phrases": grams[-1], "small": small})
 
 
 def spare_words(n: int, share: float) -> int:
@@ -97,21 +102,25 @@ class Questions:
     """Questions of a block of classes by phrase; ``answer`` gives the classes of which a text covers as many asked words as they need."""
 
     def __init__(self, form: np.ndarray, side: np.ndarray, need: np.ndarray, asked: np.ndarray, sizes: np.ndarray, g: np.ndarray, first: np.ndarray, width: np.ndarray) -> None:
-        self.form, self.side, self.need, self.asked = form, side.astype(np.int8), need, asked.astype(np.int64)
-        order = np.argsort(g, kind="stable")
-        self.known, start = np.unique(g[order], return_index=True)
-        self.start = np.append(start, len(order))
-        self.entry, self.first, self.width = np.repeat(np.arange(len(form), dtype=np.int32), sizes)[order], first[order], width[order]
+        self.form, self.need, self.asked = form, need, asked.astype(np.int64)
+        entry = np.repeat(np.arange(len(form), dtype=np.int32), sizes)
+        part = np.array([0, 0, 2, 1], dtype=np.int8)[side][entry]  # of a phrase first the questions of side 1, then of both sides, then of side 2
+        order = np.lexsort((part, g))
+        self.known, start, code = np.unique(g[order], return_index=True, return_inverse=True)
+        n = [np.bincount(code[part[order] == p], minlength=len(self.known)) for p in (0, 1)]
+        begin, both, two, end = start, start + n[0], start + n[0] + n[1], np.append(start[1:], len(order))
+        self.range = {1: (both, end), 2: (begin, two), 3: (begin, end)}  # whom a text of a side answers
+        self.entry, self.first, self.width = entry[order], first[order], width[order]
 
     def answer(self, side: int, grams: np.ndarray) -> np.ndarray:
-        known, start, entry, first, width = self.known, self.start, self.entry, self.first, self.width
+        known, entry, first, width = self.known, self.entry, self.first, self.width
         if not len(known):
             return self.form[:0]
         i = np.minimum(np.searchsorted(known, grams), len(known) - 1)
         i = i[known[i] == grams]
-        n = start[i + 1] - start[i]
+        start, end = self.range[side]
+        n = end[i] - start[i]
         at = np.repeat(start[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at = at[(self.side[entry[at]] | side) == 3]
         who = entry[at]
         at = at[(np.bincount(who, width[at], len(self.need)) >= self.need)[who]]  # phrases overlap, so this counts words up to three times
         if not len(at):
