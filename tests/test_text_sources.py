@@ -122,7 +122,7 @@ def test_spans_and_release(spark):
 
 def test_question_rules(spark):
     crit = lambda *ks: [{"key": k, "desc": None} for k in ks]
-    q = lambda qid, kind, ks, key, idx, soft=None, src="muse/fam": {"qid": qid, "type": kind, "instructions": "i", "criteria": crit(*ks), "label_key": key, "label_idx": idx, "src": src, "soft_label": soft}
+    q = lambda qid, kind, ks, key, idx, soft=None, src="set/fam": {"qid": qid, "type": kind, "instructions": "i", "criteria": crit(*ks), "label_key": key, "label_idx": idx, "src": src, "soft_label": soft}
     soft = lambda *ps: [{"key": k, "p": p} for k, p in ps]
     rows = [
         ("r1", "s", {"c": "own"}, [q("a", "choice", ["x", "y"], "y", None), q("b", "noul", [], "true", None), q("c", "score", ["1", "2", "3"], "3", 2), q("d", "choice", ["x", "y"], "q", None)]),
