@@ -30,6 +30,8 @@ MARKS = re.compile(r"(?:(?:\.{2,}|…)\s*(?:\(more\)|more|read more|see more|see
 LEFTOVER = re.compile(r"(?:�+|&(?:#?\w{0,6})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?|[nrt\"]?)|%[0-9a-fA-F]?|<[/a-zA-Z]{0,5})$")
 _DOTS = re.compile(r"(?:\.{2,}|…)\s*$")
 _ENDED = re.compile(r"[.!?。！？।؟:;)\]}>\"'”’»*~^_|/]$")
+#: What begins a sign-off; capitalised names follow.
+SIGNED = re.compile(r"(?:^|\s)(?:Regards|Cheers|Thanks|Signed|From|Attn|Grüße|Saludos?|saludos?|Merci|Cordialement|Sincerely)[,:]?(?:\s+[A-ZÀ-Þ][\w'’.\-]*,?){1,4}$")
 _STRIP = ".,;:!?\"'()[]{}<>*_~`“”‘’«»¡¿…-–—"
 _NOTHING = np.empty(0, dtype=np.uint64)
 SHIFT = 2  # words around an opening's end with whose heads a key is combined: where the alignment of a short text can end
@@ -228,7 +230,7 @@ class Asked:
         self.tokens, self.openings = Tokens(), Openings()
 
     def __call__(self, forms: list[int], texts: list[str]) -> list[tuple]:
-        """(form, marked, alphabetic last word, short capital word, context keys, band keys, those with the head of the last word, words) of those that may be cut."""
+        """(form, marked, alphabetic last word, short capital word, context keys, band keys, those with the head of the last word, words, signed) of those that may be cut."""
         out, wide, at, heads = [], [], [], []
         self.tokens.trim()
         for form, text in zip(forms, texts):
@@ -237,7 +239,7 @@ class Asked:
             body = text.rstrip()
             left = LEFTOVER.search(body[-12:])
             if MARKS.search(body[-48:]) or left and left.group() not in ("&", "%", "<"):
-                out.append((form, True, False, False, [], [], [], 0))
+                out.append((form, True, False, False, [], [], [], 0, False))
                 continue
             core = _DOTS.sub("", body).rstrip()
             if not core or _ENDED.search(core) or not core[-1].isalnum():
@@ -254,7 +256,7 @@ class Asked:
                 wide.append(info[:size])
                 at.append(len(out))
                 heads.append(head_code(word) if len(word) > 1 and len(info) - 1 - size + len(info) // 10 <= SHIFT else ANY_HEAD)
-            out.append((form, False, lower[-1].isalpha(), last.isupper() and len(last) < 4, list(map(_signed, keys)), [], [], len(info)))
+            out.append((form, False, lower[-1].isalpha(), last.isupper() and len(last) < 4, list(map(_signed, keys)), [], [], len(info), bool(SIGNED.search(core[-80:]))))
         sizes = [np.array([len(x)]) for x in wide]
         starts = np.cumsum([0, *map(len, wide)])[:-1]
         flat = np.array(self.tokens.hashes, dtype=np.uint64)[[n for x in wide for n in x]] if wide else _NOTHING
@@ -459,23 +461,25 @@ def _unterminated() -> Column:
     seen = lambda i: F.col(f"s{i}") + F.col(f"c{i}")
     enough = lambda i: (seen(i) > 1) | (F.col(f"b{i}") >= MIN_SEEN)
     here, longer = F.col("c5"), F.col("c4")
+    half = (longer >= MIN_SEEN) & (seen(1) <= longer / 200) & F.col("alpha") & ~F.col("short")
     return (
-        F.when((here >= MIN_SEEN) & (seen(2) <= here / 50), F.col("b2") <= here / 50)  # only ever the beginning of the word that stands here
+        F.when(F.col("signed"), half)  # names after a sign-off are an end, half a name is none
+        .when((here >= MIN_SEEN) & (seen(2) <= here / 50), F.col("b2") <= here / 50)  # only ever the beginning of the word that stands here
         .when(enough(3), _terminal("s3", "c3", "b3"))
         .when(enough(2), _terminal("s2", "c2", "b2"))
-        .when((longer >= MIN_SEEN) & (seen(1) <= longer / 200) & F.col("alpha"), ~F.col("short"))
+        .when((longer >= MIN_SEEN) & (seen(1) <= longer / 200) & F.col("alpha"), half)
         .when(seen(1) > 1, _terminal("s1", "c1", "b1"))
         .otherwise(False)
     )
 
 
-_ODD = "form bigint, marked boolean, alpha boolean, short boolean, ctx array<bigint>, plain array<bigint>, bands array<bigint>, n int"
+_ODD = "form bigint, marked boolean, alpha boolean, short boolean, ctx array<bigint>, plain array<bigint>, bands array<bigint>, n int, signed boolean"
 
 
 def _asked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ask = Asked()
     for b in batches:
-        yield pd.DataFrame(ask(b["form"].tolist(), b["text"].tolist()), columns=["form", "marked", "alpha", "short", "ctx", "plain", "bands", "n"])
+        yield pd.DataFrame(ask(b["form"].tolist(), b["text"].tolist()), columns=["form", "marked", "alpha", "short", "ctx", "plain", "bands", "n", "signed"])
 
 
 def cut_rows(rows: DataFrame) -> DataFrame:
@@ -511,9 +515,9 @@ def cut_rows(rows: DataFrame) -> DataFrame:
 
     seen = cut(spread(base, "row_key").select("form", "text").mapInPandas(scan, "key bigint, form bigint, s bigint, c bigint, b bigint, cls bigint"), "cutoff")
     counts = seen.filter("c >= 0").groupBy("key").agg(*[F.sum(x).alias(x) for x in "scb"])
-    each = odd.filter("not marked").select("form", "alpha", "short", F.posexplode("ctx").alias("i", "key")).join(counts, "key", "left")
+    each = odd.filter("not marked").select("form", "alpha", "short", "signed", F.posexplode("ctx").alias("i", "key")).join(counts, "key", "left")
     wide = [F.coalesce(F.max(F.when(F.col("i") == i - 1, F.col(x))), F.lit(0)).alias(f"{x}{i}") for i in range(1, 6) for x in "scb"]
-    scored = each.groupBy("form").agg(F.first("alpha").alias("alpha"), F.first("short").alias("short"), *wide).select("form", _unterminated().alias("open"))
+    scored = each.groupBy("form").agg(F.first("alpha").alias("alpha"), F.first("short").alias("short"), F.first("signed").alias("signed"), *wide).select("form", _unterminated().alias("open"))
     classes = seen.filter("c = -1").groupBy("key", "cls").agg(F.min("form").alias("f2"), F.max("s").alias("n2"))
     copies = _copies(odd, classes, base)
     verdict = scored.join(copies, "form", "left").select("form", F.coalesce("early", "open").alias("cut")).unionByName(odd.filter("marked").select("form", F.lit(True).alias("cut")))

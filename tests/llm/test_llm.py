@@ -371,6 +371,13 @@ def test_running_minima_of_openings():
     assert (together == np.stack(alone)).all() and all(cutoff.opening(n) == max(cutoff.windows(n), default=0) for n in range(400))
 
 
+def test_sign_offs_are_ends():
+    for text in ("It broke. Regards, Zellwinger, Gideon", "Nett. Grüße, B. Bellweather", "From: ANNA ROE"):
+        assert cutoff.SIGNED.search(text), text
+    for text in ("It broke. Un saludo, the manage", "The from Anna came to", "Regards, and the"):
+        assert not cutoff.SIGNED.search(text), text
+
+
 def test_aligned():
     assert cutoff._aligned("a b c d e f g h i j k l m".split(), "a b c x d e f g h i j k l m n".split()) == 13
     assert cutoff._aligned("a b c d".split(), "a x c d".split()) is None
